@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, licenses, mixing, token_store
+from . import exact_dedup, html_extract, licenses, mixing, ngram_join, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(_read(spark, sf_dir, "documents"), tokenizer_config())
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
 
@@ -42,5 +46,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_token_files, op7_html_extraction, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_token_files, op5_ngram_join, op7_html_extraction, op10_license_scan)}
 ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": licenses.ORACLE}
