@@ -113,9 +113,3 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     held *= keys64(int(length.max()), 7)[place]
     return mix64(np.add.reduceat(held, begin) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-
-def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of `counts` values; an empty run gives 0."""
-    ends = np.cumsum(counts)
-    total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))
-    return total[ends] - total[ends - counts]

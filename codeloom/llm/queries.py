@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, licenses, mixing, ngram_join, token_store
+from . import decontaminate, exact_dedup, html_extract, licenses, mixing, ngram_join, quality_mil, token_store, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents")).drop("seen")
 
@@ -38,13 +42,21 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_token_files, op5_ngram_join, op7_html_extraction, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_exact_dedup, op4_token_files, op5_ngram_join, op6_decontamination, op7_html_extraction, op8_quality, op10_license_scan)}
 ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": licenses.ORACLE}
