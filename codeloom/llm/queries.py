@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, licenses, mixing, ngram_join, quality_mil, token_store, toxicity
+from . import bwt_dedup, decontaminate, exact_dedup, html_extract, licenses, mixing, ngram_join, quality_mil, token_store, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.repeat_digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_exact_dedup, op4_token_files, op5_ngram_join, op6_decontamination, op7_html_extraction, op8_quality, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_exact_dedup, op4_token_files, op5_ngram_join, op6_decontamination, op7_html_extraction, op8_quality, op9_bwt_dedup, op10_license_scan)}
 ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": licenses.ORACLE}
