@@ -367,3 +367,14 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     labels = table(rooted.join(least.where("size > 1"), "root").select(F.col("cls").alias("of"), "least"), "join-labels")
     label = F.when(F.col("of").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.nullif("least", F.lit(-(1 << 63))))
     return rows.select("doc_id", "n_shingles", "cls").join(labels, F.col("cls") == F.col("of"), "left").select("doc_id", "n_shingles", label.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The rows of docs whose doc_id is the least of their component, with the columns of docs. Rows that repeat a doc_id stay or go together."""
+    found = similar_components(docs, n, num, den)
+    some = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    # rows without words stand for themselves
+    gone = found.where(some("doc_id") != some("component_id")).select(some("doc_id").alias("gone")).distinct()
+    gone = table(gone, "join-gone")
+    gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
+    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("gone"), "left_anti")
