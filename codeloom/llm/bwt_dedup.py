@@ -15,7 +15,9 @@ from .common import keys64, mix64, slices, table, utf8
 #: Bytes of a repeated string, and of the grams that place it.
 WIDTH, GRAM = 200, 32
 #: Bytes of regions of one bucket, of one shard of it; a hash value with more in all is counted by string instead.
-BUCKET_BYTES, SHARD_BYTES, HOT_BYTES = 1 << 20, 1 << 17, 8 << 20
+BUCKET_BYTES, SHARD_BYTES, HOT_BYTES = 400_000, 100_000, 8 << 20
+#: Bytes of a letter of the transforms; a string holds so many whole letters wherever they begin.
+LETTER, WHOLE = 8, WIDTH // 8 - 1
 #: Rows that a join may broadcast.
 FEW_IDS, FEW_SPANS = 500_000, 1_000_000
 
@@ -53,13 +55,13 @@ def chosen_places(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each row, the maximal runs of strings of WIDTH bytes that choose the same gram: (row, first string, strings, gram's hash, hash of the region).
+    """Of each row, the maximal runs of strings of WIDTH bytes that choose the same gram: (row, first string, strings, gram's place in the region, gram's hash, hash of the region).
 
     Equal strings choose the same gram at the same place, so a string repeats only within the regions of one hash.
     """
     none = np.zeros(0, np.int64)
     if len(data) < WIDTH:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     eight, whole = gram_hashes(data)
     place = chosen_places(whole, WIDTH - GRAM + 1)
     n = len(place)
@@ -67,7 +69,7 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = np.arange(n) + WIDTH <= offsets[row + 1]
     at = np.flatnonzero(valid)
     if not len(at):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     new = np.append(True, (place[at][1:] != place[at][:-1]) | (at[1:] != at[:-1] + 1) | (row[at][1:] != row[at][:-1]))
     first = at[new]
     count = np.diff(np.append(np.flatnonzero(new), len(at)))
@@ -81,7 +83,7 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(eight) * power[:-1])))
     end = first + count - 1 + WIDTH - 7
     own = mix64((total[end] - total[first]) * inverse[first] + count.astype(np.uint64) * keys64(1, 31)[0] + (place[first] - first).astype(np.uint64))
-    return row[first], first - offsets[row[first]], count, whole[place[first]].view(np.int64), own.view(np.int64)
+    return row[first], first - offsets[row[first]], count, place[first] - first, whole[place[first]].view(np.int64), own.view(np.int64)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -104,13 +106,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge Burrows-Wheeler transforms: the shard of each suffix in merged order, and the number of its block of suffixes with the same `depth` bytes.
+    """Merge Burrows-Wheeler transforms: the shard of each suffix in merged order, and the number of its block of suffixes with the same `depth` letters.
 
-    Each round, the interleave sorted by h bytes becomes the one sorted by h + 1: its suffixes, taken in order, drop stably into the buckets
-    of the bytes before them. Neighbours stay in one block as long as those bytes are equal and their successors were in one block: the
+    Each round, the interleave sorted by h letters becomes the one sorted by h + 1: its suffixes, taken in order, drop stably into the buckets
+    of the letters before them. Neighbours stay in one block as long as those letters are equal and their successors were in one block: the
     blocks are the common prefixes. No suffix is compared.
     """
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) < 256 else np.int32), [len(b) for b in transforms])
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) < 256 else np.uint32), [len(b) for b in transforms])
     before = np.concatenate(transforms)
     block = np.zeros(len(shard), np.int32)
     ends = int((before == 0).sum())
@@ -130,34 +132,71 @@ def merged_blocks(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     return shard, block
 
 
-def repeated_strings(texts: list[bytes], depth: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[int, int]]]:
-    """Per text, the runs (first, last) of starts of strings of `depth` bytes that start elsewhere in the texts, too."""
+def prefix_groups(texts: list[np.ndarray], depth: int, shard_letters: int) -> np.ndarray:
+    """For each letter of the texts (letters from 1 on), one after another: a number that those share from which the same `depth` letters start, or -1 if no other has them."""
     size = np.array([len(t) + 1 for t in texts])
-    first_of = np.concatenate(([0], np.cumsum(size)))
-    cuts = [0]
-    for i in range(len(texts)):
-        if first_of[i + 1] - first_of[cuts[-1]] > shard_bytes and i > cuts[-1]:
-            cuts.append(i)
-    cuts.append(len(texts))
-    transforms, orders, starts = [], [], []
+    first = np.concatenate(([0], np.cumsum(size)))
+    shard_of = first[:-1] // max(1, shard_letters)
+    cuts = [*np.flatnonzero(np.append(True, shard_of[1:] != shard_of[:-1])).tolist(), len(texts)]
+    transforms, orders = [], []
+    whole = np.zeros(first[-1], np.uint16 if max((int(t.max()) for t in texts if len(t)), default=0) < 1 << 16 else np.uint32)
+    held = np.ones(first[-1], bool)
+    held[first[1:] - 1] = False
+    whole[held] = np.concatenate(texts)
     for a, b in zip(cuts[:-1], cuts[1:]):
-        # no byte of UTF-8 is 255
-        text = np.frombuffer(b"\xff".join(texts[a:b]) + b"\xff", np.uint8) + np.uint8(1)
+        text = whole[first[a] : first[b]]
         order = suffix_array(text)
         transforms.append(text[order - 1])
-        orders.append(order)
-        starts.append(first_of[a])
+        orders.append(order + first[a])
     shard, block = merged_blocks(transforms, depth)
     twin = np.zeros(len(block), bool)
     twin[1:] = block[1:] == block[:-1]
     twin[:-1] |= twin[1:]
-    flags = np.zeros(first_of[-1] + 1, bool)
-    for s, (order, start) in enumerate(zip(orders, starts)):
-        flags[start + order[twin[shard == s]]] = True
-    out = []
-    for i in range(len(texts)):
-        own = np.flatnonzero(np.diff(np.concatenate(([False], flags[first_of[i] : first_of[i + 1] - 1], [False])).astype(np.int8)))
-        out.append([(int(a), int(b) - 1) for a, b in own.reshape(-1, 2)])
+    out = np.full(first[-1], -1, np.int64)
+    for s, order in enumerate(orders):
+        mine = shard == s
+        out[order] = np.where(twin[mine], block[mine], -1)
+    return out[held]
+
+
+def repeated_strings(texts: list[bytes], places: list[int], shard_bytes: int = SHARD_BYTES) -> list[list[tuple[int, int]]]:
+    """Per region, the runs (first, last) of starts of strings of WIDTH bytes that start elsewhere in the regions, too.
+
+    Equal strings have their gram at the same place, so the regions are read as letters of eight bytes that begin at the gram's place: a
+    string holds WHOLE letters and eight more bytes around them. The merge tells which letters begin the same WHOLE letters; strings are equal
+    if those and the bytes around them are.
+    """
+    pad = b"\0" * LETTER
+    data = np.frombuffer(pad + b"".join(t + pad for t in texts) + b"\0" * WIDTH, np.uint8)
+    word = data[:-7].astype(np.uint64)
+    for i in range(1, 8):
+        word |= data[i : len(data) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    size = np.array([len(t) for t in texts])
+    start = np.concatenate(([0], np.cumsum(size + LETTER)[:-1])) + LETTER
+    shift = np.array(places) % LETTER
+    letters = np.maximum(0, (size - shift) // LETTER)
+    text = np.repeat(np.arange(len(texts)), letters)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(letters) - letters, letters)
+    at = start[text] + shift[text] + nth * LETTER
+    rank = np.unique(word[at], return_inverse=True)[1] + 1
+    group = prefix_groups(np.split(rank, np.cumsum(letters)[:-1]), WHOLE, shard_bytes // LETTER)
+    some = group >= 0
+    group, text, nth, at = group[some], text[some], nth[some], at[some]
+    flags = np.zeros(len(data), bool)
+    for k in range(LETTER):  # bytes of a string before its first whole letter
+        first = at - k
+        inside = (first >= start[text]) & (first + WIDTH <= start[text] + size[text])
+        edge = (word[at - LETTER] >> np.uint64(64 - 8 * k) if k else np.uint64(0)) | (word[at + WHOLE * LETTER] & np.uint64((1 << (64 - 8 * k)) - 1)) << np.uint64(8 * k)
+        g, e, first = group[inside], np.broadcast_to(edge, at.shape)[inside], first[inside]
+        order = np.lexsort((e, g))
+        same = (g[order][1:] == g[order][:-1]) & (e[order][1:] == e[order][:-1])
+        flags[first[order[1:][same]]] = True
+        flags[first[order[:-1][same]]] = True
+    edges = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    owner = np.searchsorted(start, edges[:, 0], "right") - 1
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for i, (a, b) in zip(owner.tolist(), edges.tolist()):
+        out[i].append((a - int(start[i]), b - 1 - int(start[i])))
     return out
 
 
@@ -167,43 +206,43 @@ def _row_key():
 
 
 def region_table(docs: DataFrame) -> DataFrame:
-    """row_key, start, strings, gram, region of each region of each row."""
+    """row_key, start, strings, place, gram, region of each region of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):
-                row, start, count, gram, own = regions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                row, start, count, place, gram, own = regions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(gram), pa.array(own)], ["row_key", "start", "strings", "gram", "region"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(gram), pa.array(own)], ["row_key", "start", "strings", "place", "gram", "region"])
 
-    return docs.select(_row_key().alias("row_key"), "text").mapInArrow(run, "row_key long, start int, strings int, gram long, region long")
+    return docs.select(_row_key().alias("row_key"), "text").mapInArrow(run, "row_key long, start int, strings int, place int, gram long, region long")
 
 
 def region_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gram, region, body of the wanted regions (gram, region, row_key, start, strings)."""
+    """gram, region, place, body of the wanted regions (gram, region, row_key, start, strings, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for i, places in enumerate(batch.column(1).to_pylist()):
                 row = data[offsets[i] : offsets[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([p["gram"] for p in places], pa.int64()), pa.array([p["region"] for p in places], pa.int64()), pa.array([row[p["start"] : p["start"] + p["strings"] + WIDTH - 1] for p in places], pa.binary())], ["gram", "region", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([p["gram"] for p in places], pa.int64()), pa.array([p["region"] for p in places], pa.int64()), pa.array([p["place"] for p in places], pa.int32()), pa.array([row[p["start"] : p["start"] + p["strings"] + WIDTH - 1] for p in places], pa.binary())], ["gram", "region", "place", "body"])
 
-    places = table(wanted.groupBy("row_key").agg(F.collect_list(F.struct("gram", "region", "start", "strings")).alias("places")), "bwt-places")
+    places = table(wanted.groupBy("row_key").agg(F.collect_list(F.struct("gram", "region", "start", "strings", "place")).alias("places")), "bwt-places")
     rows = docs.select(_row_key().alias("row_key"), "text")
     if places.count() <= FEW_IDS:  # texts are not moved
         rows = rows.join(F.broadcast(places.select("row_key")), "row_key", "left_semi")
     # of rows that repeat, one is enough
     rows = rows.join(places, "row_key").dropDuplicates(["row_key"])
-    return rows.select("text", "places").mapInArrow(run, "gram long, region long, body binary")
+    return rows.select("text", "places").mapInArrow(run, "gram long, region long, place int, body binary")
 
 
 def repeated_in_buckets(bodies: DataFrame, buckets: int) -> DataFrame:
-    """gram, region, first, last: runs of repeated strings of the regions (gram, region, body). A hash value's regions share a bucket."""
+    """gram, region, first, last: runs of repeated strings of the regions (gram, region, place, body). A hash value's regions share a bucket."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_strings(list(part["body"]))
+        found = repeated_strings(list(part["body"]), part["place"].tolist())
         n = [len(x) for x in found]
         pairs = np.array([p for x in found for p in x], np.int64).reshape(-1, 2)
         return pd.DataFrame({"gram": np.repeat(part["gram"].to_numpy(), n), "region": np.repeat(part["region"].to_numpy(), n), "first": pairs[:, 0], "last": pairs[:, 1]})
@@ -221,13 +260,13 @@ def repeated_by_count(bodies: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """row_key, spans (array of start and end in bytes, not merged) of each row with strings that start elsewhere, too."""
     all_regions = table(region_table(docs), "bwt-regions")
-    one = F.min(F.struct("row_key", "start", "strings")).alias("one")
+    one = F.min(F.struct("row_key", "start", "strings", "place")).alias("one")
     kinds = all_regions.groupBy("gram", "region").agg(F.count(F.lit(1)).alias("n"), one)
-    kinds = table(kinds.select("gram", "region", "n", "one.row_key", "one.start", "one.strings"), "bwt-kinds")
+    kinds = table(kinds.select("gram", "region", "n", "one.row_key", "one.start", "one.strings", "one.place"), "bwt-kinds")
     size = F.col("strings").cast("long") + WIDTH
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum(size).alias("bytes")).where("k > 1").select("gram", "bytes")
     # regions of one hash that differ: their common strings are found by the merge
-    wanted = table(kinds.join(mixed, "gram").select("gram", "region", "row_key", "start", "strings", "n", "bytes"), "bwt-wanted")
+    wanted = table(kinds.join(mixed, "gram").select("gram", "region", "row_key", "start", "strings", "place", "n", "bytes"), "bwt-wanted")
     total, hot = wanted.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     found = kinds.where("n > 1").select("gram", "region", F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).cast("long").alias("last"))
     if total:
