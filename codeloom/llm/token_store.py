@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir
+from .common import mix64, shared_dir, utf8
 
 #: Bytes of ids after which a block of the file ends, and documents that it holds at most.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 1 << 14
 #: Rows of documents per shard of the file.
 SHARD_ROWS = 100_000
 #: Encoded words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 _NO_ID = -(1 << 63)
 
 
@@ -86,17 +86,45 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 #: Where a text may be cut without a change of its ids: white space always ends a piece of the word pattern.
 _PIECES = re.compile(r"[^ \t-\r]+")
+#: Pieces of printable ASCII but capitals and the apostrophe, and of small Latin-1 letters, and the pattern's parts of such a piece.
+_SIMPLE = re.compile(r"[!-&(-@\[-~ß-öø-ÿ]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Spaces of Python's split() that the pattern may not take for such.
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0"
 _ENCODERS: dict = {}
 
 
+class Remembered:
+    """A bounded dictionary: what was used since the last two turns is kept."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys) -> list:
+        """The keys that are not held; the others are in new after that."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        absent = [k for k in keys if k not in new]
+        for k in absent:
+            if k in old:
+                new[k] = old[k]
+        return [k for k in absent if k not in new]
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each distinct piece between white space once."""
+    """Ids of texts by the tokenizers library, which sees each distinct part of a word pattern once while it is remembered."""
 
     def __init__(self, config: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.known: dict[str, np.ndarray] = {}
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.pieces, self.parts = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: ids that end a part
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, config: str) -> Encoder:
@@ -105,21 +133,45 @@ class Encoder:
             _ENCODERS[key] = cls(config)
         return _ENCODERS[key]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known, out = self.known, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        # ASCII letters are lowered first, as the tokenizer does, so that fewer pieces differ
-        split = [(t.lower() if t.isascii() else t).split() if t.isascii() else _PIECES.findall(t) for t in texts]
-        new = list({p for pieces in split for p in set(pieces) if p not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, np.uint32).tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Pieces between white space, in lower case where that cannot differ from the tokenizer's."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _PIECES.findall(text)
+        if any(c in text for c in _ODD):
+            return _PIECES.findall(text)
+        return text.lower().split()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Raw ids of each text."""
+        split = [self.split(t) for t in texts]
+        absent = self.pieces.missing({p for pieces in split for p in pieces})
+        known = self.pieces.new
+        simple = {p: _PARTS.findall(p) for p in absent if _SIMPLE.fullmatch(p) and not any(t in p for t in self.added)}
+        new = self.parts.missing({x for parts in simple.values() for x in parts})
+        held = self.parts.new
+        for i in range(0, len(new), 1024):
+            # each part is one word of the pattern, and ends with the only id that ends a word
+            part = new[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                held.update(zip(part, self.whole(part)))
+                continue
+            for x, a, z in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
+                held[x] = ids[a:z].tobytes()
+        for p, parts in simple.items():
+            known[p] = held[p] if len(parts) == 1 else b"".join([held[x] for x in parts])
+        rest = [p for p in absent if p not in simple]
+        for i in range(0, len(rest), 4096):
+            known.update(zip(rest[i : i + 4096], self.whole(rest[i : i + 4096])))
         get = known.__getitem__
-        for pieces in split:
-            out.append(b"".join(map(get, pieces)))
-        return out
+        return [b"".join(map(get, pieces)) for pieces in split]
 
 
 def splits_at_space(config: str) -> bool:
@@ -151,24 +203,22 @@ def write_tokens(docs: DataFrame, config: str, path: str, end_id: int = 1, shard
     sent = spark.sparkContext.broadcast(config)  # one tokenizer file, of fixed size
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(sent.value), np.array([end_id], np.uint32).tobytes()
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        kind = np.uint16 if width == 2 else np.uint32
+        encoder = Encoder.of(sent.value)
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             keys = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            sizes = np.cumsum([0, *(len(x) for x in batch.column(1).fill_null("").to_pylist())])
+            sizes = utf8(batch.column(1))[1]
             first = 0
             while first < len(keys):
                 last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + (2 << 20), "right")) - 1)
                 texts = [x or "" for x in batch.column(1).slice(first, last - first).to_pylist()]
-                held = [np.array(e.ids, np.uint32).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)] if whole else encoder.ids(texts)
-                ids = [np.frombuffer(x + end, np.uint32).astype(kind).tobytes() for x in held]
+                ids = [x + end for x in (encoder.whole(texts) if whole else encoder.ids(texts))]
                 shard = np.searchsorted(bounds, keys[first:last], "left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys[first:last]), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
                 first = last
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 2 if Encoder.of(sent.value).tokenizer.get_vocab_size() <= 1 << 16 else 4
+        width = np.dtype(Encoder.of(sent.value).kind).itemsize
         block = shard = nth = 0
         keys, order, parts, held, previous = [], [], [], 0, None
 
