@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix64, slices, utf8
 
 #: Characters of a q-gram; of a segment of an item; between segments; and per edit that a segment may have.
-Q, SEGMENT, STRIDE, PER_EDIT = 12, 80, 40, 20
+Q, SEGMENT, STRIDE, PER_EDIT = 12, 80, 20, 20
 #: Bytes of item texts that one pass over the documents holds; larger benchmarks take more passes.
 PASS_BYTES = 4 << 20
 _FILTER_BITS = 22
@@ -163,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, edits, n_segments: one row per row of docs and benchmark item of which it holds a segment.
 
     Texts are compared in lower case (A-Z), with runs of ASCII punctuation and white space as one space. An item is cut into
-    overlapping segments of SEGMENT characters (a shorter item is one segment, and one under Q characters is never found); a document
+    overlapping segments of SEGMENT characters, one every STRIDE, so that a part of SEGMENT + STRIDE holds a whole one (a shorter item is one segment, and one under Q characters is never found); a document
     holds a segment if a part of it is within one edit per PER_EDIT characters. start and end are bytes of the UTF-8 text around all
     segments found; edits is the least of a segment. Null and empty texts hold nothing; rows that repeat each report; an empty table
     on either side gives no rows; other columns are ignored. Whole texts are searched; items are held in passes of PASS_BYTES.
@@ -198,5 +198,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no segment of an item; rows that repeat a doc_id go together."""
-    bad = contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("bad")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == F.col("bad"), "left_anti")
+    bad = contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__bad")).distinct()
+    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == F.col("__bad"), "left_anti")

@@ -71,7 +71,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     earlier = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     blocks = counts.groupBy(F.col("source").alias("s"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("held"))
     blocks = blocks.withColumn("earlier", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
-    within = Window.partitionBy("source", "part").orderBy("size", F.col("doc_id").asc_nulls_first())
+    tie = [F.xxhash64(*[f"carried_{i}" for i in range(len(carry))])] if carry else []
+    within = Window.partitionBy("source", "part").orderBy("size", F.col("doc_id").asc_nulls_first(), *tie)
     start = (F.col("earlier") % SCALE) * F.col("rate") % SCALE + F.col("offset")
     crossed = lambda k: F.floor((F.col("start") + k * F.col("rate")) / F.lit(SCALE).cast("decimal(20,0)")).cast("long")
     return (
