@@ -14,6 +14,8 @@ from .common import SPACE_CHARS, keys64, mix64, table
 
 #: Digests of one filter; a shard is a range of digests, so that shards are even whatever the texts are.
 SHARD_ROWS = 1 << 19
+#: Ids of texts to compare that a join may broadcast, 8 bytes each; with more, the texts are shuffled.
+FEW_IDS = 500_000
 
 
 class FuseFilter:
@@ -133,8 +135,15 @@ def dedup_batch(batch_docs: DataFrame, snapshot_docs: DataFrame) -> tuple[DataFr
     one = lambda rows, name: rows.groupBy("digest").agg(F.min(some_id).alias(name))
     pairs = positive.join(one(batch, "new_id"), "digest").join(one(held, "old_id"), "digest")
     texts = lambda docs, name: docs.select(some_id.alias(name), normalised(F.col("text")).alias(f"{name}_text"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
+    pairs = table(pairs, "dedup-pairs")
+    few = pairs.count() <= FEW_IDS
+
+    def needed(docs: DataFrame, name: str) -> DataFrame:
+        ids = pairs.select(F.col(name).alias("needed")).distinct()
+        return docs.join(F.broadcast(ids) if few else ids, some_id == F.col("needed"), "left_semi")
+
     # of rows that repeat a doc_id, the one with the digest's text is meant
-    checked = table(pairs, "dedup-pairs").join(texts(batch_docs, "new_id"), ["new_id", "digest"]).join(texts(snapshot_docs, "old_id"), ["old_id", "digest"])
+    checked = pairs.join(texts(needed(batch_docs, "new_id"), "new_id"), ["new_id", "digest"]).join(texts(needed(snapshot_docs, "old_id"), "old_id"), ["old_id", "digest"])
     return batch, held, checked.where("new_id_text = old_id_text").select("digest").distinct()
 
 
@@ -147,6 +156,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     one is kept only if their doc_id and length are: such rows are equal, and all are marked kept. Copies of a hot group are counted
     before they are shuffled. An empty table gives no rows; other columns are ignored.
     """
+    docs = docs.select("doc_id", "text")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     batch, held, common = dedup_batch(docs.where(~half), docs.where(half))
     common = common.withColumn("seen", F.lit(True))
