@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import table
+
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
@@ -55,25 +57,32 @@ KNOWN = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 )
 
-#: Spellings that count as the same word.
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("noninfringment", "noninfringement"), ("favour", "favor"), ("whilst", "while"))
+#: Spellings that count as the same, wherever they stand.
+SPELLINGS = (("licence", "license"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("noninfringment", "noninfringement"), ("favour", "favor"), ("whilst", "while"))
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+#: A line that names a copyright holder (by a sign or a year; a wrapped line may begin with the word) or reserves rights.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)[^\n]*[0-9]{4}|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The text in lower case without copyright lines, with each run of other characters than letters and digits as one space, in one spelling."""
-    text = F.regexp_replace(F.lower(F.regexp_replace(text, "https://", "http://")), COPYRIGHT_LINE, " ")
-    text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text that say anything: in lower case, without copyright lines, each run of other characters than letters and digits one space, in one spelling."""
+    text = F.lower(F.translate(text, "\r", "\n"))
+    text = F.regexp_replace(F.replace(text, F.lit("https://"), F.lit("http://")), COPYRIGHT_LINE, "")
+    text = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
     for one, other in SPELLINGS:
-        text = F.regexp_replace(text, rf"(^| ){one}(?= |$)", rf"$1{other}")
-    return text
+        text = F.replace(text, F.lit(one), F.lit(other))
+    return F.filter(F.transform(F.split(text, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+
+
+def canonical(lines: Column) -> Column:
+    """The whole text of its canonical lines."""
+    return F.array_join(lines, " ")
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """digest, license of the known texts; a digest of several licenses keeps the first by name."""
     rows = spark.createDataFrame(list(known), "license string, body string")
-    return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    return rows.groupBy(F.sha2(canonical(canonical_lines(F.col("body"))), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -86,32 +95,32 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     Columns of known: digest, license. Catalyst broadcasts it where it is small.
     """
     known = known.select(F.col("digest").alias("known_digest"), F.col("license").alias("known_license"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select("doc_id", F.sha2(canonical(text), 256).alias("text_digest"))
-    whole = whole.join(known, whole["text_digest"] == known["known_digest"], "left").select("doc_id", "text_digest", F.col("known_license").alias("text_license"))
-    # a license line has few letters beside its words, and license texts of one line are long: all lines are hashed
-    lines = docs.select("doc_id", F.explode(F.split(text, r"\r\n|[\n\r]")).alias("line")).select("doc_id", canonical(F.col("line")).alias("line")).where("line != ''")
-    found = lines.select("doc_id", F.sha2("line", 256).alias("known_digest")).join(known, "known_digest")
+    lines = docs.select("doc_id", canonical_lines(F.coalesce(F.col("text"), F.lit(""))).alias("lines"))
+    # texts are normalised once
+    rows = table(lines.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("text_digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("digests")), "license-digests")
+    whole = rows.join(known, rows["text_digest"] == known["known_digest"], "left").select("doc_id", "text_digest", F.col("known_license").alias("text_license"))
+    found = rows.select("doc_id", F.explode("digests").alias("known_digest")).join(known, "known_digest")
     found = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("known_license")).alias("line_licenses"), F.count(F.lit(1)).alias("n_lines"))
     found = found.withColumnRenamed("doc_id", "of")
     none = F.array().cast("array<string>")
     return whole.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", none).alias("line_licenses"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
 
 
-def _sql_canonical(text: str) -> str:
-    text = f"regexp_replace(lower(replace({text}, 'https://', 'http://')), '(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*$|^[^a-z0-9\\n]*all rights reserved[^a-z0-9\\n]*$', ' ', 'g')"
-    text = f"trim(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+def _sql_lines(text: str) -> str:
+    text = f"regexp_replace(replace(lower(replace({text}, chr(13), chr(10))), 'https://', 'http://'), '{COPYRIGHT_LINE}', '', 'g')"
+    text = f"regexp_replace({text}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for one, other in SPELLINGS:
-        text = f"regexp_replace({text}, '\\b{one}\\b', '{other}', 'g')"
-    return text
+        text = f"replace({text}, '{one}', '{other}')"
+    return f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
 ORACLE = f"""
-WITH k AS (SELECT sha256({_sql_canonical('body')}) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) v(license, body) GROUP BY 1),
-w AS (SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS text_digest FROM documents),
-l AS (SELECT doc_id, {_sql_canonical('line')} AS line FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r]')) AS line FROM documents)),
-f AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS line_licenses, count(*) AS n_lines FROM l JOIN k ON sha256(line) = digest WHERE line <> '' GROUP BY doc_id)
+WITH k AS (SELECT sha256(array_to_string({_sql_lines('body')}, ' ')) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) v(license, body) GROUP BY 1),
+c AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS lines FROM documents),
+w AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM c),
+l AS (SELECT doc_id, unnest(lines) AS line FROM c),
+f AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS line_licenses, count(*) AS n_lines FROM l JOIN k ON sha256(line) = digest GROUP BY doc_id)
 SELECT w.doc_id, text_digest, license AS text_license, coalesce(line_licenses, []::VARCHAR[]) AS line_licenses, coalesce(n_lines, 0)::BIGINT AS n_lines
 FROM w LEFT JOIN k ON text_digest = digest LEFT JOIN f ON w.doc_id = f.doc_id
 """
