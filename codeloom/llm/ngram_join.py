@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,74 +268,139 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: int,
                 yield batch.take(pa.array(good, pa.int64()))
 
     texts = table(texts.mapInArrow(own, "cls binary, text string").dropDuplicates(["cls"]), "join-texts")
+    # the set in more pairs is the one that meets the others
+    held = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.join(held.select(F.col("x").alias("a"), F.col("n").alias("n_a")), "a").join(held.select(F.col("x").alias("b"), F.col("n").alias("n_b")), "b")
+    turn = F.col("n_b") > F.col("n_a")
+    pairs = table(both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")), "join-turned")
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
     parts = F.ceil(F.col("d") / 256).cast("int")
-    other = texts.select(F.col("cls").alias("b"), F.col("text").alias("other_text"))
-    right = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).join(other, "b").select(F.col("a").alias("of"), F.col("part").alias("of_part"), "b", "other_text")
-    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("own_text")).join(degree, "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("a", "part", "own_text")
-
-    def held(texts: list[str]) -> list[np.ndarray]:
-        out = []
-        column = pa.array(texts, pa.large_string())
-        data, offsets = utf8(column)
-        for a, b in slices(offsets):
-            value, counts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-            out += np.split(value, np.cumsum(counts)[:-1])
-        return out
-
-    def compare(one: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or others.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        mine, good = held(list(one["own_text"].iloc[:1]))[0], []
-        for i in range(0, len(others), 64):
-            for b, value in zip(others["b"].iloc[i : i + 64], held(list(others["other_text"].iloc[i : i + 64]))):
-                both = len(np.intersect1d(mine, value, assume_unique=True))
-                if den * both >= num * (len(mine) + len(value) - both):
-                    good.append(b)
-        return pd.DataFrame({"a": [one["a"].iloc[0]] * len(good), "b": good})
-
-    grouped = left.groupBy("a", "part").cogroup(right.groupBy("of", "of_part"))
-    return table(grouped.applyInPandas(compare, "a binary, b binary"), "join-links")
-
-
-def cross_pairs(groups: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    other = texts.select(F.col("cls").alias("b"), "text")
+    right = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).join(other, "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
+    left = texts.withColumnRenamed("cls", "a").join(degree, "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(0, np.uint64)
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            side, good = batch.column(0).to_numpy(), []
+            for a, b in slices(offsets):
+                value, counts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+                at = np.concatenate(([0], np.cumsum(counts)))
+                for i in range(a, b):
+                    own = value[at[i - a] : at[i - a + 1]]
+                    if side[i] == 0:
+                        mine = own
+                        continue
+                    both = int((mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)] == own).sum()) if len(mine) else 0
+                    if den * both >= num * (len(mine) + len(own) - both):
+                        good.append(i)
+            if good:
+                yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    # each set's row comes before those to be compared with it
+    dealt = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "side").select("side", "b", "text", "a")
+    return table(dealt.mapInArrow(compare, "a binary, b binary"), "join-links")
+
+
+def _folded(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The sketches of rows, folded to the shortest: halves are added as long as one is longer."""
+    column = rows["sketch"]
+    raw, at = utf8(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+    width = int(np.diff(at).min()) // 8
+    marks = np.empty((len(at) - 1, width), np.uint64)
+    for k, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        marks[k] = np.bitwise_xor.reduce(np.frombuffer(raw[a:z].tobytes(), np.uint64).reshape(-1, width), 0)
+    return marks
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches that end with a group of their first `keys` columns, and the rows at which groups begin and end. Rows come sorted."""
+    held = None
+    for batch in chain(batches, (None,)):
+        parts = [x for x in (held, batch) if x is not None]
+        if not parts:
+            return
+        rows = pa.concat_batches(parts)
+        key = np.stack([rows.column(c).to_numpy() for c in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        last = len(cuts) - (1 if batch is None else 2)
+        yield rows, cuts[: last + 1]
+        held = rows.slice(cuts[last]) if batch is not None else None
+
+
+def mixed_members(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """gid, cls, root, m (members) of the groups whose members are in several components."""
+    rooted = groups.select("gid", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.groupBy("gid").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m")).where("least != most").select("gid", "m")
+    return rooted.join(mixed, "gid")
+
+
+def hub_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: each set of a mixed group, in the largest of its groups, with that group's hub, the set nearest to the majority of the sketches.
+
+    Copies that were each changed are less like one another than like what they come from; the hub stands for it. One pair per set.
+    """
+    picks = members.groupBy("cls").agg(F.max(F.struct("m", "gid")).alias("x"), F.first("root").alias("root")).select("cls", "root", "x.gid", "x.m")
+    picks = table(picks, "join-picks")
+    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK).cast("int")).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _grouped(batches, 2):
+            hubs, far = [], []
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                marks = _folded(rows.slice(a, z - a))
+                bits = np.unpackbits(marks.view(np.uint8), axis=1, bitorder="little")
+                common = np.packbits(bits.sum(0) * 2 > len(marks), bitorder="little").view(np.uint64)
+                apart = np.bitwise_count(marks ^ common).sum(1)
+                hubs.append(a + int(apart.argmin()))
+                far.append(int(apart.min()))
+            if hubs:
+                yield pa.RecordBatch.from_arrays([rows.column("gid").take(pa.array(hubs)), rows.column("cls").take(pa.array(hubs)), pa.array(far, pa.int64())], ["gid", "hub", "far"])
+
+    dealt = picks.withColumn("block", block).join(sets.select("cls", "sketch"), "cls").select("gid", "block", "cls", "sketch").repartition("gid", "block").sortWithinPartitions("gid", "block", "cls")
+    hubs = table(dealt.mapInArrow(run, "gid long, hub binary, far long").groupBy("gid").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")), "join-hubs")
+    return picks.join(hubs, "gid").where("cls != hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: pairs of sets that share a signature, are not yet in one component, and whose sizes and sketches allow the similarity.
 
     Groups are compared in blocks against blocks, never gathered whole.
     """
-    rooted = groups.select("gid", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("gid").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m")).where("least != most").select("gid", "m")
-    members = table(rooted.join(mixed, "gid").join(sets.select("cls", "n_shingles", "sketch"), "cls"), "join-members")
+    members = table(members.join(sets.select("cls", "n_shingles", "sketch"), "cls"), "join-members")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("gid", "i", "j", "own", "cls", "root", "n_shingles", "sketch")
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        size, root = part["n_shingles"].to_numpy(), pd.factorize(part["root"])[0]
-        width = min(map(len, part["sketch"]))
-        marks = np.zeros((len(part), width // 8), np.uint64)
-        for i, raw in enumerate(part["sketch"]):
-            x = np.frombuffer(raw, np.uint64)
-            while len(x) > width // 8:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            marks[i] = x
-        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        rows, cols = np.flatnonzero(part["own"] == i), np.flatnonzero(part["own"] == j)
-        found = []
-        for r in rows:
-            c = cols[cols > r] if i == j else cols
-            c = c[root[c] != root[r]]
-            both = size[c] + size[r]
-            least, most = np.minimum(size[c], size[r]), np.maximum(size[c], size[r])
-            fits = den * least >= num * most
-            c, both = c[fits], both[fits]
-            apart = np.bitwise_count(marks[c] ^ marks[r]).sum(1)
-            found += [(r, x) for x in c[apart <= both * (den - num) // (num + den)]]
-        cls = part["cls"].to_numpy()
-        return pd.DataFrame({"a": [min(cls[r], cls[c]) for r, c in found], "b": [max(cls[r], cls[c]) for r, c in found]})
-
-    return table(dealt.groupBy("gid", "i", "j").applyInPandas(compare, "a binary, b binary").distinct(), "join-pairs")
+    def compare(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of one group's blocks, by row numbers."""
+        size, root, marks = rows.column("n_shingles").to_numpy(), utf8(rows.column("root"))[0].view(np.uint64).reshape(-1, 2), _folded(rows)
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        first, second = (np.flatnonzero(rows.column("own").to_numpy() == x) for x in (i, j))
+        step = max(1, (1 << 22) // max(1, len(second) * marks.shape[1]))
+        for k in range(0, len(first), step):
+            r, c = (x.ravel() for x in np.meshgrid(first[k : k + step], second, indexing="ij"))
+            keep = (root[c] != root[r]).any(1) & (den * np.minimum(size[c], size[r]) >= num * np.maximum(size[c], size[r]))
+            if i == j:
+                keep &= c > r
+            r, c = r[keep], c[keep]
+            near = np.bitwise_count(marks[c] ^ marks[r]).sum(1) <= (size[c] + size[r]) * (den - num) // (num + den)
+            yield r[near], c[near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _grouped(batches, 3):
+            found = [(r + a, c + a) for a, z in zip(cuts[:-1], cuts[1:]) if z - a > 1 for r, c in compare(rows.slice(a, z - a)) if len(r)]
+            if found:
+                r, c = (np.concatenate(x) for x in zip(*found))
+                cls = np.ascontiguousarray(utf8(rows.column("cls"))[0].reshape(-1, 16))
+                names = cls.view("S16").ravel()
+                swap = names[r] > names[c]  # the lesser key first
+                yield pa.RecordBatch.from_arrays([_fixed(cls[np.where(swap, c, r)]), _fixed(cls[np.where(swap, r, c)])], ["a", "b"])
+
+    dealt = dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def similar_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -343,8 +408,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
 
     Words are runs without white space with A-Z in lower case; a set holds the distinct n-word shingles, or the whole sequence where
     there are fewer words. A null, empty or blank text has an empty set and links with nothing. Equal sets are one class at once; classes
-    that share a PartEnum signature are candidates. First each class meets the least of one of its groups; then all pairs of a group that
-    are still in different components and whose sketches allow a link are compared, so that no link between components is missed.
+    that share a PartEnum signature are candidates. First each class meets the least of one of its groups, then the hub of one; then all pairs
+    of a group that are still in different components and whose sketches allow a link are compared, so that no link between components is missed.
     Rows that repeat stand together. A null doc_id sorts as the least. An empty table gives no rows; other columns are ignored.
     """
     bands = Bands(num, den)
@@ -353,13 +418,18 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.min(some_id).alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     sets = table(sets, "join-classes")
     groups = table(signature_groups(docs, n, bands, partitions(docs.sparkSession)), "join-groups")
-    first = table(groups.where("cls != leader").groupBy(F.col("cls").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "join-pairs")
-    links = verify(first, sets, docs, n, num, den)
-    pairs = cross_pairs(groups, components(links), sets, num, den)
-    pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    pairs = table(pairs, "join-pairs")
-    if not pairs.isEmpty():
-        links = links.unionByName(verify(pairs, sets, docs, n, num, den))
+    tried, links = None, None
+    for search in ("leader", "hub", "all"):
+        if search == "leader":
+            pairs = groups.where("cls != leader").groupBy(F.col("cls").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+        else:
+            members = table(mixed_members(groups, components(links)), "join-mixed")
+            pairs = hub_pairs(members, sets) if search == "hub" else cross_pairs(members, sets, num, den)
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = table(pairs, "join-pairs")
+        if search == "leader" or not pairs.isEmpty():
+            found = verify(pairs, sets, docs, n, num, den)
+            tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
     roots = components(links)
     rooted = sets.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", "copies", F.coalesce("root", "cls").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"), F.sum("copies").alias("size"))
@@ -374,7 +444,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> Data
     found = similar_components(docs, n, num, den)
     some = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
     # rows without words stand for themselves
-    gone = found.where(some("doc_id") != some("component_id")).select(some("doc_id").alias("gone")).distinct()
+    gone = found.where(some("doc_id") != some("component_id")).select(some("doc_id").alias("__gone")).distinct()
     gone = table(gone, "join-gone")
     gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("gone"), "left_anti")
+    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__gone"), "left_anti")
