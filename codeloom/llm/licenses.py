@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,64 @@ _BSD_2 = (
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 )
 
+#: Whole texts in license_texts; the file's name is the identifier. A text also counts without what follows its last clause.
+TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+_END = "END OF TERMS AND CONDITIONS"
+
+#: Names of licenses in short notices, by SPDX identifier.
+NAMES = {
+    "MIT": ("MIT License", "MIT"),
+    "ISC": ("ISC License", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "BSD-3-Clause"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0", "CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal", "CC0-1.0"),
+}
+for _id, _name, _versions in (("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))):
+    for _v in _versions:
+        _full, _or_later = _v if "." in _v else _v + ".0", f"{_id}-{_v if '.' in _v else _v + '.0'}-or-later"
+        NAMES[f"{_id}-{_full}"] = tuple(dict.fromkeys([f"{_name}, version {_v}", f"{_name} version {_full}", f"{_name} v{_full}", f"{_name} v{_v}", f"GNU {_id} v{_v}", f"GNU {_id} version {_v}", f"{_id} v{_v}", f"{_id} version {_v}", f"{_id}v{_v}", f"{_id} {_v}", f"{_id} {_full}", f"{_id}-{_full}-only"]))
+        NAMES[_or_later] = tuple(dict.fromkeys([f"{_name}, version {_v} or later", f"{_name}, version {_v} or any later version", f"{_name} v{_full} or later", f"{_name} v{_v} or later", f"{_id} v{_v} or later", f"{_id}v{_v} or later", f"{_id} version {_v} or later", f"{_id}-{_full}-or-later"]))
+for _kind, _name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _v, _scope in (("1.0", " Generic"), ("2.0", " Generic"), ("2.5", " Generic"), ("3.0", " Unported"), ("4.0", " International")):
+        NAMES[f"CC-{_kind}-{_v}"] = (f"Creative Commons {_name} {_v}", f"Creative Commons {_name} {_v}{_scope}", f"Creative Commons {_name} {_v} License", f"Creative Commons {_name} {_v}{_scope} License", f"CC {_kind} {_v}", f"CC {_kind} {_v}{_scope}")
+
+#: What stands before a name in a short notice.
+NOTICES = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This file is licensed under", "This text is licensed under")
+
+
+def _notices(license: str, names: tuple[str, ...]) -> list[tuple[str, str]]:
+    articles = ("", "the ", "a ") if license.startswith("CC-") else ("", "the ")
+    said = [f"{notice} {article}{name}." for name in names for notice in NOTICES for article in articles]
+    return [(license, x) for x in [*said, f"SPDX-License-Identifier: {license}", *[f"License: {name}" for name in (license, *names)]]]
+
+
+def _later(license: str, name: str, version: str) -> list[tuple[str, str]]:
+    """The notices that the Free Software Foundation proposes, with and without the choice of a later version, as a whole and by sentence."""
+    out = []
+    for kind, choice in ((license, f"version {version} of the License."), (license + "-or-later", f"either version {version} of the License, or (at your option) any later version.")):
+        for what in ("program", "library", "software", "file"):
+            for sign in (":", ";"):
+                first = f"This {what} is free software{sign} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, {choice}"
+                rest = f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+                seen = f"You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+                out += [(kind, first), (kind, f"{first} {rest}"), (kind, f"{first} {rest} {seen}")]
+    return out
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    out = []
+    for license in TEXTS:
+        body = (pkgutil.get_data(__package__, f"license_texts/{license}") or b"").decode()
+        at = body.rfind(_END)
+        out += [(license, body)] if at < 0 else [(license, body), (license, body[: at + len(_END)]), (license, body[:at])]
+    return out
+
+
 #: Published license texts and notices, as (SPDX identifier, text).
-KNOWN = (
+_PUBLISHED = (
     ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
     ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY),
@@ -56,6 +114,8 @@ KNOWN = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 )
+_PROPOSED = (("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"))
+KNOWN = (*_PUBLISHED, *_whole_texts(), *[x for row in _PROPOSED for x in _later(*row)], *[x for license, names in NAMES.items() for x in _notices(license, names)])
 
 #: Spellings that count as the same, wherever they stand.
 SPELLINGS = (("licence", "license"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("noninfringment", "noninfringement"), ("favour", "favor"), ("whilst", "while"))

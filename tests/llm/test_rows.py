@@ -266,3 +266,22 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(empty, known).isEmpty()
     plan = licenses.license_scan(docs, known)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licence_lines(spark):
+    names = ["Licensed under CC BY-NC 4.0.", "Released under CC-BY-NC-ND 3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: AGPL-3.0", "Released under the LGPL v2.1", "Licensed under the Apache License, Version 2.0."]
+    found = ["CC-BY-NC-4.0", "CC-BY-NC-ND-3.0", "CC-BY-NC-SA-4.0", "AGPL-3.0", "LGPL-2.1", "Apache-2.0"]
+    texts = dict(licenses._whole_texts())
+    frame = spark.createDataFrame([*enumerate(names), *[(100 + i, "Copyright (c) 2020 A. Writer\n" + texts[k]) for i, k in enumerate(licenses.TEXTS)]], "doc_id long, text string")
+    known = licenses.known_digests(spark)
+    got = {r.doc_id: (r.text_license, r.line_licenses) for r in licenses.license_scan(frame, known).collect()}
+    assert [got[i][1] for i in range(len(names))] == [[x] for x in found]
+    assert [got[100 + i][0] for i in range(len(texts))] == list(licenses.TEXTS)
+
+
+def test_licence_lines_of_fixtures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", F.explode(F.split("text", "[\r\n]+")).alias("text"))
+    naming = docs.where(F.length("text") < 200).where(F.col("text").rlike(r"(?i)\blicen[sc]e|\bCC[ -]BY|\bCC0\b|SPDX")).withColumn("doc_id", F.monotonically_increasing_id()).localCheckpoint()
+    scanned = licenses.license_scan(naming, licenses.known_digests(spark)).cache()
+    assert scanned.count() == 262 and scanned.where("n_lines = 0").isEmpty()
+    assert scanned.where("text_license = 'CC-BY-NC-4.0'").count() == 63
