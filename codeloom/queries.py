@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as fn
@@ -325,15 +325,27 @@ def props_json_extract(spark, sf_dir):
 
 
 # --- clusterings ---------------------------------------------------------------------------------------------------------------
+#: Supplier keys of one reply.
+REPLY_KEYS = 10_000
+
+
 def _clusterings(spark, sf_dir):
-    """One reply per nation: its suppliers in one component beside an invented symbol, and an empty component without an id."""
+    """clustering_id, before, reply. A clustering per nation: its suppliers in one component beside an invented symbol, and an empty component without an id.
+
+    A reply holds a block of supplier keys and stays bounded; the nation's suppliers in earlier blocks are counted in before. The last block's reply names what is invented.
+    """
     nation, supplier = star.read(spark, sf_dir, "nation", "supplier")
     place = F.concat(F.lit("R"), F.col("n_regionkey").cast("string"), F.lit(".N"), F.col("n_nationkey").cast("string"))
-    held = supplier.where("s_suppkey < 10000").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))  # the first suppliers: a reply is one text
-    ids = held.groupBy("n_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.concat(place, F.lit(".S"), F.col("s_suppkey").cast("string")).alias("id")))).alias("s"))
+    held = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    ids = held.groupBy("n_nationkey", F.expr(f"s_suppkey div {REPLY_KEYS}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.concat(place, F.lit(".S"), F.col("s_suppkey").cast("string")).alias("id")))).alias("s"))
+    # one row per block
+    order = Window.partitionBy("n_nationkey").orderBy("block")
+    ids = ids.withColumns({"before": F.coalesce(F.sum(F.size("s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"), "last": F.lead("block").over(order).isNull()})
     quoted = F.array_join(F.transform("s", lambda x: F.concat(F.lit('" '), x["id"], F.lit(' "'))), ", ")
-    reply = F.concat(F.lit('```json\n{"components": [{"component_id": "c", "name": "suppliers", "member_symbol_ids": ['), quoted, F.lit(', "ghost.'), F.col("n_nationkey").cast("string"), F.lit('"], "role": "r", "rationale": "w"}, {"component_id": " ", "name": "none", "member_symbol_ids": [], "role": "", "rationale": ""}], "unclustered_symbol_ids": ["spook", "R0"], "narrative": "n"}\n```'))
-    return ids.select(F.col("n_nationkey").alias("clustering_id"), reply.alias("reply"))
+    ghost = F.when(F.col("last"), F.concat(F.lit(', "ghost.'), F.col("n_nationkey").cast("string"), F.lit('"'))).otherwise("")
+    spook = F.when(F.col("last"), F.lit('"spook", "R0"')).otherwise("")
+    reply = F.concat(F.lit('```json\n{"components": [{"component_id": "c", "name": "suppliers", "member_symbol_ids": ['), quoted, ghost, F.lit('], "role": "r", "rationale": "w"}, {"component_id": " ", "name": "none", "member_symbol_ids": [], "role": "", "rationale": ""}], "unclustered_symbol_ids": ['), spook, F.lit('], "narrative": "n"}\n```'))
+    return ids.select(F.col("n_nationkey").alias("clustering_id"), "before", reply.alias("reply"))
 
 
 @query("SELECT s_nationkey AS clustering_id, 0 AS at, 'c' AS component_id, 'suppliers' AS name, 'r' AS role, 'w' AS rationale, count(*) AS n_members FROM supplier GROUP BY 1 UNION ALL SELECT DISTINCT s_nationkey, 1, 'comp_2', 'none', '', '', 0 FROM supplier")
@@ -343,7 +355,10 @@ def cluster_validate(spark, sf_dir):
 
 @query("SELECT s_nationkey AS clustering_id, 0 AS part, 0 AS at, count(*)::INT AS member_at, 'ghost.' || s_nationkey AS symbol_id FROM supplier GROUP BY s_nationkey UNION ALL SELECT DISTINCT s_nationkey, 1, 0, 0, 'spook' FROM supplier")
 def cluster_dropped(spark, sf_dir):
-    return reconcile.dropped(_clusterings(spark, sf_dir), star.star_nodes(spark, sf_dir))
+    replies = _clusterings(spark, sf_dir).withColumn("clustering_id", F.struct("clustering_id", "before"))
+    found = reconcile.dropped(replies, star.star_nodes(spark, sf_dir))
+    at = F.col("member_at") + F.when(F.col("part") == 0, F.col("clustering_id.before")).otherwise(0)
+    return found.select("clustering_id.clustering_id", "part", "at", at.alias("member_at"), "symbol_id")
 
 
 @query("SELECT k AS clustering_id, count(*) AS n, min(id) AS first_id FROM (SELECT DISTINCT s_nationkey AS k FROM supplier), nodes WHERE NOT (kind = 'method' AND split_part(id, '.', 3)[1] = 'S' AND split_part(id, '.', 2) = 'N' || k) GROUP BY k", True)
