@@ -26,7 +26,7 @@ TRAINING_ROWS, FEATURES = 20_000, 4096
 #: Restored pieces that a worker remembers.
 REMEMBERED = 500_000
 KINDS = 64
-_RUN = re.compile(r"(.)\1\1")
+_AGAIN = re.compile(r"(.)\1")
 _TAIL = re.compile(r"([^\w\s])\1{2,}")
 
 
@@ -40,6 +40,12 @@ def kind(cp: np.ndarray) -> np.ndarray:
     return out
 
 
+def kind_of(letter: str) -> int:
+    """The kind of one character."""
+    cp = ord(letter)
+    return cp - 96 if 97 <= cp <= 122 else 27 + cp % 37 if cp >= 0xAA else 0
+
+
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of three letters in a row over all texts, by kind: each task adds up its own, Spark the tasks'. At most KINDS ** 3 rows arrive."""
 
@@ -69,12 +75,22 @@ class Channel:
         pair = cube.sum(2, keepdims=True)
         middle = cube.sum(0)
         back = (middle + 0.5) / (middle.sum(1, keepdims=True) + 0.5 * KINDS)
-        self.cost = -np.log((cube + 4 * back[None]) / (pair + 4))
+        self._hold(-np.log((cube + 4 * back[None]) / (pair + 4)))
+
+    @classmethod
+    def of_costs(cls, cost: np.ndarray) -> Channel:
+        """A channel of costs worked out before."""
+        own = cls.__new__(cls)
+        own._hold(cost)
+        return own
+
+    def _hold(self, cost: np.ndarray) -> None:
+        self.cost, self.table = cost, cost.tolist()  # single numbers are read faster from lists
         self.known: dict[str, str] = {}
 
     def restore(self, piece: str, spaced: bool = False) -> str:
         """The piece (in lower case) in plain letters; "" if nothing is left. spaced: its letters stood apart, words may end between them."""
-        if piece.isalpha() and not spaced and not _RUN.search(piece):
+        if piece.isalpha() and not spaced and not _AGAIN.search(piece):
             return piece  # a lattice of one path
         key = " " + piece if spaced else piece
         if key not in self.known:
@@ -98,6 +114,7 @@ class Channel:
                 ways += [(x, LOOKALIKE) for x in LOOKALIKES.get(c, "")]
                 ways.append(("", FILLER if c in FILLERS else LONG_RUN if run else DIGIT if c.isdigit() else SYMBOL))
             lattice.append(ways)
+        table = self.table
         states = {(0, 0): (0.0, "")}
         for ways in lattice:
             after: dict = {}
@@ -106,15 +123,15 @@ class Channel:
                     if not letter:
                         moves = [((a, b), cost + price, said)]
                     else:
-                        k = int(kind(np.array([ord(letter)], np.uint32))[0])
-                        moves = [((b, k), cost + price + self.cost[a, b, k], said + letter)]
+                        k = kind_of(letter)
+                        moves = [((b, k), cost + price + table[a][b][k], said + letter)]
                         if spaced and said and b:
-                            moves.append(((0, k), cost + price + WORD_END + self.cost[a, b, 0] + self.cost[b, 0, k], said + " " + letter))
+                            moves.append(((0, k), cost + price + WORD_END + table[a][b][0] + table[b][0][k], said + " " + letter))
                     for state, total, text in moves:
                         if state not in after or total < after[state][0]:
                             after[state] = (total, text)
             states = after
-        return min(((cost + self.cost[a, b, 0] if said else cost, said) for (a, b), (cost, said) in states.items()), default=(0, ""))[1]
+        return min(((cost + table[a][b][0] if said else cost, said) for (a, b), (cost, said) in states.items()), default=(0, ""))[1]
 
     def pieces(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
@@ -190,8 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     sent = spark.sparkContext.broadcast(channel.cost)  # KINDS ** 3 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Channel.__new__(Channel)
-        own.cost, own.known = sent.value, {}
+        own = Channel.of_costs(sent.value)
         for batch in batches:
             for i in range(0, len(batch), 128):
                 texts, marks = batch.column(0).slice(i, 128).to_pylist(), batch.column(1).slice(i, 128)
@@ -221,8 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.channel.cost, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel.__new__(Channel)
-        channel.cost, channel.known = sent.value[0], {}
+        channel = Channel.of_costs(sent.value[0])
         own = Model(channel, *sent.value[1:])
         for batch in batches:
             out = np.array([own.score(x) for i in range(0, len(batch), 64) for x in batch.column(1).slice(i, 64).to_pylist()], float)
@@ -248,8 +263,7 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     sent = docs.sparkSession.sparkContext.broadcast((model.channel.cost, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel.__new__(Channel)
-        channel.cost, channel.known = sent.value[0], {}
+        channel = Channel.of_costs(sent.value[0])
         own = Model(channel, *sent.value[1:])
         for batch in batches:
             at = batch.schema.get_field_index("text")

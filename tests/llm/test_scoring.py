@@ -66,6 +66,13 @@ def test_restore(spark, said, meant):
     assert "idiot" in channel.pieces("you i d i o t there")
 
 
+@pytest.mark.parametrize("said,meant", [("idiiot", "idiot"), ("stuupid", "stupid"), ("scuum", "scum"), ("letter", "letter")])
+def test_restore_of_one_doubling(spark, said, meant):
+    words = ["idiot", "moron", "scum", "stupid", "plain", "letter", "stone", "garden", "trust", "motion"] * 50
+    channel = toxicity.Channel(toxicity.trigram_counts(spark.createDataFrame([(" ".join(words),)], "text string")))
+    assert channel.restore(said) == meant and meant in channel.pieces(f"you {said} there")
+
+
 def test_quality(labelled, hard, empty):
     docs, labels = labelled
     rows = quality_mil.quality(docs, labels).collect()
