@@ -19,8 +19,10 @@ from .labelled import fold, training_sample
 LOOKALIKES = {"4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "€": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
 #: Characters that may stand between the letters of one word.
 FILLERS = frozenset(".-_*~'·,:;/\\^`\"=")
-#: Costs in nats: a look-alike, an unmeant symbol, a digit dropped, a filler, a repeat dropped from a run of three or more or of two, a word end between spaced letters.
-LOOKALIKE, SYMBOL, DIGIT, FILLER, LONG_RUN, PAIR, WORD_END = 0.7, 2.0, 6.0, 0.1, 0.3, 6.0, 2.0
+#: Costs in nats: a look-alike, an unmeant symbol, a digit dropped, a filler, a repeat dropped from a run of three or more or of two, a word end between spaced letters, a space dropped between short tokens.
+LOOKALIKE, SYMBOL, DIGIT, FILLER, LONG_RUN, PAIR, WORD_END, SPACE = 0.7, 2.0, 6.0, 0.1, 0.3, 6.0, 2.0, 2.0
+#: Characters of a token that may be part of a word, and tokens of one character in a row that are taken for spaced letters.
+SHORT, SPELT = 4, 4
 #: Labelled rows to learn from, and features kept of them.
 TRAINING_ROWS, FEATURES = 20_000, 4096
 #: Restored pieces that a worker remembers.
@@ -88,20 +90,32 @@ class Channel:
         self.cost, self.table = cost, cost.tolist()  # single numbers are read faster from lists
         self.known: dict[str, str] = {}
 
-    def restore(self, piece: str, spaced: bool = False) -> str:
-        """The piece (in lower case) in plain letters; "" if nothing is left. spaced: its letters stood apart, words may end between them."""
-        if piece.isalpha() and not spaced and not _AGAIN.search(piece):
+    def restore(self, piece: str) -> str:
+        """The piece (in lower case) in plain letters; "" if nothing is left. Spaces in it may be word ends or not."""
+        if piece.isalpha() and not _AGAIN.search(piece):
             return piece  # a lattice of one path
-        key = " " + piece if spaced else piece
-        if key not in self.known:
+        if piece not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known[key] = " ".join(self._viterbi(part, spaced) for part in ([piece] if len(piece) <= 48 else [piece[i : i + 48] for i in range(0, len(piece), 48)])).strip()
-        return self.known[key]
-
-    def _viterbi(self, piece: str, spaced: bool) -> str:
-        # columns: what may be meant, as (letter or "", cost)
-        lattice = []
+            self.known[piece] = self._viterbi(piece)
+        return self.known[piece]
+
+    def _viterbi(self, said: str) -> str:
+        # columns: what may be meant, as (letter or "", cost), and the prices of going on and of ending a word before it
+        tokens = said.split(" ")
+        piece, gaps, spelt = "".join(tokens), {}, 0
+        at, runs = 0, []
+        for n, token in enumerate(tokens):
+            spelt = spelt + 1 if len(token) == 1 else 0
+            runs.append(spelt)
+        for n in range(len(tokens) - 2, -1, -1):
+            if runs[n] and runs[n + 1]:
+                runs[n] = runs[n + 1]
+        for n in range(len(tokens) - 1):
+            at += len(tokens[n])
+            gaps[at] = (0.0, WORD_END) if runs[n] >= SPELT and runs[n + 1] >= SPELT else (SPACE, 0.0)
+        table = self.table
+        states: dict = {(0, 0): (0.0, None)}  # what was said is a chain of (before, letters)
         for i, c in enumerate(piece):
             again = i and piece[i - 1] == c
             run = again and (piece[i - 2 : i - 1] == c or piece[i + 1 : i + 2] == c)
@@ -113,25 +127,28 @@ class Channel:
             else:
                 ways += [(x, LOOKALIKE) for x in LOOKALIKES.get(c, "")]
                 ways.append(("", FILLER if c in FILLERS else LONG_RUN if run else DIGIT if c.isdigit() else SYMBOL))
-            lattice.append(ways)
-        table = self.table
-        states = {(0, 0): (0.0, "")}
-        for ways in lattice:
+            on, end = gaps.get(i, (0.0, None))
             after: dict = {}
-            for (a, b), (cost, said) in states.items():
-                for letter, price in ways:
-                    if not letter:
-                        moves = [((a, b), cost + price, said)]
-                    else:
-                        k = kind_of(letter)
-                        moves = [((b, k), cost + price + table[a][b][k], said + letter)]
-                        if spaced and said and b:
-                            moves.append(((0, k), cost + price + WORD_END + table[a][b][0] + table[b][0][k], said + " " + letter))
-                    for state, total, text in moves:
+            for (a, b), (cost, chain) in states.items():
+                starts = [(a, b, cost + on, chain)]
+                if end is not None and chain and b:
+                    starts.append((b, 0, cost + end + table[a][b][0], (chain, " ")))
+                for a1, b1, total1, chain1 in starts:
+                    for letter, price in ways:
+                        if letter:
+                            k = kind_of(letter)
+                            state, total = (b1, k), total1 + price + table[a1][b1][k]
+                        else:
+                            state, total = (a1, b1), total1 + price
                         if state not in after or total < after[state][0]:
-                            after[state] = (total, text)
+                            after[state] = (total, (chain1, letter) if letter else chain1)
             states = after
-        return min(((cost + table[a][b][0] if said else cost, said) for (a, b), (cost, said) in states.items()), default=(0, ""))[1]
+        chain = min(((cost + (table[a][b][0] if chain and b else 0.0), n, chain) for n, ((a, b), (cost, chain)) in enumerate(states.items())), default=(0, 0, None))[2]
+        letters = []
+        while chain:
+            chain, letter = chain
+            letters.append(letter)
+        return "".join(reversed(letters)).strip()
 
     def pieces(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
@@ -142,15 +159,15 @@ class Channel:
             if len(plain) > 1 or plain.isalpha():
                 if not plain.isdigit():
                     out.update(self.restore(plain).split())
-        # letters that stand apart
-        alone = [i for i, x in enumerate(split) if len(x) == 1]
-        if len(alone) > 3:
-            first = 0
-            for j in range(1, len(alone) + 1):
-                if j == len(alone) or alone[j] != alone[j - 1] + 1:
-                    if j - first > 3:
-                        out.update(self.restore("".join(split[alone[first] : alone[j - 1] + 1]), spaced=True).split())
-                    first = j
+        # letters and parts of words that stand apart
+        run: list[str] = []
+        for token in [*split, ""]:
+            if token and (len(token) == 1 or len(token) <= SHORT and not token.isdigit()):
+                run.append(token)
+            else:
+                if len(run) > 1:
+                    out.update(self.restore(" ".join(run)).split())
+                run = []
         return out
 
 

@@ -73,6 +73,16 @@ def test_restore_of_one_doubling(spark, said, meant):
     assert channel.restore(said) == meant and meant in channel.pieces(f"you {said} there")
 
 
+def test_spaced_words(spark):
+    words = ["idiot", "moron", "scum", "stupid", "loser", "ass", "plain", "letter", "stone", "garden", "trust", "are", "you", "the", "a"] * 50
+    channel = toxicity.Channel(toxicity.trigram_counts(spark.createDataFrame([(" ".join(words),)], "text string")))
+    for said, meant in (("stu pid", "stupid"), ("lo ser", "loser"), ("s cum", "scum"), ("a s s", "ass"), ("stup id", "stupid")):
+        assert meant in channel.pieces(f"garden {said} letter")
+    said = " ".join("".join(["you", "are", "stupid", "moron", "plain"] * 8))
+    assert channel.restore(said).split() == ["you", "are", "stupid", "moron", "plain"] * 8
+    assert channel.restore("s-t-u-p-i-d" + "-" * 60) == "stupid"
+
+
 def test_quality(labelled, hard, empty):
     docs, labels = labelled
     rows = quality_mil.quality(docs, labels).collect()
