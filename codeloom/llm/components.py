@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, root (the least node of its component) of each node that a row (a, b) of links joins to another, other than roots.
 
-    Each round is two joins on the links, written to the shared folder; rounds grow with the logarithm of a component's size. The
+    Each round is two joins on the links, written to the scratch folder; rounds grow with the logarithm of a component's size. The
     links of a hot node are not gathered: its least neighbour is an aggregate, and the join is one that Spark splits.
     """
-    edges, before = table(links.select("a", "b").where("a != b").distinct(), "links"), None
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    edges, before = scratch.table(links.select("a", "b").where("a != b").distinct(), "edges"), None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-        edges = table(_small_star(_large_star(edges)), "links")
+        edges = scratch.table(_small_star(_large_star(edges)), "edges")

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, keys64, mix64, partitions, slices, table, utf8, word_hashes, words
+from .common import LOWER, Scratch, keys64, mix64, partitions, slices, table, utf8, word_hashes, words
 from .components import components
 
 #: First-level partitions per edit of the bound; three second-level cells each, of which signatures take two.
-FIRST_LEVEL = 0.6
-#: Members of a signature's group that one task compares with as many others.
-BLOCK = 2048
+FIRST_LEVEL = 0.55
+#: Members of a signature's group or of a cluster, and bytes of a cluster's sets, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: Signatures that a task gathers before it deals them to buckets.
+DEAL = 1 << 19
+#: Members of a group of which all pairs are compared before links are followed.
+SMALL = 12
 #: Document ids that a join may broadcast, 8 bytes each.
 FEW_IDS = 500_000
 
@@ -71,14 +75,14 @@ def set_keys(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.view(np.uint8).reshape(-1, 16)
 
 
-def sketch_bits(counts: np.ndarray) -> np.ndarray:
-    """Bits of a sketch: two to four per member, a power of two."""
-    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(counts, 1) * 2)).astype(np.int64))
+def sketch_bits(counts: np.ndarray, per: int = 1) -> np.ndarray:
+    """Bits of a sketch: `per` to twice as many per member, a power of two."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(counts, 1) * per)).astype(np.int64))
 
 
-def sketches(value: np.ndarray, counts: np.ndarray) -> list[bytes]:
+def sketches(value: np.ndarray, counts: np.ndarray, per: int = 1) -> list[bytes]:
     """Per row, the parity of its members at each of the sketch's bits: the bits in which two sketches differ are never more than the members in which the sets differ."""
-    bits = sketch_bits(counts)
+    bits = sketch_bits(counts, per)
     start = np.concatenate(([0], np.cumsum(bits)))
     at = (mix64(value ^ np.uint64(0xD1B54A32D192ED03)) & np.repeat(bits - 1, counts).astype(np.uint64)).astype(np.int64) + np.repeat(start[:-1], counts)
     packed = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -108,7 +112,7 @@ class Bands:
 
 
 def signatures(value: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of each row's set as 64-bit hashes, and their rows.
+    """PartEnum signatures of each row's set (sorted hashes) as 64-bit hashes, and their rows.
 
     In an instance with an edit bound k, the feature domain is cut into n1 > k / 2 partitions of three cells. At most k / 2 of them hold
     two edits or more, and in any other some two cells are free of edits: the projections on two of three cells are the
@@ -119,8 +123,7 @@ def signatures(value: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.
     keys = keys64(8, 17)
     out, owners = [], []
     size = counts.astype(np.int64)
-    moved = mix64(value ^ np.uint64(0x8CB92BA72F3D8DD7))
-    spread = moved >> np.uint64(32)
+    spread = value >> np.uint64(32)  # ascending within a row, as the values are
     member = mix64(value * keys[0])
     for step in (0, 1):
         instance = bands.of(np.maximum(size, 1)) + step
@@ -132,10 +135,10 @@ def signatures(value: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.
         mine = np.repeat(first > 0, counts)
         cells = np.repeat(3 * first, counts)[mine].astype(np.uint64)
         at = ((spread[mine] * cells) >> np.uint64(32)).astype(np.int64) + np.repeat(3 * start[:-1], counts)[mine]
-        total = np.zeros(3 * start[-1], np.uint64)
-        np.add.at(total, at, member[mine])
-        filled = (np.bincount(at, minlength=len(total)) > 0).reshape(-1, 3)
-        total = total.reshape(-1, 3)
+        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        total, filled = np.zeros(3 * start[-1], np.uint64), np.zeros(3 * start[-1], bool)
+        total[at[begin]], filled[at[begin]] = np.add.reduceat(member[mine], begin), True
+        total, filled = total.reshape(-1, 3), filled.reshape(-1, 3)
         row = np.repeat(np.arange(len(size)), first)
         place = (np.arange(start[-1]) - start[row]).astype(np.uint64) * keys[1] + instance[row].astype(np.uint64) * keys[2]
         thin = np.bincount(row[filled.sum(1) <= 1], minlength=len(size))
@@ -159,166 +162,133 @@ def _fixed(keys: np.ndarray) -> pa.Array:
     return _binary(keys, np.arange(1, len(keys) + 1) * 16)
 
 
+def short_ids(keys: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each set's key: enough to find candidates by."""
+    return keys[:, :8].copy().view(np.int64).ravel()
+
+
 def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, cls (key of the set), sketch of each row of docs."""
+    """doc_id, digest (MD5 of the text), n_shingles, cls (key of the set), id (its first part), sketch of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for a, b in slices(offsets):
                 value, counts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), _fixed(set_keys(value, counts)), pa.array(sketches(value, counts), pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+                keys = set_keys(value, counts)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(counts, pa.int64()), _fixed(keys), pa.array(short_ids(keys)), pa.array(sketches(value, counts), pa.binary())], ["doc_id", "digest", "n_shingles", "cls", "id", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, n_shingles long, cls binary, id long, sketch binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sketch binary")
+
+def text_digest() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def signature_groups(docs: DataFrame, n: int, bands: Bands, buckets: int) -> DataFrame:
-    """gid, cls, leader: the different sets that share a signature; leader is the least of them. Equal groups of a bucket are one.
+    """gid, m, id: the m different sets that share a signature, each group once.
 
-    Signatures are dealt to buckets by their hash, five bytes each, so that a hot signature or set loads all buckets alike.
+    A task deals the signatures of each set once, many sets together in one row per bucket, five bytes a signature and eight a set. They are
+    dealt by their hash, so that a hot signature or set loads all buckets alike.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # of this task's rows
+        held, total = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            at = np.cumsum([0, *(len(ids) for ids, _, _ in held)])
+            ids, sig = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            row = np.concatenate([x[2] + a for x, a in zip(held, at)])
+            key = (sig >> np.uint64(40)).astype(np.int64) % buckets * len(ids) + row
+            order = np.argsort(key)
+            key, low = key[order], sig[order].view(np.uint8).reshape(-1, 8)[:, :5]
+            last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+            bucket, runs = key[last] // len(ids), np.diff(last, prepend=-1).astype(np.uint32)
+            ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[ends].astype(np.int32)), _binary(ids[key[last] % len(ids)], (ends + 1) * 8), _binary(runs.astype(np.uint16) if runs.max() < 1 << 16 else runs, (ends + 1) * (2 if runs.max() < 1 << 16 else 4)), _binary(low, (last[ends] + 1) * 5)], ["bucket", "ids", "runs", "sigs"])
+
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for a, b in slices(offsets):
                 value, counts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                cls = set_keys(value, counts)
-                sig, row = signatures(value, counts, bands)
-                if not len(sig):
-                    continue
-                bucket = (sig >> np.uint64(40)).astype(np.int64) % buckets
-                deck = row * buckets + bucket
-                order = np.argsort(deck, kind="stable")
-                deck = deck[order]
-                last = np.flatnonzero(np.append(deck[1:] != deck[:-1], True))
-                low = sig[order].view(np.uint8).reshape(-1, 8)[:, :5]
-                yield pa.RecordBatch.from_arrays([pa.array((deck[last] % buckets).astype(np.int32)), _fixed(cls[deck[last] // buckets]), _binary(low, (last + 1) * 5)], ["bucket", "cls", "sigs"])
+                keys = set_keys(value, counts)
+                names = [k.tobytes() for k in keys]
+                new = np.array([i for i, k in enumerate(names) if counts[i] and not (k in seen or seen.add(k))], np.int64)
+                keep = np.zeros(len(counts), bool)
+                keep[new] = True
+                sig, row = signatures(value[np.repeat(keep, counts)], counts[new], bands)
+                if len(sig):
+                    held.append((short_ids(keys[new]), sig, row))
+                    total += len(sig)
+                if total > DEAL:
+                    yield dealt()
+                    held, total = [], 0
+        if held:
+            yield dealt()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, lengths, lows = [], [], []
         for batch in batches:
-            names.append(utf8(batch.column(1))[0].copy())
-            data, offsets = utf8(batch.column(2))
-            lows.append(data.copy())
-            lengths.append(np.diff(offsets) // 5)
+            for ids, runs, low in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                names.append(np.frombuffer(ids, np.int64))
+                lengths.append(np.frombuffer(runs, np.uint16 if len(runs) * 4 == len(ids) else np.uint32).astype(np.int64))
+                lows.append(np.frombuffer(low, np.uint8))
         if not names:
             return
-        cls, index = np.unique(np.concatenate(names).view("S16"), return_inverse=True)
+        ids, index = np.unique(np.concatenate(names), return_inverse=True)
         low = np.zeros((sum(map(len, lows)) // 5, 8), np.uint8)
         low[:, :5] = np.concatenate(lows).reshape(-1, 5)
-        sig, who = low.view(np.uint64).ravel(), np.repeat(index, np.concatenate(lengths)).astype(np.int64)
+        sig, who = low.view(np.uint64).ravel(), np.repeat(index, np.concatenate(lengths))
         del low, lows, names
-        order = np.argsort(sig, kind="stable")
-        sig, who = sig[order], who[order]
+        if len(ids) <= 1 << 24:
+            both = np.sort(sig << np.uint64(24) | who.astype(np.uint64))
+            sig, who = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.int64)
+        else:
+            order = np.lexsort((who, sig))
+            sig, who = sig[order], who[order]
+        first = np.append(True, sig[1:] != sig[:-1])
         # a signature that stands alone says nothing
-        twin = np.zeros(len(sig), bool)
-        same = sig[1:] == sig[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        sig, who = sig[twin], who[twin]
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
-        sig, who = sig[new], who[new]
-        if not len(sig):
+        use = (~first | ~np.append(first[1:], True)) & (first | np.append(True, who[1:] != who[:-1]))
+        sig, who, first = sig[use], who[use], first[use]
+        begin = np.flatnonzero(first)
+        if not len(begin):
             return
-        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         held = np.diff(np.append(begin, len(sig)))
-        raw = cls.view(np.uint8).reshape(-1, 16)
-        ids = mix64(raw[:, :8].copy().view(np.uint64).ravel() ^ mix64(raw[:, 8:].copy().view(np.uint64).ravel()))
-        gid = mix64(np.add.reduceat(ids[who], begin) + held.astype(np.uint64))
+        gid = mix64(np.add.reduceat(mix64(ids.view(np.uint64))[who], begin) + held.astype(np.uint64))
         many = np.flatnonzero(held > 1)
         many = many[np.unique(gid[many], return_index=True)[1]]
         for i in range(0, len(many), 4096):
             part = many[i : i + 4096]
             pick = np.repeat(begin[part] - np.concatenate(([0], np.cumsum(held[part])[:-1])), held[part]) + np.arange(held[part].sum())
+            group = np.repeat(part, held[part])
             for a in range(0, len(pick), 1 << 16):
-                here = pick[a : a + (1 << 16)]
-                group = np.repeat(part, held[part])[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(gid[group].view(np.int64)), _fixed(raw[who[here]]), _fixed(raw[who[begin[group]]])], ["gid", "cls", "leader"])
-
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, cls binary, sigs binary")
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "gid long, cls binary, leader binary")
+                here = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(gid[group[here]].view(np.int64)), pa.array(held[group[here]].astype(np.int64)), pa.array(ids[who[pick[here]]])], ["gid", "m", "id"])
 
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, ids binary, runs binary, sigs binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "gid long, m long, id long").distinct()
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b of the pairs (a, b) of set keys whose sets are similar enough, by their texts.
 
-    sets: cls, doc_id of one document per set. The texts of needed documents only are moved; a set in many pairs meets them in parts.
-    """
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(sets.select("cls", "doc_id"), "cls")
-    ids = table(ids, "join-needed")
-    few = ids.select(F.col("doc_id").alias("need")).distinct()
-    few = F.broadcast(few) if ids.count() <= FEW_IDS else few
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("need"), "text").join(few, "need", "left_semi")
-    # of rows that repeat a doc_id, those with the set's key count
-    texts = texts.join(ids, F.col("need") == F.col("doc_id")).select("cls", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            names = batch.column(0).to_pylist()
-            for a, b in slices(offsets):
-                value, counts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                keys = set_keys(value, counts)
-                good = [i for i in range(a, b) if keys[i - a].tobytes() == names[i]]
-                yield batch.take(pa.array(good, pa.int64()))
-
-    texts = table(texts.mapInArrow(own, "cls binary, text string").dropDuplicates(["cls"]), "join-texts")
-    # the set in more pairs is the one that meets the others
-    held = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.join(held.select(F.col("x").alias("a"), F.col("n").alias("n_a")), "a").join(held.select(F.col("x").alias("b"), F.col("n").alias("n_b")), "b")
-    turn = F.col("n_b") > F.col("n_a")
-    pairs = table(both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")), "join-turned")
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    parts = F.ceil(F.col("d") / 256).cast("int")
-    other = texts.select(F.col("cls").alias("b"), "text")
-    right = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).join(other, "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
-    left = texts.withColumnRenamed("cls", "a").join(degree, "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(0, np.uint64)
-        for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            side, good = batch.column(0).to_numpy(), []
-            for a, b in slices(offsets):
-                value, counts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                at = np.concatenate(([0], np.cumsum(counts)))
-                for i in range(a, b):
-                    own = value[at[i - a] : at[i - a + 1]]
-                    if side[i] == 0:
-                        mine = own
-                        continue
-                    both = int((mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)] == own).sum()) if len(mine) else 0
-                    if den * both >= num * (len(mine) + len(own) - both):
-                        good.append(i)
-            if good:
-                yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    # each set's row comes before those to be compared with it
-    dealt = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "side").select("side", "b", "text", "a")
-    return table(dealt.mapInArrow(compare, "a binary, b binary"), "join-links")
-
-
-def _folded(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
-    """The sketches of rows, folded to the shortest: halves are added as long as one is longer."""
-    column = rows["sketch"]
-    raw, at = utf8(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
-    width = int(np.diff(at).min()) // 8
-    marks = np.empty((len(at) - 1, width), np.uint64)
-    for k, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-        marks[k] = np.bitwise_xor.reduce(np.frombuffer(raw[a:z].tobytes(), np.uint64).reshape(-1, width), 0)
-    return marks
+def in_blocks(rows: DataFrame, group: str, key: str, blocks: Column) -> DataFrame:
+    """rows with i, j, own: a group of several blocks is compared block by block, a row in each pair of blocks that holds its own."""
+    own = F.pmod(F.xxhash64(key), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
     """Batches that end with a group of their first `keys` columns, and the rows at which groups begin and end. Rows come sorted."""
-    held = None
+    held: list[pa.RecordBatch] = []
     for batch in chain(batches, (None,)):
-        parts = [x for x in (held, batch) if x is not None]
+        if batch is not None:
+            if not len(batch):
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(keys)], 1)
+            if held and (key[-1] == np.array([held[0].column(c)[0].as_py() for c in range(keys)])).all():
+                held.append(batch)  # all of one group
+                continue
+        parts = [*held, *([] if batch is None else [batch])]
         if not parts:
             return
         rows = pa.concat_batches(parts)
@@ -326,81 +296,167 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
         last = len(cuts) - (1 if batch is None else 2)
         yield rows, cuts[: last + 1]
-        held = rows.slice(cuts[last]) if batch is not None else None
-
-
-def mixed_members(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """gid, cls, root, m (members) of the groups whose members are in several components."""
-    rooted = groups.select("gid", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("gid").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m")).where("least != most").select("gid", "m")
-    return rooted.join(mixed, "gid")
-
-
-def hub_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: each set of a mixed group, in the largest of its groups, with that group's hub, the set nearest to the majority of the sketches.
-
-    Copies that were each changed are less like one another than like what they come from; the hub stands for it. One pair per set.
+        held = [rows.slice(cuts[last])] if batch is not None else []
+
+
+class Near:
+    """Rows with sizes and sketches, of which those are asked for that may be similar to one row."""
+
+    def __init__(self, size: np.ndarray, marks: list[bytes], num: int, den: int):
+        self.size, self.num, self.den = size, num, den
+        self.width = np.array([len(x) // 8 for x in marks], np.int64)
+        #: by width of a sketch in words: places of rows, and the sketches of that width and of twice it, folded: halves added
+        self.marks = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            place = np.full(len(marks), -1)
+            place[rows] = np.arange(len(rows))
+            self.marks[w] = place, np.stack([np.bitwise_xor.reduce(np.frombuffer(marks[k], np.uint64).reshape(-1, w), 0) for k in rows.tolist()])
+
+    def of(self, x: int, rest: np.ndarray) -> np.ndarray:
+        """Those of `rest` that may be similar to row x: sizes that are near enough differ by less than a doubling."""
+        rest = rest[self.den * np.minimum(self.size[rest], self.size[x]) >= self.num * np.maximum(self.size[rest], self.size[x])]
+        found = []
+        for w in np.unique(self.width[rest]).tolist():
+            part = rest[self.width[rest] == w]
+            place, marks = self.marks[min(w, int(self.width[x]))]
+            apart = np.bitwise_count(marks[place[part]] ^ marks[place[x]]).sum(1)
+            found.append(part[apart * (self.num + self.den) <= (self.size[part] + self.size[x]) * (self.den - self.num)])
+        return np.concatenate([*found, np.zeros(0, np.int64)])
+
+
+def any_near(size: list[int], marks: list[bytes], num: int, den: int) -> bool:
+    """Whether any two of a few rows may be similar, by sizes and sketches."""
+    bits = [int.from_bytes(x, "little") for x in marks]
+    for a in range(len(size)):
+        for b in range(a):
+            if den * min(size[a], size[b]) >= num * max(size[a], size[b]):
+                x, y = (bits[a], bits[b]) if len(marks[a]) <= len(marks[b]) else (bits[b], bits[a])
+                half = 8 * min(len(marks[a]), len(marks[b]))
+                if len(marks[a]) != len(marks[b]):
+                    y = y >> half ^ y & (1 << half) - 1
+                if (x ^ y).bit_count() * (num + den) <= (size[a] + size[b]) * (den - num):
+                    return True
+    return False
+
+
+def reached(rows: int, linked: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray | None = None) -> list[np.ndarray]:
+    """Rows that links join, in lists of two or more: from a row on, those not yet reached are asked for. Each pair is asked for once at most.
+
+    With sides, only rows of different sides are compared.
     """
-    picks = members.groupBy("cls").agg(F.max(F.struct("m", "gid")).alias("x"), F.first("root").alias("root")).select("cls", "root", "x.gid", "x.m")
-    picks = table(picks, "join-picks")
-    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK).cast("int")).cast("int")
+    free, out, left = np.arange(rows), [], np.ones(rows, bool)
+    while len(free):
+        queue, free = [int(free[0])], free[1:]
+        for x in queue:
+            if not len(free):
+                break
+            new = linked(x, free if side is None else free[side[free] != side[x]])
+            if len(new):
+                queue += new.tolist()
+                left[new] = False
+                free = free[left[free]]
+        if len(queue) > 1:
+            out.append(np.array(queue))
+    return out
+
+
+def maybe_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: each set of a group with the least of those that it may be similar to, by sizes and sketches, directly or over others.
+
+    No link between sets is lost: both are in one component of the result.
+    """
+    members = groups.join(sets.select("id", "n_shingles", "sketch"), "id")
+    dealt = in_blocks(members, "gid", "id", F.ceil(F.col("m") / BLOCK).cast("int")).select("gid", "i", "j", "own", "id", "n_shingles", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in _grouped(batches, 2):
-            hubs, far = [], []
+        for rows, cuts in _grouped(batches, 3):
+            size, own, ids = (rows.column(c).to_numpy() for c in ("n_shingles", "own", "id"))
+            i, j, marks = rows.column("i").to_numpy(), rows.column("j").to_numpy(), rows.column("sketch").to_pylist()
+            found = []
             for a, z in zip(cuts[:-1], cuts[1:]):
-                marks = _folded(rows.slice(a, z - a))
-                bits = np.unpackbits(marks.view(np.uint8), axis=1, bitorder="little")
-                common = np.packbits(bits.sum(0) * 2 > len(marks), bitorder="little").view(np.uint64)
-                apart = np.bitwise_count(marks ^ common).sum(1)
-                hubs.append(a + int(apart.argmin()))
-                far.append(int(apart.min()))
-            if hubs:
-                yield pa.RecordBatch.from_arrays([rows.column("gid").take(pa.array(hubs)), rows.column("cls").take(pa.array(hubs)), pa.array(far, pa.int64())], ["gid", "hub", "far"])
+                if z - a > SMALL or any_near(size[a:z].tolist(), marks[a:z], num, den):
+                    near = Near(size[a:z], marks[a:z], num, den)
+                    for part in reached(z - a, near.of, own[a:z] if i[a] != j[a] else None):
+                        part = np.sort(ids[a + part])
+                        found.append(np.stack([np.full(len(part) - 1, part[0]), part[1:]]))
+            if found:
+                a, b = np.unique(np.concatenate(found, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = picks.withColumn("block", block).join(sets.select("cls", "sketch"), "cls").select("gid", "block", "cls", "sketch").repartition("gid", "block").sortWithinPartitions("gid", "block", "cls")
-    hubs = table(dealt.mapInArrow(run, "gid long, hub binary, far long").groupBy("gid").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")), "join-hubs")
-    return picks.join(hubs, "gid").where("cls != hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of sets that share a signature, are not yet in one component, and whose sizes and sketches allow the similarity.
+def exact_links(clusters: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between sets (by key) of a cluster that are similar by their shingles, as many as join what links join.
 
-    Groups are compared in blocks against blocks, never gathered whole.
+    clusters: cluster, cls, doc_id (of a row with that set), n_shingles. Only the texts of these are moved; a cluster is compared in blocks.
     """
-    members = table(members.join(sets.select("cls", "n_shingles", "sketch"), "cls"), "join-members")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("gid", "i", "j", "own", "cls", "root", "n_shingles", "sketch")
-
-    def compare(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The pairs of one group's blocks, by row numbers."""
-        size, root, marks = rows.column("n_shingles").to_numpy(), utf8(rows.column("root"))[0].view(np.uint64).reshape(-1, 2), _folded(rows)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        first, second = (np.flatnonzero(rows.column("own").to_numpy() == x) for x in (i, j))
-        step = max(1, (1 << 22) // max(1, len(second) * marks.shape[1]))
-        for k in range(0, len(first), step):
-            r, c = (x.ravel() for x in np.meshgrid(first[k : k + step], second, indexing="ij"))
-            keep = (root[c] != root[r]).any(1) & (den * np.minimum(size[c], size[r]) >= num * np.maximum(size[c], size[r]))
-            if i == j:
-                keep &= c > r
-            r, c = r[keep], c[keep]
-            near = np.bitwise_count(marks[c] ^ marks[r]).sum(1) <= (size[c] + size[r]) * (den - num) // (num + den)
-            yield r[near], c[near]
+    held = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    clusters = scratch.table(clusters.join(held, "cluster").select("cluster", "blocks", "cls", F.col("doc_id").alias("of")), "needed")
+    few = F.broadcast(clusters) if clusters.count() <= FEW_IDS else clusters
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("need"), "text").join(few, F.col("need") == F.col("of"))
+    dealt = in_blocks(texts, "cluster", "cls", F.col("blocks")).select("cluster", "i", "j", "own", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in _grouped(batches, 3):
-            found = [(r + a, c + a) for a, z in zip(cuts[:-1], cuts[1:]) if z - a > 1 for r, c in compare(rows.slice(a, z - a)) if len(r)]
-            if found:
-                r, c = (np.concatenate(x) for x in zip(*found))
-                cls = np.ascontiguousarray(utf8(rows.column("cls"))[0].reshape(-1, 16))
-                names = cls.view("S16").ravel()
-                swap = names[r] > names[c]  # the lesser key first
-                yield pa.RecordBatch.from_arrays([_fixed(cls[np.where(swap, c, r)]), _fixed(cls[np.where(swap, r, c)])], ["a", "b"])
-
-    dealt = dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if z - a > 1:
+                    yield from compare(rows.slice(a, z - a))
+
+    def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = utf8(rows.column("text"))
+        parts = [shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n) for a, b in slices(offsets)]
+        value, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        names = utf8(rows.column("cls"))[0].reshape(-1, 16)
+        # of rows that repeat a doc_id, those with the set's key count
+        good = (set_keys(value, counts) == names).all(1)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        near = Near(counts, sketches(value, counts, 4), num, den)
+
+        def similar(x: int, rest: np.ndarray) -> np.ndarray:
+            rest = near.of(x, rest[good[rest]]) if good[x] else rest[:0]
+            if not len(rest):
+                return rest
+            mine, held = value[at[x] : at[x + 1]], counts[rest]
+            begin = np.concatenate(([0], np.cumsum(held)[:-1]))
+            others = value[np.repeat(at[rest] - begin, held) + np.arange(held.sum())]
+            same = mine[np.minimum(np.searchsorted(mine, others), len(mine) - 1)] == others
+            both = np.add.reduceat(same.astype(np.int64), begin)
+            return rest[den * both >= num * (len(mine) + held - both)]
+
+        sides = rows.column("own").to_numpy() if rows.column("i")[0] != rows.column("j")[0] else None
+        for part in reached(len(counts), similar, sides):
+            least = min(part.tolist(), key=lambda k: names[k].tobytes())
+            yield pa.RecordBatch.from_arrays([_fixed(np.repeat(names[least][None], len(part), 0)), _fixed(names[part])], ["a", "b"])
+
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a binary, b binary").where("a != b")
+
+
+def _some(doc_id: str) -> Column:
+    """A doc_id, the least number for null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+
+
+def labelled_rows(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, digest, n_shingles, stays (the doc_id and digest of the row that stands for the component, null for a row that links with nothing) of each row of docs."""
+    spark, bands = docs.sparkSession, Bands(num, den)
+    scratch = Scratch(spark, "join")
+    rows = table(set_table(docs, n), "join-rows")
+    best = F.struct(_some("doc_id").alias("doc_id"), "digest")
+    sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.min(best).alias("least"), F.first("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    sets = scratch.table(sets, "sets")
+    groups = scratch.table(signature_groups(docs, n, bands, partitions(spark)), "groups")
+    maybe = components(scratch.table(maybe_links(groups, sets, num, den), "maybe"), scratch)
+    clusters = maybe.select(F.col("node").alias("id"), F.col("root").alias("cluster")).unionByName(maybe.select(F.col("root").alias("id"), F.col("root").alias("cluster")).distinct())
+    clusters = clusters.join(sets, "id").select("cluster", "cls", F.col("least.doc_id").alias("doc_id"), "n_shingles")
+    roots = components(scratch.table(exact_links(clusters, docs, n, num, den, scratch), "links"), scratch)
+    rooted = sets.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"))
+    by_root = rooted.groupBy("root").agg(F.min("least").alias("stays"), F.sum("copies").alias("size")).where("size > 1")
+    # a document alone is its own component
+    labels = table(rooted.join(by_root, "root").select(F.col("cls").alias("of"), "stays"), "join-labels")
+    scratch.drop()
+    return rows.select("doc_id", "digest", "n_shingles", "cls").join(labels, (F.col("cls") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "digest", "n_shingles", "stays")
 
 
 def similar_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -408,43 +464,29 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
 
     Words are runs without white space with A-Z in lower case; a set holds the distinct n-word shingles, or the whole sequence where
     there are fewer words. A null, empty or blank text has an empty set and links with nothing. Equal sets are one class at once; classes
-    that share a PartEnum signature are candidates. First each class meets the least of one of its groups, then the hub of one; then all pairs
-    of a group that are still in different components and whose sketches allow a link are compared, so that no link between components is missed.
-    Rows that repeat stand together. A null doc_id sorts as the least. An empty table gives no rows; other columns are ignored.
+    that share a PartEnum signature are candidates. Candidates whose sizes and sketches allow a link form clusters, within which the sets
+    themselves are compared, in blocks, so that no link is missed. Rows that repeat stand together. A null doc_id sorts as the least. An empty
+    table gives no rows; other columns are ignored.
     """
-    bands = Bands(num, den)
-    rows = table(set_table(docs, n), "join-sets")
-    some_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.min(some_id).alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    sets = table(sets, "join-classes")
-    groups = table(signature_groups(docs, n, bands, partitions(docs.sparkSession)), "join-groups")
-    tried, links = None, None
-    for search in ("leader", "hub", "all"):
-        if search == "leader":
-            pairs = groups.where("cls != leader").groupBy(F.col("cls").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-        else:
-            members = table(mixed_members(groups, components(links)), "join-mixed")
-            pairs = hub_pairs(members, sets) if search == "hub" else cross_pairs(members, sets, num, den)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = table(pairs, "join-pairs")
-        if search == "leader" or not pairs.isEmpty():
-            found = verify(pairs, sets, docs, n, num, den)
-            tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
-    roots = components(links)
-    rooted = sets.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", "copies", F.coalesce("root", "cls").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"), F.sum("copies").alias("size"))
-    # a document alone is its own component
-    labels = table(rooted.join(least.where("size > 1"), "root").select(F.col("cls").alias("of"), "least"), "join-labels")
-    label = F.when(F.col("of").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.nullif("least", F.lit(-(1 << 63))))
-    return rows.select("doc_id", "n_shingles", "cls").join(labels, F.col("cls") == F.col("of"), "left").select("doc_id", "n_shingles", label.alias("component_id"))
+    label = F.when(F.col("stays").isNull(), F.col("doc_id")).otherwise(F.nullif("stays.doc_id", F.lit(-(1 << 63))))
+    return labelled_rows(docs, n, num, den).select("doc_id", "n_shingles", label.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, with the columns of docs. Rows that repeat a doc_id stay or go together."""
-    found = similar_components(docs, n, num, den)
-    some = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    # rows without words stand for themselves
-    gone = found.where(some("doc_id") != some("component_id")).select(some("doc_id").alias("__gone")).distinct()
-    gone = table(gone, "join-gone")
-    gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__gone"), "left_anti")
+    """One row of each component of docs, with the columns of docs: that of the least doc_id, null being the least, and then of the least digest of its text.
+
+    Each row is decided by its own doc_id and text. Rows without words stand for themselves and stay. Of rows that repeat doc_id and text, one stays. Long
+    texts are read whole; an empty table gives no rows; columns of docs may have any names.
+    """
+    found = labelled_rows(docs, n, num, den).where("stays IS NOT NULL").select(_some("doc_id").alias("doc_id"), "digest", "stays")
+    stays = (F.col("stays.doc_id") == F.col("doc_id")) & (F.col("stays.digest") == F.col("digest"))
+    keys = table(found.groupBy("doc_id", "digest").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"), "join-gone")
+    count, twice = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("stays"), 1))).first()
+    few = F.broadcast(keys) if count <= FEW_IDS else keys
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _some("doc_id").alias("own_id"), text_digest().alias("own_digest"))
+    same = (F.col("own_id") == F.col("doc_id")) & (F.col("own_digest") == F.col("digest"))
+    out = whole.join(few, same, "left_anti").select("row")
+    if twice:  # one of the rows that repeat
+        again = Window.partitionBy("own_id", "own_digest").orderBy(F.xxhash64("row"))
+        out = out.unionByName(whole.join(few.where("stays"), same, "left_semi").withColumn("nth", F.row_number().over(again)).where("nth = 1").select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
