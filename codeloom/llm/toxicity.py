@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +88,11 @@ class Channel:
         return own
 
     def _hold(self, cost: np.ndarray) -> None:
-        self.cost, self.table = cost, cost.tolist()  # single numbers are read faster from lists
+        # single numbers are read faster from a list; a state is KINDS * kind before + last kind, a place KINDS * state + next kind
+        self.cost, self.flat = cost, cost.ravel().tolist()
         self.known: dict[str, str] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
+        self.ends: dict[tuple[str, str], bool] = {}
 
     def restore(self, piece: str) -> str:
         """The piece (in lower case) in plain letters; "" if nothing is left. Spaces in it may be word ends or not."""
@@ -101,75 +105,115 @@ class Channel:
         return self.known[piece]
 
     def _viterbi(self, said: str) -> str:
-        # columns: what may be meant, as (letter or "", cost), and the prices of going on and of ending a word before it
+        # columns: what may be meant, as (kind or None, letter, cost), and the prices of going on and of ending a word before it
         tokens = said.split(" ")
-        piece, gaps, spelt = "".join(tokens), {}, 0
-        at, runs = 0, []
-        for n, token in enumerate(tokens):
-            spelt = spelt + 1 if len(token) == 1 else 0
-            runs.append(spelt)
-        for n in range(len(tokens) - 2, -1, -1):
-            if runs[n] and runs[n + 1]:
-                runs[n] = runs[n + 1]
-        for n in range(len(tokens) - 1):
-            at += len(tokens[n])
-            gaps[at] = (0.0, WORD_END) if runs[n] >= SPELT and runs[n + 1] >= SPELT else (SPACE, 0.0)
-        table = self.table
-        states: dict = {(0, 0): (0.0, None)}  # what was said is a chain of (before, letters)
+        piece, gaps = "".join(tokens), {}
+        if len(tokens) > 1:
+            at, spelt, runs = 0, 0, []
+            for token in tokens:
+                spelt = spelt + 1 if len(token) == 1 else 0
+                runs.append(spelt)
+            for n in range(len(tokens) - 2, -1, -1):
+                if runs[n] and runs[n + 1]:
+                    runs[n] = runs[n + 1]
+            for n in range(len(tokens) - 1):
+                at += len(tokens[n])
+                gaps[at] = (0.0, WORD_END) if runs[n] >= SPELT and runs[n + 1] >= SPELT else (SPACE, 0.0)
+        flat, low = self.flat, KINDS - 1
+        states: dict[int, tuple] = {0: (0.0, None)}  # what was said is a chain of (before, letters)
         for i, c in enumerate(piece):
             again = i and piece[i - 1] == c
-            run = again and (piece[i - 2 : i - 1] == c or piece[i + 1 : i + 2] == c)
             ways = []
             if c.isalpha():
-                ways.append((c, 0.0))
+                ways.append((kind_of(c), c, 0.0))
                 if again:
-                    ways.append(("", LONG_RUN if run else PAIR))
+                    ways.append((None, "", LONG_RUN if piece[i - 2 : i - 1] == c or piece[i + 1 : i + 2] == c else PAIR))
             else:
-                ways += [(x, LOOKALIKE) for x in LOOKALIKES.get(c, "")]
-                ways.append(("", FILLER if c in FILLERS else LONG_RUN if run else DIGIT if c.isdigit() else SYMBOL))
-            on, end = gaps.get(i, (0.0, None))
-            after: dict = {}
-            for (a, b), (cost, chain) in states.items():
-                starts = [(a, b, cost + on, chain)]
-                if end is not None and chain and b:
-                    starts.append((b, 0, cost + end + table[a][b][0], (chain, " ")))
-                for a1, b1, total1, chain1 in starts:
-                    for letter, price in ways:
-                        if letter:
-                            k = kind_of(letter)
-                            state, total = (b1, k), total1 + price + table[a1][b1][k]
-                        else:
-                            state, total = (a1, b1), total1 + price
-                        if state not in after or total < after[state][0]:
-                            after[state] = (total, (chain1, letter) if letter else chain1)
-            states = after
-        chain = min(((cost + (table[a][b][0] if chain and b else 0.0), n, chain) for n, ((a, b), (cost, chain)) in enumerate(states.items())), default=(0, 0, None))[2]
+                ways += [(kind_of(x), x, LOOKALIKE) for x in LOOKALIKES.get(c, "")]
+                run = again and (piece[i - 2 : i - 1] == c or piece[i + 1 : i + 2] == c)
+                ways.append((None, "", FILLER if c in FILLERS else LONG_RUN if run else DIGIT if c.isdigit() else SYMBOL))
+            if i in gaps:
+                on, end = gaps[i]
+                starts = []
+                for state, (cost, chain) in states.items():
+                    starts.append((state, cost + on, chain))
+                    if chain and state & low:
+                        starts.append(((state & low) * KINDS, cost + end + flat[state * KINDS], (chain, " ")))
+            else:
+                starts = [(state, cost, chain) for state, (cost, chain) in states.items()]
+            states = {}
+            for state, cost, chain in starts:
+                for k, letter, price in ways:
+                    if k is None:
+                        to, total, then = state, cost + price, chain
+                    else:
+                        to, total, then = (state & low) * KINDS + k, cost + price + flat[state * KINDS + k], (chain, letter)
+                    if to not in states or total < states[to][0]:
+                        states[to] = (total, then)
+        chain = min(((cost + (flat[state * KINDS] if chain and state & low else 0.0), n, chain) for n, (state, (cost, chain)) in enumerate(states.items())), default=(0, 0, None))[2]
         letters = []
         while chain:
             chain, letter = chain
             letters.append(letter)
         return "".join(reversed(letters)).strip()
 
+    def apart(self, left: str, right: str) -> bool:
+        """Whether two tokens in a row are two words, whatever stands around them.
+
+        So it is where each has one path through the lattice and two letters at least: then the two letters on either side decide the space
+        between them alone, and the lattice can be cut there.
+        """
+        said = self.ends.get((left, right))
+        if said is None:
+            if len(self.ends) > REMEMBERED:
+                self.ends.clear()
+            said, a, b = False, _sole(left), _sole(right)
+            if len(a) > 1 and len(b) > 1 and left[-1] != right[0]:
+                cost = lambda *k: self.flat[(k[0] * KINDS + k[1]) * KINDS + k[2]]
+                (w, x), (y, z) = map(kind_of, a[-2:]), map(kind_of, b[:2])
+                said = cost(w, x, 0) + cost(x, 0, y) + cost(0, y, z) < SPACE + cost(w, x, y) + cost(x, y, z)
+            self.ends[left, right] = said
+        return said
+
     def pieces(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         split = _TAIL.sub(" ", text.lower()).split() if _TAIL.search(text) else text.lower().split()
-        out = set()
-        for piece in set(split):
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        words, distinct = self.words, set(split)
+        for piece in [p for p in distinct if p not in words]:
             plain = piece if piece.isalpha() else piece.strip(".,;:?\"'()[]{}«»¿¡…-–—")
-            if len(plain) > 1 or plain.isalpha():
-                if not plain.isdigit():
-                    out.update(self.restore(plain).split())
+            words[piece] = tuple(self.restore(plain).split()) if (len(plain) > 1 or plain.isalpha()) and not plain.isdigit() else ()
+        out = set(chained.from_iterable(map(words.__getitem__, distinct)))
         # letters and parts of words that stand apart
         run: list[str] = []
-        for token in [*split, ""]:
-            if token and (len(token) == 1 or len(token) <= SHORT and not token.isdigit()):
+        for token in split:
+            if len(token) > SHORT or token.isdigit() and len(token) > 1:
+                if run:
+                    self._join(run, out)
+                    run = []
+            elif not run:
                 run.append(token)
             else:
-                if len(run) > 1:
-                    out.update(self.restore(" ".join(run)).split())
-                run = []
+                # a letter that may be a repeat of the token before leaves a token's end open
+                if self.apart(run[-1], token) and not (len(run) > 1 and run[-2][-1] == run[-1][0]):
+                    self._join(run, out)
+                    run = []
+                run.append(token)
+        self._join(run, out)
         return out
 
+    def _join(self, run: list[str], out: set[str]) -> None:
+        if len(run) > 1:
+            out.update(self.restore(" ".join(run)).split())
+
+
+def _sole(token: str) -> str:
+    """The letters of a token that has one path through the lattice, else nothing."""
+    if token.isalpha():
+        return "" if _AGAIN.search(token) else token
+    return "" if _AGAIN.search(token) or any(c in LOOKALIKES for c in token) else "".join(c for c in token if c.isalpha())
+
 
 def features(word: str) -> list[int]:
     """The word and its beginnings, as hashes."""
@@ -275,7 +319,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs under the threshold."""
+    """The rows of docs whose score is under the threshold, with the columns of docs.
+
+    Each row is decided by its own whole text: a null doc_id, ties and rows that repeat play no part. Null and empty texts get the score of no
+    evidence. Without labels every score is 0.5. An empty table gives no rows; columns of docs may have any names.
+    """
     model = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((model.channel.cost, model.weights, model.bias))
 
