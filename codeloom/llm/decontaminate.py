@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, mix64, slices, utf8
 
-#: Characters of a q-gram; of a segment of an item; between segments; and per edit that a segment may have.
-Q, SEGMENT, STRIDE, PER_EDIT = 12, 80, 20, 20
+#: Bytes of a q-gram.
+Q = 12
 #: Bytes of item texts that one pass over the documents holds; larger benchmarks take more passes.
 PASS_BYTES = 4 << 20
 _FILTER_BITS = 22
@@ -49,10 +50,21 @@ def grams(t: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Characters of a segment of an item; between segments; and per edit that a segment may have."""
+
+    segment: int = 80
+    stride: int = 20
+    per_edit: int = 20
+
+
 @dataclass
 class Index:
-    """q-grams of the segments of some items."""
+    """q-grams of the segments of some items, and the items that are shorter than one."""
 
+    ids: list  # by item
+    short: dict  # by number of words: texts of short items, and their items
     items: list  # by segment
     texts: list[bytes]  # by segment
     edits: np.ndarray
@@ -64,19 +76,22 @@ class Index:
     screen: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple]) -> Index:
-        names, texts = [], []
-        for item, text in items:
+    def of(cls, items: list[tuple], bounds: Bounds) -> Index:
+        names, texts, short = [], [], {}
+        for item, (_, text) in enumerate(items):
             t = plain(*utf8(pa.array([text or ""])))[0].tobytes().strip()
-            starts = list(range(0, max(1, len(t) - SEGMENT + 1), STRIDE))
-            if len(t) > SEGMENT:
-                starts.append(len(t) - SEGMENT)
+            if 0 < len(t) < Q:
+                short.setdefault(t.count(b" ") + 1, {}).setdefault(t, []).append(item)
+            if len(t) < Q:
+                continue
+            starts = list(range(0, max(1, len(t) - bounds.segment + 1), bounds.stride))
+            if len(t) > bounds.segment:
+                starts.append(len(t) - bounds.segment)
             for s in dict.fromkeys(starts):
-                if len(t) >= Q:
-                    names.append(item)
-                    texts.append(t[s : s + SEGMENT])
+                names.append(item)
+                texts.append(t[s : s + bounds.segment])
         size = np.array([len(t) for t in texts], np.int64)
-        edits = np.minimum(size // PER_EDIT, (size - Q) // Q)
+        edits = np.minimum(size // bounds.per_edit, (size - Q) // Q)
         all_grams = [grams(np.frombuffer(t, np.uint8)) for t in texts]
         gram = np.concatenate([*all_grams, np.zeros(0, np.uint64)])
         segment = np.repeat(np.arange(len(texts)), [len(g) for g in all_grams]).astype(np.int64)
@@ -85,7 +100,7 @@ class Index:
         unique, first = np.unique(gram[order], return_index=True)
         screen = np.zeros(1 << _FILTER_BITS, bool)
         screen[(mix64(unique) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return cls(names, texts, edits, size - Q + 1 - edits * Q, unique, np.append(first, len(gram)), segment[order], place[order], screen)
+        return cls([i for i, _ in items], short, names, texts, edits, size - Q + 1 - edits * Q, unique, np.append(first, len(gram)), segment[order], place[order], screen)
 
 
 def aligned(pattern: bytes, text: bytes, shift: int, band: int) -> tuple[int, int, int]:
@@ -159,44 +174,83 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, end, edits, n_segments: one row per row of docs and benchmark item of which it holds a segment.
+def find_short(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, start, end) of each item under Q bytes whose words a row holds."""
+    if not index.short:
+        return
+    t, at, origin = plain(data, offsets)
+    for r in range(len(at) - 1):
+        words = t[at[r] : at[r + 1]].tobytes().split(b" ")
+        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+        for n, texts in index.short.items():
+            for k in range(len(words) - n + 1):
+                for item in texts.get(b" ".join(words[k : k + n]), ()):
+                    yield r, item, int(origin[at[r] + begin[k]] - offsets[r]), int(origin[at[r] + begin[k + n] - 2] + 1 - offsets[r])
 
-    Texts are compared in lower case (A-Z), with runs of ASCII punctuation and white space as one space. An item is cut into
-    overlapping segments of SEGMENT characters, one every STRIDE, so that a part of SEGMENT + STRIDE holds a whole one (a shorter item is one segment, and one under Q characters is never found); a document
-    holds a segment if a part of it is within one edit per PER_EDIT characters. start and end are bytes of the UTF-8 text around all
-    segments found; edits is the least of a segment. Null and empty texts hold nothing; rows that repeat each report; an empty table
-    on either side gives no rows; other columns are ignored. Whole texts are searched; items are held in passes of PASS_BYTES.
-    """
-    spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+
+def search(index: Index, texts: pa.Array) -> dict[tuple[int, int], list]:
+    """By row and item of which it holds a segment: start, end, edits, segments."""
+    data, offsets = utf8(texts)
+    rows: dict[tuple[int, int], list] = {}
+    for a, b in slices(offsets):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        for r, item, start, end, edits, s in [*((r, index.items[s], x, z, e, s) for r, s, x, z, e in find(index, part, at)), *((r, item, x, z, 0, -1) for r, item, x, z in find_short(index, part, at))]:
+            was = rows.setdefault((a + r, item), [start, end, edits, set()])
+            was[0], was[1], was[2] = min(was[0], start), max(was[1], end), min(was[2], edits)
+            was[3].add(s)
+    return rows
+
+
+def _passes(benchmark: DataFrame, bounds: Bounds) -> Iterator[Broadcast]:
+    """Indexes of the items, PASS_BYTES of their texts at a time."""
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-int(total) // PASS_BYTES))
-    out = None
     for i in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i) if passes > 1 else items
-        sent = spark.sparkContext.broadcast(Index.of(sorted({(r.item_id, r.text) for r in part.collect()})))
+        some = sorted({(r.item_id, r.text) for r in part.collect()}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.of(some, bounds))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """doc_id, item_id, start, end, edits, n_segments: one row per row of docs and benchmark item of which it holds a segment.
+
+    Texts are compared in lower case (A-Z), with runs of ASCII punctuation and white space as one space. An item is cut into
+    overlapping segments of bounds.segment characters, one every bounds.stride, so that a part of both together holds a whole one (a shorter
+    item is one segment, and one under Q bytes is found where a row holds just its words); a document holds a segment if a part of it is within
+    one edit per bounds.per_edit characters. start and end are bytes of the UTF-8 text around all segments found; edits is the least of a
+    segment. Null and empty texts hold nothing; a null item_id or doc_id is reported as null; rows of docs that repeat each report, and
+    items that repeat count once; an empty table on either side gives no rows; other columns are ignored. Whole texts are searched;
+    items are held in passes of PASS_BYTES.
+    """
+    out = None
+    for sent in _passes(benchmark, bounds):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                data, offsets = utf8(batch.column(1))
-                ids, rows = batch.column(0), {}
-                for a, b in slices(offsets):
-                    for r, s, start, end, edits in find(index, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                        was = rows.setdefault((a + r, index.items[s]), [start, end, edits, set()])
-                        was[0], was[1], was[2] = min(was[0], start), max(was[1], end), min(was[2], edits)
-                        was[3].add(s)
+                rows = search(index, batch.column(1))
                 if rows:
                     keys = list(rows)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in keys])), pa.array([i for _, i in keys], pa.int64()), *(pa.array([rows[k][c] for k in keys], pa.int64()) for c in range(3)), pa.array([len(rows[k][3]) for k in keys], pa.int64())], ["doc_id", "item_id", "start", "end", "edits", "n_segments"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in keys])), pa.array([index.ids[i] for _, i in keys], pa.int64()), *(pa.array([rows[k][c] for k in keys], pa.int64()) for c in range(3)), pa.array([len(rows[k][3]) for k in keys], pa.int64())], ["doc_id", "item_id", "start", "end", "edits", "n_segments"])
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long, n_segments long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no segment of an item; rows that repeat a doc_id go together."""
-    bad = contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__bad")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == F.col("__bad"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """The rows of docs that hold no segment of an item, with the columns of docs.
+
+    Each row is decided by its own text, as contaminated() finds segments, so that nothing is shuffled and a null or repeated doc_id plays
+    no part; rows that repeat stay or go alike. Null and empty texts stay. An empty benchmark drops nothing; columns may have any names.
+    """
+    for sent in _passes(benchmark, bounds):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                gone = {r for r, _ in search(sent.value, batch.column(batch.schema.get_field_index("text")))}
+                yield batch.take(pa.array([r for r in range(len(batch)) if r not in gone], pa.int64())) if gone else batch
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
