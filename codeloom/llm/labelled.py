@@ -14,8 +14,10 @@ def fold(doc_id: Column, folds: int) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
     """text, label (0 or 1) of at most `most` labelled rows outside the fold held_out, by order of a hash of doc_id.
 
-    Labels other than 0 and 1 are ignored. The sample's ids, at most `most`, are broadcast.
+    Labels other than 0 and 1 are ignored. The sample's ids, at most `most`, are broadcast. Of rows that repeat a doc_id, the least text
+    counts, so that rows are no more than ids.
     """
     ids = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("label"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")

@@ -1,11 +1,12 @@
 """Toxicity, quality, decontamination, HTML and the pipeline: planted cases, held-out accuracy, hard rows."""
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, html_extract, quality_mil, toxicity
+from codeloom.llm import decontaminate, html_extract, labelled as labelling, quality_mil, toxicity
 from codeloom.llm.common import utf8
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -119,6 +120,50 @@ def test_gradient():
 ITEM = "When the harbour lights went out, nobody on the quay could tell whether the ferry had turned back or simply vanished into the rain. The captain later said otherwise."
 
 
+@pytest.fixture(scope="module")
+def channel():
+    """A channel of random costs, which no two paths share."""
+    return toxicity.Channel.of_costs(np.random.default_rng(31).uniform(0.2, 6, (toxicity.KINDS,) * 3))
+
+
+def test_lattice_against_all_paths(channel):
+    rng = np.random.default_rng(32)
+    for _ in range(400):
+        said = "".join(rng.choice(list("aabi1$0.-s !é"), int(rng.integers(1, 9))))
+        said = " ".join(said.split()) or "a"
+        paths = brute.cheapest(said, channel.cost, toxicity.LOOKALIKES, toxicity, toxicity.kind_of)
+        assert channel.restore(said) in {x for cost, x in paths if cost < paths[0][0] + 1e-9}, said
+
+
+def test_lattice_is_cut_where_it_may(channel):
+    """Runs of short tokens that are decoded in parts give what they give in one piece."""
+    rng, short = np.random.default_rng(33), ["ab", "ba", "a", "la", "al", "os,", "so", "no.", "1s", "tee", "$a", "é", "eta", "in"]
+    for _ in range(400):
+        run = list(rng.choice(short, int(rng.integers(2, 7))))
+        whole = set(channel.restore(" ".join(run)).split()) | {x for t in run for x in channel.pieces(t)}
+        assert channel.pieces(" ".join(run)) == whole, run
+
+
+def test_long_disguise(channel):
+    """A disguise across any place of a long piece or of many spaced letters is decoded as one word."""
+    rng = np.random.default_rng(34)
+    counts = np.zeros((toxicity.KINDS,) * 3)
+    codes = toxicity.kind(np.frombuffer((" " + " ".join(["idiot", *prose(rng, 2000), *["idiot"] * 50]) + " ").encode("utf-32-le"), np.uint32))
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    own = toxicity.Channel(counts)
+    for n in (3, 44, 46, 47, 200):
+        assert own.restore("x" * n + "1d10t").endswith("idiot")
+        assert "idiot" in own.pieces(" ".join("stone" * n + "idiot" + "river"))
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 5, f"t{i}") for i in range(2000)] + [(None, "n"), (6, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(None, 1), (3, 7), (1, 0)], "doc_id long, toxic int")
+    rows = labelling.training_sample(docs, labels, "toxic", 3, 5, 4).collect()
+    assert len(rows) <= 4 and len({r.text for r in rows}) == len(rows)
+    assert sorted(map(str, rows)) == sorted(map(str, labelling.training_sample(docs.repartition(3), labels, "toxic", 3, 5, 4).collect()))
+
+
 def edits(text, n, rng):
     chars = list(text)
     for at in sorted(rng.choice(len(chars), n, replace=False))[::-1]:
@@ -130,15 +175,17 @@ def edits(text, n, rng):
 def test_decontamination(spark, hard, empty):
     rng = np.random.default_rng(6)
     clean = [" ".join(prose(rng, 300)) for _ in range(40)]
-    cases = {100: clean[0] + " " + ITEM + " " + clean[1], 101: ITEM.upper().replace(" ", " \n"), 102: clean[2] + edits(ITEM, 3, rng), 103: clean[3] + ITEM[30:135], 104: clean[4] + ITEM[:60] + clean[5], 105: "so. " + ITEM.replace(",", ";")}
+    cases = {100: clean[0] + " " + ITEM + " " + clean[1], 101: ITEM.upper().replace(" ", " \n"), 102: clean[2] + edits(ITEM, 3, rng), 103: clean[3] + ITEM[30:135], 104: clean[4] + ITEM[:60] + clean[5], 105: "so. " + ITEM.replace(",", ";"), 106: clean[6] + " zq  xv, " + clean[7], 107: clean[6] + " zq  xvs, " + clean[7]}
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in [*enumerate(clean), *cases.items()]], SCHEMA)
-    benchmark = spark.createDataFrame([(7, ITEM), (8, None), (None, ITEM), (9, "short"), (10, "another item of forty characters or so, yes")], "item_id long, text string")
+    benchmark = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, None), (None, ITEM), (9, "Zq, Xv!"), (11, " - "), (10, "another item of forty characters or so, yes")], "item_id long, text string")
     rows = decontaminate.contaminated(docs, benchmark).collect()
-    assert {(r.doc_id, r.item_id) for r in rows} == {(i, 7) for i in (100, 101, 102, 103, 105)}
-    one = next(r for r in rows if r.doc_id == 100)
+    assert sorted((r.doc_id, r.item_id or 0) for r in rows) == [*((i, x) for i in (100, 101, 102, 103, 105) for x in (0, 7)), (106, 9)]
+    short = next(r for r in rows if r.doc_id == 106)
+    assert cases[106].encode()[short.start : short.end] == b"zq  xv" and (short.edits, short.n_segments) == (0, 1)
+    one = next(r for r in rows if r.doc_id == 100 and r.item_id == 7)
     assert one.edits == 0 and cases[100].encode()[one.start : one.end].decode().strip(" .") == ITEM.strip(".")
     left = decontaminate.decontaminate(docs, benchmark)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {*range(40), 104}
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {*range(40), 104, 107}
     assert decontaminate.contaminated(hard, benchmark).isEmpty() and decontaminate.decontaminate(hard, benchmark).count() == len(HARD)
     assert decontaminate.contaminated(empty, benchmark).isEmpty() and decontaminate.contaminated(docs, benchmark.limit(0)).isEmpty()
 
@@ -155,8 +202,8 @@ def test_decontamination_in_passes(spark, monkeypatch):
 def test_lemma_misses_nothing():
     """Every part within the edit budget of a segment is found: brute force over random edits."""
     rng = np.random.default_rng(12)
-    segment = "".join(map(chr, rng.integers(97, 123, decontaminate.SEGMENT)))
-    index = decontaminate.Index.of([(0, segment)])
+    segment = "".join(map(chr, rng.integers(97, 123, decontaminate.Bounds().segment)))
+    index = decontaminate.Index.of([(0, segment)], decontaminate.Bounds())
     for _ in range(60):
         text = "".join(map(chr, rng.integers(97, 123, 50))) + edits(segment, int(index.edits[0]), rng) + "".join(map(chr, rng.integers(97, 123, 50)))
         assert decontaminate.find(index, *utf8(pa.array([text])))
@@ -164,6 +211,24 @@ def test_lemma_misses_nothing():
         assert not decontaminate.find(index, *utf8(pa.array([far])))
 
 
+def test_decontamination_by_rows(spark):
+    """A null or repeated doc_id, and columns with the plan's names, play no part."""
+    docs = spark.createDataFrame([(None, "x " + ITEM), (None, "clean text"), (5, "clean"), (5, ITEM + " y"), (5, "clean")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("__bad", "__gone", "row", "digest", "item_id")})
+    left = decontaminate.decontaminate(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["clean", "clean", "clean text"]
+
+
+def test_decontamination_against_alignment(spark):
+    """Rows, edits and segments against a plain alignment of every segment with every text."""
+    rng = np.random.default_rng(21)
+    bounds = decontaminate.Bounds(40, 13, 10)
+    items = [(i, " ".join(prose(rng, 14))) for i in range(4)] + [(4, "Odd, forty-odd: bytes & more!")]
+    texts = [" ".join(prose(rng, 12)) + " " + edits(items[i % 5][1][int(rng.integers(0, 9)) :], int(rng.integers(0, 7)), rng) + " " + " ".join(prose(rng, 3)) for i in range(40)]
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), bounds).collect()
+    want = brute.contaminated(list(enumerate(texts)), items, bounds, decontaminate.Q)
+    assert {(r.doc_id, r.item_id): (r.edits, r.n_segments) for r in found} == want and len(want) > 15
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body>
 <div id="cookie-notice"><p>We use cookies, many of them, to make this site better for all of you, as one does.</p></div>
 <header><h1>Site name</h1></header><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav>
