@@ -126,8 +126,10 @@ def dedup_batch(batch_docs: DataFrame, snapshot_docs: DataFrame) -> tuple[DataFr
     Filters built once per snapshot screen the batch's distinct digests; what passes is joined with the snapshot's exact digests,
     and one text of each side is compared byte by byte, so that neither a filter's false positive nor a digest's collision counts.
     """
-    batch, held = table(digests(batch_docs), "dedup-batch"), table(digests(snapshot_docs), "dedup-snapshot")
-    shards = max(1, -(-held.count() // SHARD_ROWS))
+    # rows are numbered as they are written
+    numbered = lambda docs, name: table(digests(docs).withColumn("row", F.monotonically_increasing_id()), name)
+    batch, held = numbered(batch_docs, "dedup-batch"), numbered(snapshot_docs, "dedup-snapshot")
+    shards = max(1, -(-max(held.count(), batch.count()) // SHARD_ROWS))
     filters = table(snapshot_filters(held, shards), "dedup-filters")
     positive = table(screen(batch, filters, shards), "dedup-positive")
     # exact buckets: one row of each side stands for a digest
@@ -151,33 +153,29 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, seen (the snapshot holds the text, too) of each row of docs.
 
     Half of the documents (by a hash of doc_id) are the immutable snapshot, the others the incoming batch. Texts are equal when
-    their bytes without white space are; null counts as empty, and empty texts are one group. Of a group, the row with the most
-    code points in its original text stays, then the smallest doc_id (null first); rows that repeat that doc_id all carry it and
-    one is kept only if their doc_id and length are: such rows are equal, and all are marked kept. Copies of a hot group are counted
-    before they are shuffled. An empty table gives no rows; other columns are ignored.
+    their bytes without white space are; null counts as empty, and empty texts are one group. Of a group, one row stays: that with the most
+    code points in its original text, then the smallest doc_id (null first), then any of those that repeat both. Copies of a hot group are
+    counted before they are shuffled. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     batch, held, common = dedup_batch(docs.where(~half), docs.where(half))
     common = common.withColumn("seen", F.lit(True))
     rows = batch.withColumn("side", F.lit(1)).unionByName(held.withColumn("side", F.lit(0)))
-    # each side's own groups first, then those of digests that both sides hold
-    best = F.max_by(F.struct("doc_id"), F.struct("n_chars", F.coalesce(-F.col("doc_id"), F.lit(1 << 62)))).alias("best")
-    own = rows.groupBy("digest", "side").agg(F.count(F.lit(1)).alias("size"), F.max("n_chars").alias("n_chars"), best)
-    own = own.select("digest", "side", "size", "n_chars", F.col("best.doc_id").alias("doc_id"))
-    joined = own.join(common, "digest", "left").withColumn("side", F.when(F.col("seen"), -1).otherwise(F.col("side")))
-    groups = joined.groupBy("digest", "side").agg(F.sum("size").alias("group_size"), best, F.max("n_chars").alias("most"), F.first("seen").alias("seen"))
-    groups = groups.where("group_size > 1").select("digest", F.col("side").alias("of"), "group_size", "most", F.col("best.doc_id").alias("keep"), "seen", F.lit(True).alias("found"))
-    groups = table(groups, "dedup-groups")
+    # each side's own groups first, then those of digests that both sides hold; the least is the row that stays
+    least = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "side", "row")).alias("least")
+    own = rows.groupBy("digest", "side").agg(F.count(F.lit(1)).alias("size"), least)
+    joined = own.join(common, "digest", "left").withColumn("of", F.when(F.col("seen"), -1).otherwise(F.col("side")))
+    groups = joined.groupBy("digest", "of").agg(F.sum("size").alias("group_size"), F.min("least").alias("least"), F.first("seen").alias("seen")).where("group_size > 1")
+    groups = table(groups.select("digest", "of", "group_size", F.col("least.doc_id").alias("keep"), F.col("least.side").alias("keep_side"), F.col("least.row").alias("keep_row"), "seen"), "dedup-groups")
     match = (rows["digest"] == groups["digest"]) & ((groups["of"] == -1) | (groups["of"] == rows["side"]))
-    size = F.coalesce("group_size", F.lit(1)).cast("long")
-    keep = F.when(F.col("found"), F.col("keep")).otherwise(F.col("doc_id"))
-    kept = F.when(F.col("found"), F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_chars") == F.col("most"))).otherwise(True)
-    return rows.join(groups, match, "left").select("doc_id", keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), rows["digest"].alias("text_sha256"), F.coalesce("seen", F.lit(False)).alias("seen"))
+    alone = F.col("group_size").isNull()
+    kept = alone | ((F.col("side") == F.col("keep_side")) & (F.col("row") == F.col("keep_row")))
+    return rows.join(groups, match, "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), rows["digest"].alias("text_sha256"), F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
 ORACLE = r"""
-WITH n AS (SELECT doc_id, coalesce(length(text), 0) AS c, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
-g AS (SELECT h, arg_min(doc_id, (-c, doc_id)) AS keep_id, count(*) AS group_size FROM n GROUP BY h)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM n JOIN g USING (h)
+WITH n AS (SELECT doc_id, coalesce(length(text), 0) AS c, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER o = 1 AS kept, h AS text_sha256
+FROM n WINDOW o AS (PARTITION BY h ORDER BY c DESC, doc_id NULLS FIRST)
 """
