@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Known digests that a join may broadcast, about 100 bytes each.
+FEW_KNOWN = 100_000
+
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
@@ -150,20 +153,20 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     The whole text and each of its lines that says anything are normalised and hashed; equality joins with the known digests find
     text_license (null if the whole text is none) and line_licenses (sorted, distinct; empty if none); n_lines counts the lines
-    found. A null or empty text has the digest of the empty text and no license. Rows that repeat a doc_id each get a row of their own;
-    lines found are those of all rows with that doc_id and text. An empty table gives no rows; other columns are ignored.
-    Columns of known: digest, license. Catalyst broadcasts it where it is small.
+    found. A null or empty text has the digest of the empty text and no license. Each row gets a row of its own text, also where a doc_id
+    repeats or is null. An empty table gives no rows; other columns are ignored. Columns of known: digest (each once), license. It is
+    broadcast after a count, beyond which both sides are shuffled.
     """
     known = known.select(F.col("digest").alias("known_digest"), F.col("license").alias("known_license"))
+    known = F.broadcast(known) if known.count() <= FEW_KNOWN else known
     lines = docs.select("doc_id", canonical_lines(F.coalesce(F.col("text"), F.lit(""))).alias("lines"))
-    # texts are normalised once
-    rows = table(lines.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("text_digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("digests")), "license-digests")
-    whole = rows.join(known, rows["text_digest"] == known["known_digest"], "left").select("doc_id", "text_digest", F.col("known_license").alias("text_license"))
-    found = rows.select("doc_id", F.explode("digests").alias("known_digest")).join(known, "known_digest")
-    found = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("known_license")).alias("line_licenses"), F.count(F.lit(1)).alias("n_lines"))
-    found = found.withColumnRenamed("doc_id", "of")
+    # texts are normalised once; rows are numbered as they are written
+    rows = table(lines.select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2(canonical(F.col("lines")), 256).alias("text_digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("digests")), "license-digests")
+    whole = rows.join(known, rows["text_digest"] == known["known_digest"], "left").select("doc_id", "row", "text_digest", F.col("known_license").alias("text_license"))
+    found = rows.select("row", F.explode("digests").alias("known_digest")).join(known, "known_digest")
+    found = found.groupBy(F.col("row").alias("of")).agg(F.sort_array(F.collect_set("known_license")).alias("line_licenses"), F.count(F.lit(1)).alias("n_lines"))
     none = F.array().cast("array<string>")
-    return whole.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", none).alias("line_licenses"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
+    return whole.join(found, F.col("row") == F.col("of"), "left").select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", none).alias("line_licenses"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
 
 
 def _sql_lines(text: str) -> str:
@@ -177,10 +180,10 @@ def _sql_lines(text: str) -> str:
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
 ORACLE = f"""
 WITH k AS (SELECT sha256(array_to_string({_sql_lines('body')}, ' ')) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) v(license, body) GROUP BY 1),
-c AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS lines FROM documents),
-w AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM c),
-l AS (SELECT doc_id, unnest(lines) AS line FROM c),
-f AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS line_licenses, count(*) AS n_lines FROM l JOIN k ON sha256(line) = digest GROUP BY doc_id)
+c AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_sql_lines("coalesce(text, '')")} AS lines FROM documents),
+w AS (SELECT r, doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM c),
+l AS (SELECT r, unnest(lines) AS line FROM c),
+f AS (SELECT r, list_sort(list(DISTINCT license)) AS line_licenses, count(*) AS n_lines FROM l JOIN k ON sha256(line) = digest GROUP BY r)
 SELECT w.doc_id, text_digest, license AS text_license, coalesce(line_licenses, []::VARCHAR[]) AS line_licenses, coalesce(n_lines, 0)::BIGINT AS n_lines
-FROM w LEFT JOIN k ON text_digest = digest LEFT JOIN f ON w.doc_id = f.doc_id
+FROM w LEFT JOIN k ON text_digest = digest LEFT JOIN f ON w.r = f.r
 """
