@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,29 +14,32 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements whose text is never part of an article.
+#: Elements whose text is never part of an article; of these, the ones that stand within a line of text.
 NEVER = frozenset("head title script style noscript template nav aside footer form button select option textarea input fieldset legend iframe object embed svg math canvas audio video dialog menu map".split())
+INLINE = frozenset("button select option textarea input iframe object embed svg math canvas audio video map script style noscript template".split())
+#: Containers that are left out of an article where most of their text is links.
+LISTS = frozenset("ul ol dl div section table".split())
 #: Words of class and id (whole tokens) and roles that mark what is not the article.
 UNLIKELY = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Of these, the words that no other word outweighs.
+COMMENTS = frozenset("ad ads advert adverts advertisement advertising banner comment comments commentlist disqus discussion replies reply respond sponsor sponsored".split())
 LIKELY = frozenset("article body content entry main post story text".split())
 _TOKEN = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "bonus", "score", "chars", "linked", "order")
+    """An element: what it holds counts in chars, linked and score; out marks boilerplate, inside what stands in an article or main element."""
+
+    __slots__ = ("tag", "parent", "out", "inside", "bonus", "score", "chars", "linked", "order", "kept")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, bonus: float, order: int):
         self.tag, self.parent, self.out, self.bonus, self.order = tag, parent, out, bonus, order
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.score = 0.0
         self.chars = self.linked = 0
-
-    def within(self, other: Node) -> bool:
-        node: Node | None = self
-        while node is not None and node is not other:
-            node = node.parent
-        return node is not None
+        self.kept = False
 
 
 class Tree(HTMLParser):
@@ -45,6 +49,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.node = Node("#root", None, False, 0, 0)
         self.nodes, self.blocks, self.parts, self.links, self.in_link = [self.node], [], [], 0, 0
+        self.open, self.mute = Counter(), []
 
     def flush(self):
         if self.parts:
@@ -60,28 +65,37 @@ class Tree(HTMLParser):
         if tag == "a":
             self.in_link += 1
             return
+        if tag in INLINE:
+            # what it holds is no text, and the line goes on after it
+            if tag not in VOID:
+                if tag == "option":
+                    self.unmute("option", "select")
+                self.mute.append(tag)
+            return
         if tag not in BLOCK and tag not in NEVER:
             return
+        if self.mute:
+            if tag not in VOID:
+                self.mute.append(tag)
+            return
         self.flush()
         if tag in VOID:
             return
         if tag in BLOCK:
-            self.close("p", ("article", "aside", "body", "button", "div", "main", "nav", "section", "table", "td", "th"))
-        if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
+            self.leave("p", ("article", "aside", "body", "button", "div", "main", "nav", "section", "table", "td", "th"))
+        if tag in ("li", "dd", "dt", "td", "th", "tr"):
             for same in ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,):
-                self.close(same, ("ul", "ol", "dl", "table", "tbody", "menu", "select", *(("tr",) if tag in ("td", "th") else ())))
+                self.leave(same, ("ul", "ol", "dl", "table", "tbody", "menu", *(("tr",) if tag in ("td", "th") else ())))
         said = {k: (v or "").lower() for k, v in attrs}
         tokens = set(_TOKEN.findall(f"{said.get('class', '')} {said.get('id', '')}"))
-        inside = self.node
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        out = self.node.out or tag in NEVER or (tag == "header" and inside is None) or said.get("role") in ROLES or "hidden" in said or said.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said.get("style", "")))
-        # the article itself may be called "post with-sidebar"
-        out = out or (tag not in ("html", "body", "article", "main") and bool(tokens & UNLIKELY) and not tokens & LIKELY)
+        out = self.node.out or tag in NEVER or (tag == "header" and not self.node.inside) or said.get("role") in ROLES or "hidden" in said or said.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said.get("style", "")))
+        # the article itself may be called "post with-sidebar", and its head "post-header"; "post-comments" are comments
+        out = out or (tag not in ("html", "body", "article", "main") and bool(tokens & (COMMENTS if tokens & LIKELY else UNLIKELY)))
         out = out or (tag == "article" and bool(tokens & {"comment", "comments", "reply", "replies"}))
         bonus = 25.0 * (tag in ("article", "main") or said.get("role") in ("main", "article")) + 10.0 * bool(tokens & LIKELY)
         self.node = Node(tag, self.node, out, bonus, len(self.nodes))
         self.nodes.append(self.node)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in NEVER:
@@ -89,23 +103,47 @@ class Tree(HTMLParser):
             if tag not in VOID:
                 self.handle_endtag(tag)
 
-    def close(self, tag: str, barriers: tuple[str, ...]):
+    def leave(self, tag: str, barriers: tuple[str, ...]):
         """End the innermost open element of that name, unless a barrier stands before it."""
+        if not self.open[tag]:
+            return
         node = self.node
         while node.parent is not None and node.tag != tag and node.tag not in barriers:
             node = node.parent
         if node.tag == tag and node.parent is not None:
             self.flush()
-            self.node = node.parent
+            while self.node is not node.parent:
+                self.open[self.node.tag] -= 1
+                self.node = self.node.parent
+
+    def unmute(self, tag: str, barrier: str = ""):
+        """End the innermost open inline element of that name and what is open in it, unless a barrier stands before it."""
+        for n in range(len(self.mute) - 1, -1, -1):
+            if self.mute[n] == tag:
+                del self.mute[n:]
+                return
+            if self.mute[n] == barrier:
+                return
 
     def handle_endtag(self, tag):
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
+        elif tag in INLINE:
+            self.unmute(tag)
         elif (tag in BLOCK or tag in NEVER) and tag not in VOID:
+            if tag in self.mute:
+                self.unmute(tag)
+                return
+            if self.open[tag]:
+                self.mute = []  # the end of a block ends what was left open in it
+            elif self.mute:
+                return
             self.flush()
-            self.close(tag, ("body", "html", "table") if tag in ("p", "li", "dd", "dt") else ())
+            self.leave(tag, ("body", "html", "table") if tag in ("p", "li", "dd", "dt") else ())
 
     def handle_data(self, data):
+        if self.mute:
+            return
         self.parts.append(data)
         if self.in_link:
             self.links += len(data)
@@ -120,42 +158,43 @@ def main_blocks(html: str) -> list[str]:
     Each block gives points to its element's parent, and half of them to the grandparent: one, one per comma, and up to three by
     length, less the share of its text in links; marked-up articles start with a bonus. The container with the most points (after
     its own link density) and siblings of it that earn a fifth, or that are plain paragraphs or headings, are the article. If it stands
-    in an article or main element, all of that belongs to it. Of no container with points, all blocks outside boilerplate are kept.
+    in an article or main element, that is the container, less lists and divisions in it of which most is links. Of no container with
+    points, all blocks outside boilerplate are kept. Every step is linear in the page, however deep its elements nest.
     """
     tree = Tree()
     tree.feed(html)
-    tree.close_all() if hasattr(tree, "close_all") else HTMLParser.close(tree)
+    tree.close()
     tree.flush()
     if not tree.blocks:
         return []
     for node, text, linked in tree.blocks:
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
         share, up = 1.0, node.parent or node
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
-            if share >= 0.25:
-                up.score += points * share
+        up.chars += len(text)
+        up.linked += linked
+        while up is not None and share >= 0.25:
+            up.score += points * share
             share, up = share / 2, up.parent
+    # elements are in the order in which they began, parents first
+    for node in reversed(tree.nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
     best = max(tree.nodes, key=lambda n: ((n.score + n.bonus * (n.score > 0)) * (1 - n.linked / max(1, n.chars)), -n.order))
-    whole, node = None, best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            whole = node
-        node = node.parent
-    if whole is not None:
-        # several articles side by side are one page's text only under one main element
-        return [text for node, text, _ in tree.blocks if node.within(whole)]
-    least = max(3.0, best.score / 5)
-    kept = {best}
-    for node in tree.nodes:
-        density = node.linked / max(1, node.chars)
-        if node.parent is best.parent and best.parent is not None and node.score * (1 - density) >= least:
-            kept.add(node)
+    top = best
+    while best.inside and top.parent.inside:
+        top = top.parent
+    top.kept = True
+    if not top.inside:
+        least = max(3.0, best.score / 5)
+        for node in tree.nodes:
+            if node.parent is best.parent and best.parent is not None and node.score * (1 - node.linked / max(1, node.chars)) >= least:
+                node.kept = True
+    for node in tree.nodes[1:]:
+        node.kept = node.kept or node.parent.kept and not (top.inside and node.tag in LISTS and 2 * node.linked > node.chars)
     out = []
     for node, text, linked in tree.blocks:
-        sibling = node.parent is best.parent and best.parent is not None and (node.tag in HEADING or node.tag == "p") and linked < 0.25 * len(text)
-        if sibling or any(node.within(k) for k in kept):
+        sibling = not top.inside and node.parent is best.parent and best.parent is not None and (node.tag in HEADING or node.tag == "p") and linked < 0.25 * len(text)
+        if sibling or node.kept:
             out.append(text)
     return out or [text for _, text, _ in tree.blocks]
 
@@ -167,8 +206,9 @@ def main_text(html: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages: its article by main_blocks(), blocks joined by an empty line.
 
-    Null, empty or text-free html gives an empty text and 0 characters. White space in a block is one space; the text is not cut.
-    Rows that repeat each get a row; an empty table gives none; other columns are ignored.
+    Null, empty or text-free html gives an empty text and 0 characters. White space in a block is one space; the text is not cut, however
+    long or deep the page. Of containers with equal points the first counts. A null page_id or url is kept. Rows that repeat each get a row; an
+    empty table gives none; other columns, also ones named text or n_chars, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
