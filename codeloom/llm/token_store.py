@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -174,14 +175,24 @@ class Encoder:
         return [b"".join(map(get, pieces)) for pieces in split]
 
 
-def splits_at_space(config: str) -> bool:
-    """Whether a tokenizer drops white space before anything else sees it, so that pieces can be encoded alone."""
-    import json
+#: The normaliser and word pattern that the pieces and parts above are made for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
+def splits_at_space(config: str) -> bool:
+    """Whether pieces between white space can be encoded alone: for the one normaliser and word pattern that this is known of. Others encode whole texts."""
     said = json.loads(config)
-    first = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    lower = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\s" in first.get("pattern", {}).get("Regex", "") and "Lowercase" in lower and not any(" " in t["content"] for t in said.get("added_tokens", []))
+    model, added = said.get("model") or {}, said.get("added_tokens") or []
+    plain = said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _PRE_TOKENIZER
+    plain = plain and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return plain and not said.get("truncation") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in added)
 
 
 def write_tokens(docs: DataFrame, config: str, path: str, end_id: int = 1, shard_rows: int = SHARD_ROWS) -> None:
@@ -310,7 +321,11 @@ def document_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame, config: str, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each row of docs, from a token file written and read back."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each row of docs, from a token file written and read back.
+
+    Whole texts are encoded, however long; a null or empty text has the end id alone. A null doc_id comes first; rows that repeat a doc_id
+    stand in the order of their ids' bytes. An empty table gives no rows; other columns, whatever their names, are ignored.
+    """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, config, path, end_id)
