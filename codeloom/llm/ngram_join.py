@@ -362,14 +362,22 @@ def reached(rows: int, linked: Callable[[int, np.ndarray], np.ndarray], side: np
 
 
 def maybe_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: each set of a group with the least of those that it may be similar to, by sizes and sketches, directly or over others.
+    """a, b: links that join the sets of each group that may be similar, by sizes and sketches, directly or over others.
 
-    No link between sets is lost: both are in one component of the result.
+    No link between sets is lost: both are in one component of the result. A task gives fewer links than it has sets, however many groups
+    they share.
     """
     members = groups.join(sets.select("id", "n_shingles", "sketch"), "id")
     dealt = in_blocks(members, "gid", "id", F.ceil(F.col("m") / BLOCK).cast("int")).select("gid", "i", "j", "own", "id", "n_shingles", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, int] = {}  # of this task's sets: one that each is joined to
+
+        def root(x: int) -> int:
+            while (up := joined.setdefault(x, x)) != x:
+                joined[x] = x = joined[up]
+            return x
+
         for rows, cuts in _grouped(batches, 3):
             size, own, ids = (rows.column(c).to_numpy() for c in ("n_shingles", "own", "id"))
             i, j, marks = rows.column("i").to_numpy(), rows.column("j").to_numpy(), rows.column("sketch").to_pylist()
@@ -378,11 +386,14 @@ def maybe_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
                 if z - a > SMALL or any_near(size[a:z].tolist(), marks[a:z], num, den):
                     near = Near(size[a:z], marks[a:z], num, den)
                     for part in reached(z - a, near.of, own[a:z] if i[a] != j[a] else None):
-                        part = np.sort(ids[a + part])
-                        found.append(np.stack([np.full(len(part) - 1, part[0]), part[1:]]))
+                        first, *rest = ids[a + part].tolist()
+                        for x in rest:
+                            x, y = sorted((root(first), root(x)))
+                            if x != y:
+                                joined[y] = x
+                                found.append((x, y))
             if found:
-                a, b = np.unique(np.concatenate(found, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
