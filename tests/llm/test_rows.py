@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.llm import bwt_dedup, exact_dedup, licenses, mixing, ngram_join, queries, token_store
+from codeloom.llm.common import Scratch
 from codeloom.llm.components import components
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -82,10 +83,20 @@ def test_exact(docs, empty):
     for r in got:
         own = next(g for g in groups.values() if any(x[2] == r.doc_id for x in g) and hashlib.sha256(plain(dict((i, t) for i, t, *_ in rows())[r.doc_id]).encode()).hexdigest() == r.text_sha256)
         assert (r.keep_id, r.group_size) == (min(own)[2], len(own))
-        assert r.kept == (r.doc_id == r.keep_id)
+        assert not r.kept or r.doc_id == r.keep_id
+    # one row of each group, also of rows that repeat
+    assert sorted(r.text_sha256 for r in got if r.kept) == sorted({r.text_sha256 for r in got})
     assert exact_dedup.exact_dedup(empty).isEmpty()
 
 
+def test_exact_order(spark):
+    """The least and greatest ids, null, and rows that repeat whole."""
+    least, most = -(1 << 63), (1 << 63) - 1
+    docs = spark.createDataFrame([(least, "a b"), (most, "a b"), (least, "ab"), (None, "zz"), (None, "zz"), (3, "zz"), (None, None), (None, "")], "doc_id long, text string")
+    got = sorted(map(str, (tuple(r)[:4] for r in exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept").collect())))
+    assert got == sorted(map(str, [(least, least, 3, True), (most, least, 3, False), (least, least, 3, False), (None, None, 3, True), (None, None, 3, False), (3, None, 3, False), (None, None, 2, True), (None, None, 2, False)]))
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 100, 30_000):
@@ -268,6 +279,44 @@ def test_licenses(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_by_row(spark):
+    """Rows that share a doc_id, or have none, keep their own lines."""
+    docs = spark.createDataFrame([(5, "Licensed under the MIT License."), (5, "other words"), (None, "Licensed under the MIT License."), (None, "x")], "doc_id long, text string")
+    got = licenses.license_scan(docs, licenses.known_digests(spark)).collect()
+    assert sorted((r.doc_id or 0, r.line_licenses, r.n_lines) for r in got) == [(0, [], 0), (0, ["MIT"], 1), (5, [], 0), (5, ["MIT"], 1)]
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    """The fast way is for its own pattern alone."""
+    config = queries.tokenizer_config()
+    other = config.replace("[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+", "[^\\\\s]+")
+    assert other != config and token_store.splits_at_space(config) and not token_store.splits_at_space(other)
+    got = token_store.token_digest(spark.createDataFrame([(1, "abc123 x")], "doc_id long, text string"), other).first()
+    want = [*token_store.Encoder.of(other).tokenizer.encode("abc123 x", add_special_tokens=False).ids, 1]
+    assert (got.n_tokens, got.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
+def test_near_family_is_linear(spark):
+    """A large family of copies, each changed on its own, gives links by the member, not by the pair; one row of it stays, also where rows repeat."""
+    rng, base, docs = np.random.default_rng(13), [f"w{i}" for i in range(150)], []
+    for copy in range(1200):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 8)), replace=False):
+            words[at] = f"c{copy}x{at}"
+        docs.append((copy, " ".join(words)))
+    frame = spark.createDataFrame([*docs, docs[0], docs[0]], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(frame).collect()}
+    assert got == brute.similar_components(docs)
+    sets, scratch = ngram_join.set_table(frame, 5).dropDuplicates(["cls"]).cache(), Scratch(spark, "test")
+    groups = ngram_join.signature_groups(frame, 5, ngram_join.Bands(75, 100), 4)
+    maybe = ngram_join.maybe_links(groups, sets, 75, 100)
+    assert maybe.count() < 4 * len(docs)
+    links = ngram_join.exact_links(sets.selectExpr("0L AS cluster", "cls", "doc_id", "n_shingles"), frame, 5, 75, 100, scratch)
+    assert links.count() < len(docs)
+    kept = ngram_join.keep_one(frame).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in got.items() if c == i)
+
+
 def test_licence_lines(spark):
     names = ["Licensed under CC BY-NC 4.0.", "Released under CC-BY-NC-ND 3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: AGPL-3.0", "Released under the LGPL v2.1", "Licensed under the Apache License, Version 2.0."]
     found = ["CC-BY-NC-4.0", "CC-BY-NC-ND-3.0", "CC-BY-NC-SA-4.0", "AGPL-3.0", "LGPL-2.1", "Apache-2.0"]

@@ -1,5 +1,7 @@
 """Toxicity, quality, decontamination, HTML and the pipeline: planted cases, held-out accuracy, hard rows."""
 
+import time
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -242,11 +244,22 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body>
     ("<div class='content'><h2>Head</h2><p>A long paragraph, with commas, and words enough to matter.</p><p>Another, also long, for good measure and more.</p></div>", "Head\n\nA long paragraph, with commas, and words enough to matter.\n\nAnother, also long, for good measure and more."),
     ("<div><h2>Head</h2><p>A long paragraph, with commas, and words enough to matter.</p><ul><li>x<li>y</ul></div>", "Head\n\nA long paragraph, with commas, and words enough to matter.\n\nx\n\ny"),
     ("<article><p><b>Never closed.<br><p>Next, and last.</p></article>", "Never closed.\n\nNext, and last."),
+    ("<article><p>One <button>Share <b>now</b></button>two <svg><text>no</text></svg>three.</p><section class='user-comments post'><p>First, I say, and long.</p></section><div class='entry-header'>Head</div></article>", "One two three.\n\nHead"),
+    ("<article><p>A text, with some words in it, and a <a href=x>link</a>.</p><ul><li><a href=a>Read this too</a><li><a href=b>And this</a></ul><ul><li>A point, <a href=c>linked</a> a bit.</ul></article>", "A text, with some words in it, and a link.\n\nA point, linked a bit."),
+    ("<article><p>Pick <select><option>a<option>b</select>one, or two.</p></p>Loose text</article>", "Pick one, or two.\n\nLoose text"),
 ])
 def test_html(body, text):
     assert html_extract.main_text(PAGE % body) == text
 
 
+def test_html_deep():
+    """Time is linear in nested blocks that hold text, and in end tags that end nothing."""
+    began = time.process_time()
+    assert html_extract.main_text("<div><p>some text, here</p>" * 50_000).count("\n\n") == 49_999
+    assert html_extract.main_text("<article>" + "<div>" * 50_000 + "deep" + "</section>" * 50_000 + "</article>") == "deep"
+    assert time.process_time() - began < 40
+
+
 def test_html_rows(spark):
     pages = [(1, "u", None), (2, None, ""), (None, "v", "<p>Just this.</p>"), (4, "w", "no tags &lt;b&gt;"), (4, "w", "no tags &lt;b&gt;"), (5, "x", "<div>" * 3000 + "deep" + "</div>" * 3000), (6, "y", "<p>long</p>" * 20_000), (7, "z", "<!-- a --><![CDATA[x]]><p")]
     rows = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(3))).collect()
