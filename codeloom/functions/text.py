@@ -85,7 +85,29 @@ def fingerprint(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts as people do: digit runs by value, letters without case and accents; null as empty."""
+    """Sorts as people do: digit runs by value, however long, letters without case and accents; null as empty."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
     parts = F.regexp_extract_all(plain, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), _by_length(F.regexp_replace(p, "^0+(?=[0-9])", ""))).otherwise(p)), "")
+
+
+def _by_length(digits: Column) -> Column:
+    """A number's digits after how many they are."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
+def numbered_lines(df: DataFrame, text: str) -> DataFrame:
+    """line_number, html of each line of column text, beside the other columns."""
+    rest = [c for c in df.columns if c != text]
+    held = df.select(*rest, F.posexplode(lines(F.coalesce(F.col(text), F.lit("")))).alias("line_number", "_line")).withColumn("line_number", F.col("line_number") + 1)
+    return held.withColumn("html", numbered_html(F.col("_line"), F.col("line_number"))).drop("_line")
+
+
+def url_encode(text: Column) -> Column:
+    """A text as part of a URL: what is not a letter, digit or one of -._~ as %XX of its UTF-8 bytes."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def tail(lines: DataFrame, order: str, most: int = 100) -> DataFrame:
+    """The last `most` rows by order (no two alike), as a log shows them; the limit is the feature."""
+    return lines.orderBy(F.desc(order)).limit(most)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,12 +93,17 @@ def components(clusterings: DataFrame, nodes: DataFrame) -> DataFrame:
     return every.join(found, ["clustering_id", "at"], "left").withColumn("n_members", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
 
 
-def prompt(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """seq, line: the lines of a request for a clustering; symbols with their metrics, then edge types. Not gathered: a caller reads what it can send."""
+def prompt(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """part, seq, line: the lines of a request for a clustering. 0: counts by kind; 1: symbols with name, module, file and metrics; 2: every edge; 3: patterns; 4: edge types. Not gathered: a caller reads them in order."""
     metrics = fan_metrics(nodes, edges)
-    symbols = nodes.join(metrics, "id").select("node_seq", F.format_string("- %s (%s) fan_in=%d fan_out=%d instability=%s %s", "id", "kind", "fan_in", "fan_out", F.col("instability").cast("string"), F.coalesce(snippet(F.col("docstring")), F.lit(""))).alias("line"))
-    kinds = edge_type_histogram(edges).select(F.col("first_seq").alias("seq"), F.format_string("%s: %d", "type", "n").alias("line"))
-    return symbols.select(F.lit(0).alias("part"), F.col("node_seq").alias("seq"), "line").unionByName(kinds.select(F.lit(1).alias("part"), "seq", "line"))
+    line = lambda part, seq, text: [F.lit(part).alias("part"), seq.cast("long").alias("seq"), text.alias("line")]
+    counts = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("node_seq").alias("first")).select(*line(0, F.col("first"), F.format_string("%d %s", "n", "kind")))
+    said = F.format_string("- %s (%s) name=%s module=%s file=%s fan_in=%d fan_out=%d instability=%s %s", "id", "kind", "name", "module", "file_path", "fan_in", "fan_out", F.col("instability").cast("string"), F.coalesce(snippet(F.col("docstring")), F.lit("")))
+    out = counts.unionByName(nodes.join(metrics, "id").select(*line(1, F.col("node_seq"), said)))
+    out = out.unionByName(edges.select(*line(2, F.col("edge_seq"), F.format_string("%s -> %s [%s]", "source", "target", "type"))))
+    if patterns is not None:
+        out = out.unionByName(patterns.select(*line(3, F.xxhash64("symbol_id", "pattern"), F.format_string("%s: %s", "pattern", "symbol_id"))))
+    return out.unionByName(edge_type_histogram(edges).select(*line(4, F.col("first_seq"), F.format_string("%s: %d", "type", "n"))))
 
 
 class ClusteringCache:
@@ -112,26 +119,38 @@ class ClusteringCache:
         return len(self.held)
 
 
-def cluster(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ask: Callable[[str, str], str], cache: ClusteringCache, model: str = "", refresh: bool = False, most_lines: int = 2000) -> DataFrame:
-    """A reply (clustering_id, reply) that is a clustering: from the cache, or from ask(system, prompt); a malformed reply is asked for once more, more strictly.
+def _asked(spark: SparkSession, ask: Callable[[str, str], str], text: str) -> str:
+    """A reply that is a clustering; a malformed one is asked for once more, more strictly."""
+    problem = ""
+    for system in ("Group these symbols into components. Answer with one JSON object.", "Answer with one JSON object only, with components, unclustered_symbol_ids and narrative."):
+        reply = ask(system, text + (f"\nThe last answer was rejected: {problem}" if problem else ""))
+        if reply.startswith("[Error]"):
+            raise RuntimeError(reply)
+        found = problems(spark.createDataFrame([(0, reply)], "clustering_id int, reply string")).select("problem").first()
+        if found is None:
+            return reply
+        problem = found.problem
+    raise MalformedClustering(problem)
 
-    The prompt has the first most_lines lines, the limit of what a model reads. An empty graph has a fixed reply.
+
+def _united(spark: SparkSession, replies: list[str]) -> str:
+    """One clustering of the replies to the parts of a request."""
+    rows = spark.createDataFrame(list(enumerate(replies)), "n int, reply string").select("n", F.to_json(json_object(F.col("reply"))).alias("o")).orderBy("n").collect()
+    parts = [json.loads(r.o) for r in rows]
+    return json.dumps({"components": [c for p in parts for c in p["components"]], "unclustered_symbol_ids": [x for p in parts for x in p.get("unclustered_symbol_ids") or []], "narrative": "\n".join(str(p["narrative"]) for p in parts)})
+
+
+def cluster(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ask: Callable[[str, str], str], cache: ClusteringCache, model: str = "", refresh: bool = False, most_lines: int = 2000, patterns: DataFrame | None = None) -> DataFrame:
+    """A reply (clustering_id, reply) that is a clustering: from the cache, or from ask(system, prompt).
+
+    All lines of the prompt are sent, most_lines at a time; the driver holds one part. The replies to several parts become one. An empty graph has
+    a fixed reply.
     """
-    key = fingerprint(nodes, edges, key=model).first()[0]
+    key = fingerprint(nodes, edges, patterns, key=model).first()[0]
     if nodes.isEmpty():
         cache.held[key] = '{"components": [], "unclustered_symbol_ids": [], "narrative": "The graph has no symbols."}'
     if refresh or key not in cache.held:
-        text = "\n".join(r.line for r in prompt(nodes, edges).orderBy("part", "seq").limit(most_lines).collect())
-        problem = ""
-        for system in ("Group these symbols into components. Answer with one JSON object.", "Answer with one JSON object only, with components, unclustered_symbol_ids and narrative."):
-            reply = ask(system, text + (f"\nThe last answer was rejected: {problem}" if problem else ""))
-            if reply.startswith("[Error]"):
-                raise RuntimeError(reply)
-            found = problems(spark.createDataFrame([(0, reply)], "clustering_id int, reply string")).select("problem").first()
-            if found is None:
-                cache.held[key] = reply
-                break
-            problem = found.problem
-        else:
-            raise MalformedClustering(problem)
+        lines = (r.line for r in prompt(nodes, edges, patterns).orderBy("part", "seq").toLocalIterator())
+        replies = [_asked(spark, ask, "\n".join(part)) for part in iter(lambda: list(islice(lines, most_lines)), [])]
+        cache.held[key] = replies[0] if len(replies) == 1 else _united(spark, replies)
     return spark.createDataFrame([(0, cache.held[key])], "clustering_id int, reply string")

@@ -48,12 +48,12 @@ def named(names: DataFrame, known: DataFrame) -> DataFrame:
     return full.unionByName(short)
 
 
-def ancestors(inherited: DataFrame, of: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(inherited: DataFrame, of: DataFrame) -> DataFrame:
     """class_id, ancestor_id, path of the classes in of (class_id): themselves and what they inherit from, depth first by path; cycles end a path."""
     step = inherited.groupBy(F.col("class_id").alias("child"), "base_id").agg(F.min(F.col("file_seq") * PER_FILE * 64 + F.col("class_pos") * 64 + F.col("base_pos")).alias("place"))
     level = of.select("class_id").distinct().select("class_id", F.col("class_id").alias("ancestor_id"), F.array().cast("array<bigint>").alias("path"), F.array("class_id").alias("through"))
     out = level
-    for _ in range(max_depth):
+    while True:  # a path holds a class once, so that the deepest chain of bases ends it
         level = cut(level.join(step, F.col("ancestor_id") == F.col("child")).where(~F.array_contains("through", F.col("base_id"))).select("class_id", F.col("base_id").alias("ancestor_id"), F.concat("path", F.array("place")).alias("path"), F.concat("through", F.array("base_id")).alias("through")))
         if level.isEmpty():
             break

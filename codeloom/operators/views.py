@@ -58,3 +58,14 @@ def edge_elements(edges: DataFrame) -> DataFrame:
 def explorer(nodes: DataFrame) -> DataFrame:
     """file_path, n_classes, n_functions, n_methods of each file, and its first place."""
     return nodes.groupBy("file_path").agg(F.min("node_seq").alias("first_seq"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
+
+
+def explorer_tree(nodes: DataFrame) -> DataFrame:
+    """file_path, id, kind, children (array of node_seq, id, name, kind in order): a row per module and class with what it directly holds.
+
+    The nested tree of a file is read off its rows from the module down: a row holds one symbol's children, never a whole file.
+    """
+    held = nodes.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("node_seq", "id", "name", "kind"))).alias("children"))
+    top = nodes.where("kind IN ('module', 'class')").select("file_path", "id", "kind")
+    none = F.array().cast("array<struct<node_seq: bigint, id: string, name: string, kind: string>>")
+    return top.join(held, F.col("id") == F.col("of"), "left").select("file_path", "id", "kind", F.coalesce("children", none).alias("children"))

@@ -67,7 +67,7 @@ def _block(strings: DataFrame, keys: list[str], order: str, text: str) -> DataFr
 def rendered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_seq, rel_file_path, module_path, content: Python source written from the tables.
 
-    r{r}/n{n}/__init__.py: helper(); the region's base class in its nation of the lowest key; by n div 5 the code of a pattern (0 singleton,
+    r{r}/n{n}/__init__.py: helper() and lead(), which calls it; the region's base class in its nation of the lowest key; by n div 5 the code of a pattern (0 singleton,
     1 factory, 2 observer) or near misses (3). r{r}/n{n}/supply_{b}.py: classes Supplier_{k}(Base_{r}) with ship(), which calls self.bill() and the
     inherited self.audit(); those of nation BROKEN end in a broken line. r{r}/n{n}/buy_{b}.py: functions customer_{k}() that call helper(), construct the customer's
     three suppliers of the lowest keys and call ship() on each.
@@ -80,7 +80,7 @@ def rendered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = code.when(F.expr("n_nationkey div 5") == 1, F.lit("class Round:\n    pass\n\n\nclass Square:\n    pass\n\n\ndef make(kind):\n    if kind == 1:\n        return Round()\n    elif kind == 2:\n        return Square()\n    return None\n"))
     code = code.when(F.expr("n_nationkey div 5") == 2, F.lit("class Board:\n    def tell(self):\n        for one in self.ones:\n            one.update()\n"))
     code = code.when(F.expr("n_nationkey div 5") == 3, F.lit("class Same:\n    def tell(self, ones):\n        for one in ones:\n            one.update()\n\n\ndef same(kind):\n    if kind:\n        return Same()\n    else:\n        return Same()\n"))
-    files = nation.join(least, F.col("n_regionkey") == F.col("r")).select("n_nationkey", "n_regionkey", F.lit("__init__").alias("file"), F.concat(F.when(F.col("n_nationkey") == F.col("least"), base).otherwise(""), F.lit("def helper():\n    return 2\n\n\n"), F.coalesce(code, F.lit(""))).alias("content"))
+    files = nation.join(least, F.col("n_regionkey") == F.col("r")).select("n_nationkey", "n_regionkey", F.lit("__init__").alias("file"), F.concat(F.when(F.col("n_nationkey") == F.col("least"), base).otherwise(""), F.lit("def helper():\n    return 2\n\n\ndef lead():\n    \"\"\"Calls its neighbour.\"\"\"\n    return helper()\n\n\n"), F.coalesce(code, F.lit(""))).alias("content"))
 
     held = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     shop = F.concat(F.lit("class Supplier_"), text("s_suppkey"), F.lit("(Base_"), text("n_regionkey"), F.lit("):\n    def ship(self):\n        self.bill()\n        return self.audit()\n\n    def bill(self):\n        return 3\n\n\n"))

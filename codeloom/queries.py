@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as fn
-from .operators import extract, graph, patterns, reconcile, registry, resolve, survey, views
+from .operators import document, extract, graph, patterns, reconcile, registry, resolve, survey, views
 from .plans import star
 from .runtime import cut
 from .sources import cache
+from .sources.survey import read_answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,11 +128,11 @@ def impact_depth_hist(spark, sf_dir):
     return graph.impact_by_depth(graph.impact(nodes, cut(edges), start))
 
 
-@query(", start AS (SELECT sid AS id FROM sup WHERE s_suppkey < 5)" + _IMPACT.format(depth=3) + "SELECT start_id, depth, count(*) AS n FROM best GROUP BY start_id, depth", True)
+@query(", start AS (SELECT sid AS id FROM sup WHERE s_suppkey % 100 = 0)" + _IMPACT.format(depth=3) + "SELECT start_id, depth, count(*) AS n FROM best GROUP BY start_id, depth", True)
 def impact_batch(spark, sf_dir):
-    """The blast radius of five named suppliers: which symbols to ask for is the query's argument."""
+    """The blast radius of every supplier whose key is divisible by 100, all at once, against the whole graph."""
     nodes, edges = _graph(spark, sf_dir)
-    start = nodes.where("id RLIKE '[.]S[0-4]$'").select(F.col("id").alias("start_id"))
+    start = nodes.where("try_cast(regexp_extract(id, '[.]S([0-9]+)$', 1) AS BIGINT) % 100 = 0").select(F.col("id").alias("start_id"))
     return graph.impact_by_depth(graph.impact(nodes, cut(edges), start, max_depth=3))
 
 
@@ -174,7 +176,7 @@ def edge_elements(spark, sf_dir):
     return views.edge_elements(star.star_edges(spark, sf_dir))
 
 
-@query("""SELECT p_partkey, p_name, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(lower(p_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 20, '0') ELSE x END), ''), p_partkey) AS place FROM part ORDER BY place LIMIT 100""")
+@query("""SELECT p_partkey, p_name, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(lower(p_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(len(coalesce(nullif(ltrim(x, '0'), ''), '0'))::VARCHAR, 10, '0') || coalesce(nullif(ltrim(x, '0'), ''), '0') ELSE x END), ''), p_partkey) AS place FROM part ORDER BY place LIMIT 100""")
 def natural_sort_topn(spark, sf_dir):
     """The first hundred parts in natural order of their names; the limit is the report's."""
     top = views.sorted_table(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node_seq"), "p_name"), "p_name").limit(100)
@@ -187,6 +189,41 @@ def graph_fingerprint(spark, sf_dir):
     return graph.fingerprint(*_graph(spark, sf_dir))
 
 
+@query("SELECT 1::BIGINT AS fingerprints, 64 AS width, true AS tells_edges_apart")
+def fingerprint_invariant(spark, sf_dir):
+    """The fingerprint of the graph in two orders and partitionings is one; without an edge type it is another."""
+    nodes, edges = _graph(spark, sf_dir)
+    same = graph.fingerprint(nodes, edges).unionByName(graph.fingerprint(nodes.repartition(7, "name"), edges.repartition(5, "target")))
+    other = graph.fingerprint(nodes, edges.where("type <> 'inherits'")).select(F.col("fingerprint").alias("other"))
+    one = same.agg(F.count_distinct("fingerprint").alias("fingerprints"), F.max(F.length("fingerprint")).alias("width"), F.max("fingerprint").alias("fingerprint"))
+    return one.crossJoin(other).select("fingerprints", "width", (F.col("fingerprint") != F.col("other")).alias("tells_edges_apart"))  # one row by one row
+
+
+# --- the graph as a document, and what a chat is told ------------------------------------------------------------------------
+@query("""SELECT 'nodes' AS section, node_seq AS seq, to_json({'id': id, 'name': name, 'kind': kind, 'module': module, 'file_path': module || '.py', 'lineno': line::INT, 'end_lineno': (line + 4)::INT, 'parent_id': parent_id, 'docstring': NULL::VARCHAR})::VARCHAR AS json FROM nodes
+ UNION ALL SELECT 'edges', edge_seq, to_json({'source': source, 'target': target, 'type': type})::VARCHAR FROM edges
+ UNION ALL SELECT 'summary', 0, to_json({'total_nodes': count(*), 'module_count': count(*) FILTER (kind = 'module'), 'class_count': count(*) FILTER (kind = 'class'), 'function_count': count(*) FILTER (kind = 'function'), 'method_count': count(*) FILTER (kind = 'method'),
+ 'total_edges': (SELECT count(*) FROM edges), 'cache_hits': 0, 'cache_misses': 0})::VARCHAR FROM nodes""", True)
+def graph_json(spark, sf_dir):
+    return document.graph_json(*_graph(spark, sf_dir))
+
+
+@query(""", one AS (SELECT * FROM nodes WHERE id = 'R1.N1'), fan AS (SELECT (SELECT count(*) FROM edges WHERE target = 'R1.N1') AS fi, (SELECT count(*) FROM edges WHERE source = 'R1.N1') AS fo)
+SELECT 0 AS part, (i - 1)::BIGINT AS seq, ['symbol: ' || name, 'kind: ' || kind, 'docstring: none', 'fan-in: ' || fi, 'fan-out: ' || fo, 'place: ' || module || '.py:' || line || '-' || (line + 4)][i] AS line FROM one, fan, range(1, 7) r(i)
+ UNION ALL SELECT 1, edge_seq, coalesce(n.name, source) || ' [' || type || ']' FROM edges LEFT JOIN nodes n ON n.id = source WHERE target = 'R1.N1'
+ UNION ALL SELECT 2, edge_seq, coalesce(n.name, target) || ' [' || type || ']' FROM edges LEFT JOIN nodes n ON n.id = target WHERE source = 'R1.N1'
+ UNION ALL SELECT 3, 0, count(*) || ' nodes, ' || count(*) FILTER (kind = 'module') || ' module, ' || count(*) FILTER (kind = 'class') || ' class, ' || count(*) FILTER (kind = 'function') || ' function, ' || count(*) FILTER (kind = 'method') || ' method, ' || (SELECT count(*) FROM edges) || ' edges' FROM nodes
+ UNION ALL SELECT 3, min(edge_seq) + 1, count(*) || ' ' || type FROM edges GROUP BY type""", True)
+def chat_context(spark, sf_dir):
+    return document.chat_context(*_graph(spark, sf_dir), "R1.N1")
+
+
+@query(""", held AS (SELECT parent_id, list({'node_seq': node_seq, 'id': id, 'name': name, 'kind': kind} ORDER BY node_seq) AS children FROM nodes WHERE parent_id IS NOT NULL GROUP BY parent_id)
+SELECT n.module || '.py' AS file_path, n.id, n.kind, coalesce(children, []) AS children FROM nodes n LEFT JOIN held h ON h.parent_id = n.id WHERE kind IN ('module', 'class')""", True)
+def explorer_tree(spark, sf_dir):
+    return views.explorer_tree(star.star_nodes(spark, sf_dir))
+
+
 # --- extraction and resolution over rendered source --------------------------------------------------------------------------
 def _stage_a(spark, sf_dir):
     return cut(star.rendered_stage_a(spark, sf_dir))
@@ -202,7 +239,7 @@ three AS (SELECT cu.module AS cmodule, cu.c, ok.module || '.Supplier_' || ok.s A
 bases AS (SELECT r, pkg || '.Base_' || r AS id FROM na WHERE base),
 extra AS (SELECT pkg, unnest(CASE d WHEN 0 THEN [['Registry', 'class', ''], ['__new__', 'method', 'Registry']] WHEN 1 THEN [['Round', 'class', ''], ['Square', 'class', ''], ['make', 'function', '']]
  WHEN 2 THEN [['Board', 'class', ''], ['tell', 'method', 'Board']] WHEN 3 THEN [['Same', 'class', ''], ['tell', 'method', 'Same'], ['same', 'function', '']] ELSE [] END) AS e FROM na),
-nd AS (SELECT pkg AS id, 'n' || n AS name, 'module' AS kind, NULL::VARCHAR AS parent_id FROM na UNION ALL SELECT pkg || '.helper', 'helper', 'function', pkg FROM na
+nd AS (SELECT pkg AS id, 'n' || n AS name, 'module' AS kind, NULL::VARCHAR AS parent_id FROM na UNION ALL SELECT pkg || '.' || f, f, 'function', pkg FROM na, (VALUES ('helper'), ('lead')) v(f)
  UNION ALL SELECT pkg || '.Base_' || r, 'Base_' || r, 'class', pkg FROM na WHERE base UNION ALL SELECT pkg || '.Base_' || r || '.audit', 'audit', 'method', pkg || '.Base_' || r FROM na WHERE base
  UNION ALL SELECT pkg || CASE WHEN e[3] <> '' THEN '.' || e[3] ELSE '' END || '.' || e[1], e[1], e[2], pkg || CASE WHEN e[3] <> '' THEN '.' || e[3] ELSE '' END FROM extra
  UNION ALL SELECT DISTINCT module, split_part(module, '.', -1), 'module', NULL FROM ok UNION ALL SELECT DISTINCT module, split_part(module, '.', -1), 'module', NULL FROM cu
@@ -259,10 +296,15 @@ def rendered_calls_inherited(spark, sf_dir):
     return _edges(spark, sf_dir, "calls").where("target LIKE '%.audit'")
 
 
-@query("SELECT 0::BIGINT AS n")
+@query(rendered("SELECT pkg || '.lead' AS source, pkg || '.helper' AS target FROM na"))
 def rendered_calls_function(spark, sf_dir):
-    """helper() is in every package and in no module of customers, so that no call of it is resolved."""
-    return _edges(spark, sf_dir, "calls").where("target LIKE '%.helper'").agg(F.count(F.lit(1)).alias("n"))
+    """helper() is in every package: lead() calls that of its own module, and the calls from modules of customers are not resolved."""
+    return _edges(spark, sf_dir, "calls").where("target LIKE '%.helper'")
+
+
+@query(rendered("SELECT pkg || '.lead' AS id, 'Calls its neighbour.' AS docstring FROM na"))
+def rendered_docstrings(spark, sf_dir):
+    return extract.nodes(star.rendered_stage_a(spark, sf_dir)).where("docstring IS NOT NULL").select("id", "docstring")
 
 
 @query(rendered("SELECT pkg || CASE d WHEN 0 THEN '.Registry' WHEN 1 THEN '.make' ELSE '.Board' END AS symbol_id, CASE d WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Factory' ELSE 'Observer' END AS pattern FROM na WHERE d <= 2"))
@@ -308,6 +350,22 @@ def html_escape(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", fn.html_escape(F.col("text")).alias("html"))
 
 
+@query(_LINES + """SELECT doc_id, i::INT AS line_number, '<span id="line-' || i || '">' || replace(replace(replace(replace(replace(a[i], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') || '</span>' AS html
+ FROM l, range(1, len(a) + 1) r(i)""")
+def numbered_source(spark, sf_dir):
+    return fn.numbered_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
+
+
+@query("SELECT conv_id, turn, url_encode(coalesce(text, '')) AS url FROM conversations")
+def url_encoded(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", fn.url_encode(F.coalesce("text", F.lit(""))).alias("url"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
+def log_tail(spark, sf_dir):
+    return fn.tail(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id").select("event_id", "event_type")
+
+
 @query("""SELECT c_custkey, CASE WHEN len(k) <= 6 THEN '****' WHEN len(k) <= 10 THEN left(k, 2) || '****' || right(k, 2) ELSE left(k, 3) || '****' || right(k, 4) END AS masked,
  replace('key ' || k || ' used', k, '***REDACTED***') AS redacted, sha256(k) AS fingerprint FROM (SELECT c_custkey, right(c_name, (c_custkey % 16 + 1)::INT) AS k FROM customer)""")
 def mask_redact(spark, sf_dir):
@@ -397,6 +455,14 @@ t AS (SELECT condition, count(*) AS n, avg(sus) AS sus_mean, stddev_pop(sus) AS
 """
 
 
+@query("SELECT 'p' || c_custkey AS participant FROM customer WHERE c_custkey % 11 <> 0")
+def survey_source(spark, sf_dir):
+    """Answers that are written to a folder of text files and read again: lines that are no JSON are left out."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/answers-{uuid.uuid4().hex}"
+    _answers(spark, sf_dir).write.text(folder)
+    return read_answers(spark, folder).select(F.try_variant_get(F.try_parse_json("value"), "$.participantId", "string").alias("participant"))
+
+
 @query(_SUS + "SELECT participant, condition, sus, rubric FROM s")
 def sus_scores(spark, sf_dir):
     return survey.scored(_answers(spark, sf_dir))
@@ -455,6 +521,11 @@ def registry_resolve(spark, sf_dir):
     return registry.resolve(_models(spark, sf_dir), asked)
 
 
+@query("SELECT 'm' || n_nationkey AS id, n_nationkey = 6 AS default_chat, n_nationkey = 6 AS default_architecture FROM nation")
+def registry_default(spark, sf_dir):
+    return registry.set_default(_models(spark, sf_dir), "m6", "both").select("id", "default_chat", "default_architecture")
+
+
 @query("SELECT 'm' || n_nationkey AS id, n_nationkey = 0 AS default_chat, n_nationkey = 8 AS default_architecture FROM nation WHERE n_nationkey <> 5")
 def registry_delete(spark, sf_dir):
     models = _models(spark, sf_dir)
