@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, utf8, word_hashes, words
+from .common import LOWER, mix64, slices, utf8, word_hashes, words
 from .labelled import fold, training_sample
 
-#: Words of a passage; hashed byte pairs of its encoding; labelled rows to learn from.
-PASSAGE, PAIRS, TRAINING_ROWS = 64, 24, 8000
+#: Words of a passage; hashed byte pairs of its encoding; buckets of its words, each of which has an embedding; labelled rows to learn from.
+PASSAGE, PAIRS, BUCKETS, TRAINING_ROWS = 64, 24, 256, 8000
 #: Kinds of bytes that are counted: A-Z, a-z, digits, plain punctuation, other ASCII signs, "!", "|", bytes of other letters, line ends.
 _KINDS = 9
 _KIND = np.full(256, -1, np.int64)
@@ -21,14 +21,16 @@ _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 2, 7
 _KIND[[ord(c) for c in ".,;:?'\"-()"]] = 3
 _KIND[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{}~"]] = 4
 _KIND[ord("!")], _KIND[ord("|")], _KIND[10] = 5, 6, 8
-WIDTH = _KINDS + 9 + PAIRS
+SHARES = _KINDS + 9 + PAIRS
+WIDTH = SHARES + BUCKETS
 
 
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of each passage, and the number of passages of each row; a row without words has one passage of zeros.
 
     Shares of byte kinds; mean and spread of word lengths; shares of words with a capital, of two letters at most, that end in a sign, that
-    repeat in the passage, that repeat the word before; share of five-word runs seen elsewhere in the row; passage length; byte pairs.
+    repeat in the passage, that repeat the word before; share of five-word runs seen elsewhere in the row; passage length; byte pairs. Then the
+    share of the passage's words (A-Z in lower case) in each hash bucket: times the encoder's first layer, the mean of its words' embeddings.
     """
     rows = len(offsets) - 1
     start, end, row = words(data, offsets)
@@ -70,7 +72,9 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for i, x in enumerate((average / 10, np.sqrt(np.maximum(0, mean(length**2) - average**2)) / 10, mean(capital), mean(length <= 2), mean((sign >= 3) & (sign <= 6)), mean(twice), mean(again), mean(five), size / PASSAGE)):
         out[:, _KINDS + i] = x
     pair = mix64(data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)) % np.uint64(PAIRS)
-    out[:, -PAIRS:] = np.bincount(of[:-1] * PAIRS + pair.astype(np.int64), minlength=len(out) * PAIRS).reshape(-1, PAIRS) / total
+    out[:, SHARES - PAIRS : SHARES] = np.bincount(of[:-1] * PAIRS + pair.astype(np.int64), minlength=len(out) * PAIRS).reshape(-1, PAIRS) / total
+    bucket = (word_hashes(LOWER[data], start, end) % np.uint64(BUCKETS)).astype(np.int64)
+    out[:, SHARES:] = np.bincount(passage * BUCKETS + bucket, minlength=len(out) * BUCKETS).reshape(-1, BUCKETS) / np.maximum(size, 1)[:, None]
     return out, per_row
 
 
@@ -105,14 +109,16 @@ class Attention:
         return {"A": x.T @ dh, "a": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ e, "d": e.sum()}
 
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.forward((x.astype(np.float64) - self.mean) / self.scale, counts)["score"] if len(counts) else np.zeros(0)
+        return self.forward((x - self.mean) / self.scale, counts)["score"] if len(counts) else np.zeros(0)
 
     @classmethod
     def fit(cls, x: np.ndarray, counts: np.ndarray, label: np.ndarray, epochs: int = 30, batch: int = 256, decay: float = 1e-4) -> Attention:
         rng = np.random.default_rng(5)
-        x = x.astype(np.float64)
-        mean, scale = x.mean(0), x.std(0) + 1e-3
-        x = (x - mean) / scale
+        # single precision, in place: the sample is the driver's largest array
+        mean, scale = x.mean(0, dtype=np.float64).astype(np.float32), x.std(0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
+        scale[SHARES:] = 1 / PASSAGE  # one word of a passage
+        x = x - mean
+        x /= scale
         net = cls(mean, scale, {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 else np.zeros(s) for k, s in cls.SHAPES.items()})
         net.p["w"], net.p["c"] = rng.normal(0, 0.3, 12), rng.normal(0, 0.3, 24)
         at = np.concatenate(([0], np.cumsum(counts)))
