@@ -27,9 +27,10 @@ SHORT, SPELT = 4, 4
 #: Labelled rows to learn from, and features kept of them.
 TRAINING_ROWS, FEATURES = 20_000, 4096
 #: Restored pieces that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 KINDS = 64
 _AGAIN = re.compile(r"(.)\1")
+_THRICE = re.compile(r"(.)\1\1")
 _TAIL = re.compile(r"([^\w\s])\1{2,}")
 
 
@@ -70,6 +71,9 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+_CHANNELS: dict[int, Channel] = {}
+
+
 class Channel:
     """Restores pieces of text: the cheapest path through a lattice of what each character may stand for."""
 
@@ -82,10 +86,14 @@ class Channel:
 
     @classmethod
     def of_costs(cls, cost: np.ndarray) -> Channel:
-        """A channel of costs worked out before."""
-        own = cls.__new__(cls)
-        own._hold(cost)
-        return own
+        """A channel of costs worked out before; a worker keeps the last one, and what it remembers, from task to task."""
+        key = zlib.crc32(cost.tobytes())
+        if key not in _CHANNELS or not np.array_equal(_CHANNELS[key].cost, cost):
+            own = cls.__new__(cls)
+            own._hold(cost)
+            _CHANNELS.clear()
+            _CHANNELS[key] = own
+        return _CHANNELS[key]
 
     def _hold(self, cost: np.ndarray) -> None:
         # single numbers are read faster from a list; a state is KINDS * kind before + last kind, a place KINDS * state + next kind
@@ -93,6 +101,27 @@ class Channel:
         self.known: dict[str, str] = {}
         self.words: dict[str, tuple[str, ...]] = {}
         self.ends: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, bool] = {}
+
+    def _single(self, word: str) -> str:
+        """A word of letters, none thrice in a row, without the doubled letters that the lattice drops: the letters on either side of a pair decide it alone."""
+        out, last = [], ""
+        for i, c in enumerate(word):
+            if c == last:
+                around = word[max(0, i - 2) : i + 2]
+                if i < 2:
+                    around = "<" + around
+                drop = self.pairs.get(around)
+                if drop is None:
+                    a, c1, _, *d = [kind_of(x) if x != "<" else 0 for x in around]
+                    at = lambda x, y, z: self.flat[(x * KINDS + y) * KINDS + z]
+                    d = d[0] if d else 0
+                    drop = self.pairs[around] = PAIR + at(a, c1, d) < at(a, c1, c1) + at(c1, c1, d)
+                if drop:
+                    continue
+            out.append(c)
+            last = c
+        return "".join(out)
 
     def restore(self, piece: str) -> str:
         """The piece (in lower case) in plain letters; "" if nothing is left. Spaces in it may be word ends or not."""
@@ -101,7 +130,7 @@ class Channel:
         if piece not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known[piece] = self._viterbi(piece)
+            self.known[piece] = self._single(piece) if piece.isalpha() and not _THRICE.search(piece) else self._viterbi(piece)
         return self.known[piece]
 
     def _viterbi(self, said: str) -> str:
@@ -160,15 +189,15 @@ class Channel:
     def apart(self, left: str, right: str) -> bool:
         """Whether two tokens in a row are two words, whatever stands around them.
 
-        So it is where each has one path through the lattice and two letters at least: then the two letters on either side decide the space
-        between them alone, and the lattice can be cut there.
+        So it is where each has two letters at least, and the two on either side of the space are sure: then they decide it alone, and the
+        lattice can be cut there.
         """
         said = self.ends.get((left, right))
         if said is None:
             if len(self.ends) > REMEMBERED:
                 self.ends.clear()
-            said, a, b = False, _sole(left), _sole(right)
-            if len(a) > 1 and len(b) > 1 and left[-1] != right[0]:
+            said, a, b = False, _sure(left), _sure(right)
+            if len(a) > 1 and len(b) > 1 and left[-1] != right[0] and a[-1] != a[-2] and b[0] != b[1]:
                 cost = lambda *k: self.flat[(k[0] * KINDS + k[1]) * KINDS + k[2]]
                 (w, x), (y, z) = map(kind_of, a[-2:]), map(kind_of, b[:2])
                 said = cost(w, x, 0) + cost(x, 0, y) + cost(0, y, z) < SPACE + cost(w, x, y) + cost(x, y, z)
@@ -208,10 +237,10 @@ class Channel:
             out.update(self.restore(" ".join(run)).split())
 
 
-def _sole(token: str) -> str:
-    """The letters of a token that has one path through the lattice, else nothing."""
+def _sure(token: str) -> str:
+    """The letters of a token in which nothing but one of a doubled letter is in doubt, else nothing."""
     if token.isalpha():
-        return "" if _AGAIN.search(token) else token
+        return "" if _THRICE.search(token) else token
     return "" if _AGAIN.search(token) or any(c in LOOKALIKES for c in token) else "".join(c for c in token if c.isalpha())
 
 
