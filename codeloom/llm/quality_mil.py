@@ -114,7 +114,6 @@ class Attention:
     @classmethod
     def fit(cls, x: np.ndarray, counts: np.ndarray, label: np.ndarray, epochs: int = 30, batch: int = 256, decay: float = 1e-4) -> Attention:
         rng = np.random.default_rng(5)
-        # single precision, in place: the sample is the driver's largest array
         mean, scale = x.mean(0, dtype=np.float64).astype(np.float32), x.std(0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
         scale[SHARES:] = 1 / PASSAGE  # one word of a passage
         x = x - mean
@@ -147,14 +146,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             for a, b in slices(offsets):
                 x, counts = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = np.concatenate(([0], np.cumsum(counts)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([x[i:j].astype(np.float16).tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["label", "x"])
 
     sample = training_sample(docs, labels, label, folds, held_out, most).select("text", F.col("label").cast("int").alias("label"))
     rows = sorted((bytes(r.x), r.label) for r in sample.mapInArrow(run, "label int, x binary").collect())
     if not rows:
         return None
-    x = [np.frombuffer(r, np.float32).reshape(-1, WIDTH) for r, _ in rows]
-    return Attention.fit(np.concatenate(x), np.array([len(a) for a in x]), np.array([y for _, y in rows], float))
+    # half precision until here: the sample is the driver's largest array
+    counts, y = np.array([len(r) // (2 * WIDTH) for r, _ in rows]), np.array([y for _, y in rows], float)
+    x = np.frombuffer(b"".join([r for r, _ in rows]), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    del rows
+    return Attention.fit(x, counts, y)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
