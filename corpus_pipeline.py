@@ -13,27 +13,27 @@ from codeloom.llm.common import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that toxicity scoring does not reject."""
+    """The documents that toxicity scoring does not reject; each row by its own text, null and empty ones and rows that repeat too. An empty table gives none; columns may have any names."""
     return toxicity.filter_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the least doc_id, and texts without words."""
+    """Of each component of similar documents, the row with the least doc_id (null first), then the least digest of its text; of rows that repeat, one. Texts without words all stay. An empty table gives none; columns may have any names."""
     return ngram_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage."""
+    """The documents that hold no benchmark passage; each row by its own text, so that null ids and rows that repeat play no part. Null and empty texts stay. An empty table or benchmark drops nothing; columns may have any names."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them: a null source is a source, a null doc_id a document, rows that repeat are interchangeable. An empty table gives none; columns may have any names."""
     return mixing.mix(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each row, from token files written and read back."""
+    """doc_id, start, n_tokens, ids_crc32 of each row, from token files written and read back: a null or empty text has the end id alone, a null doc_id comes first, rows that repeat stand together. An empty table gives none; other columns are ignored."""
     return token_store.token_digest(docs, queries.tokenizer_config())
 
 
