@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,21 +197,24 @@ def splits_at_space(config: str) -> bool:
 
 
 def write_tokens(docs: DataFrame, config: str, path: str, end_id: int = 1, shard_rows: int = SHARD_ROWS) -> None:
-    """Encode every text of docs and write the token file: a Parquet folder whose rows are blocks in ascending doc_id order.
-
-    Columns of a block: shard, block, n_docs, n_tokens, first_key and last_key (doc_id), keys (doc_id and number of the row among
-    those with that doc_id), hash (PerfectHash of the keys), prints and places (by hash number: 24 bits of fingerprint, and offset and
-    length in ids), width (bytes of an id), payload (raw little-endian ids). A block is looked up by its key range, then by its hash.
-    A null text is encoded as empty, a null doc_id sorts first, rows that repeat a doc_id stand in the order of their ids' bytes. end_id
-    follows each document. An empty table gives an empty folder with its schema.
+    """Encode every text of docs and write the token file: Parquet folders of blocks in ascending doc_id order, of an index, and of its size.
+
+    Columns of a block: shard (its folder), block, n_docs, n_tokens, first_key and last_key (doc_id), keys (doc_id and number of the row
+    among those with that doc_id), hash (PerfectHash of the keys), prints and places (by hash number: 24 bits of fingerprint, and offset
+    and length in ids), width (bytes of an id), payload (raw little-endian ids). Columns of the index: bucket of keys (its folder), hash,
+    prints and places (shard and block). So a key's hash names its row of the index, and that its block: two rows are read, however many there are.
+    A null text is encoded as empty, a null doc_id sorts first, rows that repeat a doc_id stand in the order of a hash of their texts, then
+    of their ids' bytes, and may fill several shards; only rows equal in both share one. end_id follows each document. An empty table
+    gives empty folders.
     """
     spark = docs.sparkSession
     whole = not splits_at_space(config)
     n = docs.count()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")) if n > 1000 else 1, -(-n // shard_rows))
     marks = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k")).approxQuantile("k", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 and n else []
-    bounds = np.unique(np.array(marks, np.float64).astype(np.int64))
+    bounds = np.sort(np.array(marks, np.float64).astype(np.int64))
     shards = len(bounds) + 1
+    earlier = _rows_before(docs, bounds)
     sent = spark.sparkContext.broadcast(config)  # one tokenizer file, of fixed size
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +228,9 @@ def write_tokens(docs: DataFrame, config: str, path: str, end_id: int = 1, shard
                 last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + (2 << 20), "right")) - 1)
                 texts = [x or "" for x in batch.column(1).slice(first, last - first).to_pylist()]
                 ids = [x + end for x in (encoder.whole(texts) if whole else encoder.ids(texts))]
-                shard = np.searchsorted(bounds, keys[first:last], "left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys[first:last]), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+                tie = batch.column(2).slice(first, last - first)
+                shard = _shards(bounds, keys[first:last], tie.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys[first:last]), tie, pa.array(ids, pa.binary())], ["shard", "doc_id", "tie", "ids"])
                 first = last
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +247,15 @@ def write_tokens(docs: DataFrame, config: str, path: str, end_id: int = 1, shard
             prints, places = np.zeros(len(key), np.uint32), np.zeros((len(key), 2), np.uint32)
             prints[slot] = fingerprint(hashed)
             places[slot, 0], places[slot, 1] = np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths
-            row = [shard, block, len(key), int(lengths.sum()), int(key[0]), int(key[-1]), np.stack([key, number], 1).tobytes(), f.to_bytes(), prints.tobytes(), places.tobytes(), width, b"".join(parts)]
+            row = [block, len(key), int(lengths.sum()), int(key[0]), int(key[-1]), np.stack([key, number], 1).tobytes(), f.to_bytes(), prints.tobytes(), places.tobytes(), width, b"".join(parts), shard]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, _FILE)], [c for c, _ in _FILE])
 
         for batch in batches:
-            for s, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for s, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 if keys and (s != shard or held + len(ids) > BLOCK_BYTES or len(keys) >= BLOCK_DOCS):
                     yield done()
                     block, keys, order, parts, held = (block + 1 if s == shard else 0), [], [], [], 0
-                nth = nth + 1 if previous == (s, k) else 0
+                nth = nth + 1 if previous == (s, k) else earlier.get((s, k), 0)
                 previous, shard = (s, k), s
                 keys.append(k)
                 order.append(nth)
@@ -259,17 +264,92 @@ def write_tokens(docs: DataFrame, config: str, path: str, end_id: int = 1, shard
         if keys:
             yield done()
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.mapInArrow(pack, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), _tie().alias("tie")).mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
+    dealt = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie", "ids")
+    dealt.mapInArrow(pack, FILE_SCHEMA).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
+    _write_index(spark, path, shards)
+
+
+def _tie():
+    """What orders rows of one doc_id: a hash of the text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _parts(tie: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which of `many` parts a row falls in; parts ascend with tie."""
+    return ((tie >> 32) + (1 << 31)) * many >> 32
+
+
+def _shards(bounds: np.ndarray, keys: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The shard of each row. A doc_id that is several bounds has rows for as many shards, and fills them by tie."""
+    first = np.searchsorted(bounds, keys, "left")
+    many = np.maximum(1, np.searchsorted(bounds, keys, "right") - first)
+    return (first + _parts(tie, many)).astype(np.int32)
+
+
+def _rows_before(docs: DataFrame, bounds: np.ndarray) -> dict[tuple[int, int], int]:
+    """(shard, doc_id): rows of that doc_id in earlier shards, for those that fill several. There are no more than shards."""
+    hot, first, many = np.unique(bounds, return_index=True, return_counts=True)
+    some = many > 1
+    if not some.any():
+        return {}
+    wide = docs.sparkSession.createDataFrame(list(zip(hot[some].tolist(), first[some].tolist(), many[some].tolist())), "k long, first long, many long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), _tie().alias("tie"))
+    part = F.shiftright((F.shiftright("tie", 32) + F.lit(1 << 31)) * F.col("many"), 32)
+    held = rows.join(F.broadcast(wide), "k").groupBy("k", (F.col("first") + part).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    out, run, last = {}, 0, None
+    for k, shard, n in sorted(map(tuple, held.collect())):
+        run = run if k == last else 0
+        out[shard, k] = run
+        run, last = run + n, k
+    return out
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(keys ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _write_index(spark: SparkSession, path: str, buckets: int) -> None:
+    """The index of the blocks in path: a row per bucket of keys. Its size is written last, so a file without it is not whole."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)
+                keys = key64(pairs[:, 0], pairs[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys, buckets)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), row["shard"], np.int32)), pa.array(np.full(len(keys), row["block"], np.int32))], ["bucket", "key", "shard", "block"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        every = pa.Table.from_batches(held)
+        bucket, keys, shard, block = (every[c].to_numpy() for c in ("bucket", "key", "shard", "block"))
+        for one in np.unique(bucket):
+            mine = bucket == one
+            hashed = keys[mine].view(np.uint64)
+            f = PerfectHash.build(hashed)
+            slot = f.numbers(hashed)
+            prints, places = np.zeros(len(slot), np.uint32), np.zeros((len(slot), 2), np.uint32)
+            prints[slot] = fingerprint(hashed)
+            places[slot, 0], places[slot, 1] = shard[mine], block[mine]
+            row = [len(slot), f.to_bytes(), prints.tobytes(), places.tobytes(), int(one)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, _INDEX)], [c for c, _ in _INDEX])
+
+    blocks = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/blocks").select("shard", "block", "keys")
+    keys = blocks.mapInArrow(keyed, "bucket int, key long, shard int, block int").repartitionById(buckets, F.col("bucket"))
+    keys.mapInArrow(pack, INDEX_SCHEMA).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/index")
+    spark.range(0, 1, 1, 1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/size")
 
 
-_FILE = [("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("keys", pa.binary()), ("hash", pa.binary()), ("prints", pa.binary()), ("places", pa.binary()), ("width", pa.int32()), ("payload", pa.binary())]
-FILE_SCHEMA = "shard int, block int, n_docs long, n_tokens long, first_key long, last_key long, keys binary, hash binary, prints binary, places binary, width int, payload binary"
+_FILE = [("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("keys", pa.binary()), ("hash", pa.binary()), ("prints", pa.binary()), ("places", pa.binary()), ("width", pa.int32()), ("payload", pa.binary()), ("shard", pa.int32())]
+FILE_SCHEMA = "block int, n_docs long, n_tokens long, first_key long, last_key long, keys binary, hash binary, prints binary, places binary, width int, payload binary, shard int"
+_INDEX = [("n_keys", pa.int64()), ("hash", pa.binary()), ("prints", pa.binary()), ("places", pa.binary()), ("bucket", pa.int32())]
+INDEX_SCHEMA = "n_keys long, hash binary, prints binary, places binary, bucket int"
 
 
 def look_up(hash_: bytes, prints: bytes, places: bytes, keys: np.ndarray) -> np.ndarray:
-    """Offset and length in ids of each key of a block; -1 where the fingerprint says that the block lacks it."""
+    """The place of each key of a block (offset and length in ids) or of the index (shard and block); -1 where the fingerprint says that it is not there."""
     out = np.full((len(keys), 2), -1, np.int64)
     slot = PerfectHash.from_bytes(hash_).numbers(keys)
     good = slot >= 0
@@ -296,23 +376,33 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                         pa.array([ids[o : o + n].astype("<u4").tobytes() for o, n in here], pa.binary()),
                     ], ["shard", "block", "doc_id", "nth", "offset", "n_tokens", "ids"])
 
-    files = spark.read.schema(FILE_SCHEMA).parquet(path).select("shard", "block", "keys", "hash", "prints", "places", "width", "payload")
+    files = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/blocks").select("shard", "block", "keys", "hash", "prints", "places", "width", "payload")
     return files.mapInArrow(run, "shard int, block int, doc_id long, nth long, offset long, n_tokens long, ids binary")
 
 
-def token_ids(spark: SparkSession, path: str, doc_id: int, nth: int = 0) -> np.ndarray | None:
-    """Keyed access: the ids of one document. The key range finds its block, the hash its place there."""
-    here = F.lit(doc_id).between(F.col("first_key"), F.col("last_key"))
-    for row in spark.read.schema(FILE_SCHEMA).parquet(path).where(here).toLocalIterator():
-        offset, n = look_up(row["hash"], row["prints"], row["places"], key64(np.array([doc_id]), np.array([nth])))[0]
-        if offset >= 0:
-            return np.frombuffer(row["payload"], np.uint16 if row["width"] == 2 else np.uint32)[offset : offset + n].astype(np.uint32)
-    return None
+def token_ids(spark: SparkSession, path: str, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
+    """Keyed access: the ids of the nth row with that doc_id, or None. One row of the index gives its block, and one block its ids."""
+    key = key64(np.array([_NO_ID if doc_id is None else doc_id], np.int64), np.array([nth]))
+    buckets = spark.read.schema("buckets int").parquet(f"{path}/size").first()["buckets"]
+    index = spark.read.schema(INDEX_SCHEMA).option("basePath", f"{path}/index")
+    try:
+        row = index.parquet(f"{path}/index/bucket={_bucket(key, buckets)[0]}").first()
+    except AnalysisException as e:  # no key has that bucket
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    shard, block = look_up(row["hash"], row["prints"], row["places"], key)[0].tolist()
+    if shard < 0:
+        return None
+    blocks = spark.read.schema(FILE_SCHEMA).option("basePath", f"{path}/blocks").parquet(f"{path}/blocks/shard={shard}")
+    row = blocks.where(F.col("block") == block).first()
+    offset, n = look_up(row["hash"], row["prints"], row["places"], key)[0]
+    return None if offset < 0 else np.frombuffer(row["payload"], np.uint16 if row["width"] == 2 else np.uint32)[offset : offset + n].astype(np.uint32)
 
 
 def document_starts(spark: SparkSession, path: str) -> DataFrame:
     """shard, block, block_start: ids of all blocks before, by sums per shard and then within each shard."""
-    blocks = spark.read.schema(FILE_SCHEMA).parquet(path).select("shard", "block", "n_tokens")
+    blocks = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/blocks").select("shard", "block", "n_tokens")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     # one row per shard meets in one window
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("held")).withColumn("shard_start", F.coalesce(F.sum("held").over(before(Window.partitionBy(F.lit(0)).orderBy("shard"))), F.lit(0)))
@@ -324,7 +414,7 @@ def token_digest(docs: DataFrame, config: str, end_id: int = 1, path: str | None
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each row of docs, from a token file written and read back.
 
     Whole texts are encoded, however long; a null or empty text has the end id alone. A null doc_id comes first; rows that repeat a doc_id
-    stand in the order of their ids' bytes. An empty table gives no rows; other columns, whatever their names, are ignored.
+    stand in the order of a hash of their texts, then of their ids' bytes. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

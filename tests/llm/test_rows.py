@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from functools import partial
 
 import brute
 import numpy as np
@@ -215,6 +216,29 @@ def test_tokens_many_shards(spark, tmp_path, monkeypatch):
     assert [r.doc_id for r in got] == list(range(1500))
 
 
+def test_tokens_of_one_doc_id_fill_several_shards(spark, tmp_path, monkeypatch):
+    """A doc_id, or none, that holds most rows is dealt over shards, and each of its rows has its own key."""
+    config, path = queries.tokenizer_config(), f"file://{tmp_path}/tokens"
+    monkeypatch.setattr(token_store, "write_tokens", partial(token_store.write_tokens, shard_rows=200))
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "concat('word', id % 13, ' x', id) AS text").unionByName(spark.sql("SELECT CAST(7 AS BIGINT) AS doc_id, 'twice' AS text UNION ALL SELECT 7, 'twice'"))
+    got = token_store.token_digest(docs, config, path=path).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and len(got) == 3002
+    encoder = token_store.Encoder.of(config)
+    crcs = sorted(zlib.crc32(np.array([*np.frombuffer(x, encoder.kind), 1], "<u4").tobytes()) for x in encoder.ids([r.text for r in docs.collect()]))
+    assert sorted(r.ids_crc32 for r in got) == crcs
+    rows = token_store.read_tokens(spark, path)
+    counts = {r.doc_id: (r.shards, r.n, r.keys, r.most) for r in rows.where("doc_id IS NULL OR doc_id = 7").groupBy("doc_id").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("n"), F.countDistinct("nth").alias("keys"), F.max("nth").alias("most")).collect()}
+    assert all(shards > 1 and n == keys == most + 1 for shards, n, keys, most in counts.values()) and counts[None][1] == 1000 and counts[7][1] == 1002
+    for r in rows.where("(doc_id IS NULL OR doc_id = 7) AND nth IN (0, 400, 999)").collect():
+        assert token_store.token_ids(spark, path, r.doc_id, r.nth).tobytes() == bytes(r.ids)
+    assert token_store.token_ids(spark, path, None, 1000) is None and token_store.token_ids(spark, path, 7, 1002) is None
+
+
 def test_pieces_are_exact():
     encoder = token_store.Encoder.of(queries.tokenizer_config())
     rng = np.random.default_rng(5)
