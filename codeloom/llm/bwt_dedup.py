@@ -201,8 +201,8 @@ def repeated_strings(texts: list[bytes], places: list[int], shard_bytes: int = S
 
 
 def _row_key():
-    """A row of documents by its doc_id and text; rows that repeat share it."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    """A row of documents by 128 bits of its doc_id and text, so that no two of any number of rows meet; rows that repeat share it."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")))
 
 
 def region_table(docs: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def region_table(docs: DataFrame) -> DataFrame:
                 if len(row):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(gram), pa.array(own)], ["row_key", "start", "strings", "place", "gram", "region"])
 
-    return docs.select(_row_key().alias("row_key"), "text").mapInArrow(run, "row_key long, start int, strings int, place int, gram long, region long")
+    return docs.select(_row_key().alias("row_key"), "text").mapInArrow(run, "row_key binary, start int, strings int, place int, gram long, region long")
 
 
 def region_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
