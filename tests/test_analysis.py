@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import extract, patterns, resolve
 from codeloom.plans.analyze import analyze, graph_of
 from codeloom.sources import cache, scan, settings
+from codeloom.streaming import incremental
 
 SHOP = '''"""A shop."""
 
@@ -152,3 +153,34 @@ def test_settings(tmp_path):
     assert settings.load(path)["ai_enabled"] is True
     (tmp_path / "c.json").write_text("[1")
     assert settings.load(path) == settings.DEFAULTS
+
+
+def test_cache_survives_unreadable_files_and_keeps_two_versions(spark, tmp_path):
+    source, store = tmp_path / "src", tmp_path / "cache"
+    source.mkdir()
+    (source / "a.py").write_text("class A:\n    def f(self):\n        return 1\n")
+    (source / "b.py").write_text("from a import A\nclass B(A):\n    pass\n")
+    first = analyze(spark, str(source), cache_folder=str(store))
+    assert first[1:] == (0, 2)
+    (store / "version-000000000009-unfinished").mkdir()
+    assert analyze(spark, str(source), cache_folder=str(store))[1:] == (2, 0)
+    for part in store.glob("version-*/part-*.parquet"):
+        part.write_bytes(b"no Parquet")
+    again = analyze(spark, str(source), cache_folder=str(store))
+    assert again[1:] == (0, 2)
+    ids = lambda g: sorted(r.id for r in g[0].nodes.select("id").collect())
+    assert ids(first) == ids(again)
+    assert len([v for v in store.glob("version-*") if (v / "_SUCCESS").exists()]) == 2 and not (store / "version-000000000009-unfinished").exists()
+
+
+def test_stream_keeps_the_cache_up_to_date(spark, tmp_path):
+    feed, store, marks = str(tmp_path / "feed"), str(tmp_path / "cache"), str(tmp_path / "marks")
+    schema = "file_seq long, rel_file_path string, module_path string, mtime double, size long, content binary"
+    rows = [(0, "a.py", "p.a", 1.0, 20, b"def f():\n    pass\n"), (0, "a.py", "p.a", 2.0, 20, b"def g():\n    pass\n"), (1, "b.py", "p.b", 1.0, 20, b"def h():\n    pass\n")]
+    for batch in (rows, [(1, "b.py", "p.b", 3.0, 22, b"def hh():\n    pass\n")], []):
+        if batch:
+            spark.createDataFrame(batch, schema).write.mode("append").parquet(feed)
+        incremental.follow(spark.readStream.schema(schema).parquet(feed), store, marks).awaitTermination()
+        kept = cache.load(spark, store)
+        names = sorted(r.id for r in extract.nodes(kept).where("kind = 'function'").collect())
+        assert names == (["p.a.g", "p.b.h"] if len(batch) == 3 else ["p.a.g", "p.b.hh"]) and kept.count() == 2
