@@ -138,6 +138,10 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", "f1", "f2", "e1", "e2", likeness(("f1", "f2"), ("n1", "n2")).alias("near_next"))
 
 
+def _mask(bits: int) -> int:
+    return (1 << bits) - 1 if bits < 64 else -1
+
+
 def block_keys(f1: str, f2: str, radius: int = RADIUS) -> Column:
     """An entry (key, below, want) for each permuted block table, an array.
 
@@ -148,7 +152,7 @@ def block_keys(f1: str, f2: str, radius: int = RADIUS) -> Column:
     per = (radius + 3) // 2  # blocks of a half
     width = [64 * (k + 1) // per - 64 * k // per for k in range(per)] * 2
     start = [64 * k // per for k in range(per)] * 2
-    block = [F.shiftrightunsigned(f1 if k < per else f2, start[k]).bitwiseAND((1 << width[k]) - 1) for k in range(2 * per)]
+    block = [F.shiftrightunsigned(f1 if k < per else f2, start[k]).bitwiseAND(_mask(width[k])) for k in range(2 * per)]
     entries = []
     for number, (i, j) in enumerate(combinations(range(2 * per), 2)):
         key = F.xxhash64(F.lit(number), block[i], block[j])
@@ -163,7 +167,7 @@ def _common(a: tuple[str, str], b: tuple[str, str], radius: int) -> Column:
     for k in range(2 * per):
         low, high = 64 * (k % per) // per, 64 * (k % per + 1) // per
         h = k // per
-        apart = F.shiftrightunsigned(F.col(a[h]).bitwiseXOR(F.col(b[h])), low).bitwiseAND((1 << high - low) - 1)
+        apart = F.shiftrightunsigned(F.col(a[h]).bitwiseXOR(F.col(b[h])), low).bitwiseAND(_mask(high - low))
         bits.append(F.when(apart == 0, F.lit(1 << k)).otherwise(F.lit(0)))
     return reduce(Column.bitwiseOR, bits)
 

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, decontaminate, exact_dedup, fingerprints, html_extract, licenses, mixing, ngram_join, quality_mil, resampling, token_store, toxicity
+from . import bwt_dedup, decontaminate, exact_dedup, fingerprints, hard_negatives, html_extract, licenses, mixing, ngram_join, quality_mil, resampling, token_store, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +70,9 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_exact_dedup, op4_token_files, op5_ngram_join, op6_decontamination, op7_html_extraction, op8_quality, op9_bwt_dedup, op10_license_scan, op11_fingerprints, op12_resampling)}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": licenses.ORACLE, "op12_resampling": resampling.ORACLE}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_exact_dedup, op4_token_files, op5_ngram_join, op6_decontamination, op7_html_extraction, op8_quality, op9_bwt_dedup, op10_license_scan, op11_fingerprints, op12_resampling, op13_hard_negatives)}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": licenses.ORACLE, "op12_resampling": resampling.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
