@@ -142,8 +142,8 @@ def _mask(bits: int) -> int:
     return (1 << bits) - 1 if bits < 64 else -1
 
 
-def block_keys(f1: str, f2: str, radius: int = RADIUS) -> Column:
-    """An entry (key, below, want) for each permuted block table, an array.
+def block_keys(f1: str, f2: str, part: Column, radius: int = RADIUS) -> Column:
+    """An entry (key, below, want) for each permuted block table, an array; `part` is the part of the key's group.
 
     128 bits are cut into at least two blocks more than the radius, so that near fingerprints agree in two blocks or more. The table of blocks i < j moves
     these to the front as its key. Of the tables that a pair shares, the one of the two lowest common blocks reports it: among
@@ -155,7 +155,7 @@ def block_keys(f1: str, f2: str, radius: int = RADIUS) -> Column:
     block = [F.shiftrightunsigned(f1 if k < per else f2, start[k]).bitwiseAND(_mask(width[k])) for k in range(2 * per)]
     entries = []
     for number, (i, j) in enumerate(combinations(range(2 * per), 2)):
-        key = F.xxhash64(F.lit(number), block[i], block[j])
+        key = F.xxhash64(F.lit(number), block[i], block[j], part)
         entries.append(F.struct(key.alias("key"), F.lit((1 << j + 1) - 1).alias("below"), F.lit(1 << i | 1 << j).alias("want")))
     return F.array(*entries)
 
@@ -180,14 +180,14 @@ def near_fingerprints(held: DataFrame, asked: DataFrame, radius: int = RADIUS, m
     """
     if not 0 <= radius <= 30:
         raise ValueError("a radius of 0 to 30 bits")
-    salt = F.pmod(F.xxhash64("f1", "f2"), F.lit(SALTS)).cast("int")
-    left = held.select("f1", "f2", *more, salt.alias("salt"), F.explode(F.transform(block_keys("f1", "f2", radius), lambda e: e["key"])).alias("key"))
-    asked = asked.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct()
-    right = asked.select("q1", "q2", F.explode(block_keys("q1", "q2", radius)).alias("e")).select("q1", "q2", "e.*").withColumnRenamed("key", "asked")
-    right = right.withColumn("part", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+    own = F.pmod(F.xxhash64("f1", "f2"), F.lit(SALTS)).cast("int")
+    left = held.select("f1", "f2", *more, F.explode(F.transform(block_keys("f1", "f2", own, radius), lambda e: e["key"])).alias("key"))
+    asked = asked.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct().withColumn("part", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+    right = asked.select("q1", "q2", F.explode(block_keys("q1", "q2", F.col("part"), radius)).alias("e")).select("q1", "q2", "e.*").withColumnRenamed("key", "asked")
     q, f = ("q1", "q2"), ("f1", "f2")
-    on = (F.col("key") == F.col("asked")) & (F.col("salt") == F.col("part")) & (_apart(q, f) <= radius) & (_common(q, f, radius).bitwiseAND(F.col("below")) == F.col("want"))
-    return left.join(right, on).select("q1", "q2", "f1", "f2", _apart(q, f).alias("apart"), *more)
+    on = (F.col("key") == F.col("asked")) & (_apart(q, f) <= radius) & (_common(q, f, radius).bitwiseAND(F.col("below")) == F.col("want"))
+    # neither side has a bound, and Spark's estimates leave out what explode() adds: both are shuffled
+    return left.hint("merge").join(right, on).select("q1", "q2", "f1", "f2", _apart(q, f).alias("apart"), *more)
 
 
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS, every: int = 100) -> DataFrame:
