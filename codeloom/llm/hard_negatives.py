@@ -286,17 +286,15 @@ class Search:
 _FOUND = ["anchor_uid", "anchor_id", "slot", "vec_id", "uid", "score"]
 
 
-def search(anchors: DataFrame, candidates: DataFrame, keep: int, same: bool) -> DataFrame:
+def search(anchors: DataFrame, candidates: DataFrame, keep: int, same: bool, chunks: int, parts: int) -> DataFrame:
     """anchor_uid, anchor_id, slot, vec_id, uid, score, nth: the first `keep` candidates of each anchor and slot.
 
     A cell is a part of the anchors against a part of the candidates; its task holds these anchors and reads block by block of the candidates. Each cell gives
     `keep` rows a slot at most, of which the first remain.
     """
-    parts, chunks = (sorted(r.part for r in d.select("part").distinct().collect()) for d in (candidates, anchors))
-    if not parts or not chunks:
-        return candidates.sparkSession.createDataFrame([], "anchor_uid long, anchor_id long, slot long, vec_id long, uid long, score long, nth int")
-    each = lambda numbers: F.explode(F.array(*[F.lit(x) for x in numbers]))
-    rows = anchors.select(F.col("part").alias("chunk"), each(parts).alias("with"), F.lit(0).alias("second"), *_KEPT).unionByName(candidates.select(each(chunks).alias("chunk"), F.col("part").alias("with"), F.lit(1).alias("second"), *_KEPT))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod("part", F.lit(n))
+    rows = anchors.select(own(chunks).alias("chunk"), each(parts).alias("with"), F.lit(0).alias("second"), *_KEPT).unionByName(candidates.select(each(chunks).alias("chunk"), own(parts).alias("with"), F.lit(1).alias("second"), *_KEPT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found = None, [], None
@@ -309,6 +307,8 @@ def search(anchors: DataFrame, candidates: DataFrame, keep: int, same: bool) ->
                 if row["second"] == 0:
                     held.append(row)
                     continue
+                if not held:
+                    continue
                 if found is None:
                     found = Search(held, keep, same)
                 found.meet(row)
@@ -317,7 +317,7 @@ def search(anchors: DataFrame, candidates: DataFrame, keep: int, same: bool) ->
         if found is not None:
             yield found.results()
 
-    met = rows.repartition(len(parts) * len(chunks), "chunk", "with").sortWithinPartitions("chunk", "with", "second")
+    met = rows.repartition(parts * chunks, "chunk", "with").sortWithinPartitions("chunk", "with", "second")
     out = met.mapInArrow(run, ", ".join(f"{c} long" for c in _FOUND))
     order = Window.partitionBy("anchor_uid", "slot").orderBy(F.col("score").desc(), "vec_id", "uid")
     return out.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)
@@ -341,10 +341,11 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
     sample = rows.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).toArrow().column("v").combine_chunks()
     splits = Splits(whole(_matrix(sample)) if len(sample) else np.zeros((0, 0)))
     n = rows.count()
-    candidates = scratch.table(packed(placed(rows, splits), max(partitions(spark), -(-n // PART_ROWS))), "candidates")
+    parts = max(partitions(spark), -(-n // PART_ROWS))
+    candidates = scratch.table(packed(placed(rows, splits), parts), "candidates")
     anchors = scratch.table(anchor_rows(candidates, splits, every), "anchors")
     chunks = max(1, -(-anchors.count() // ANCHOR_ROWS))
-    first = scratch.table(search(packed(anchors, chunks), candidates, positives, True), "positives")
+    first = scratch.table(search(packed(anchors, chunks), candidates, positives, True, chunks, parts), "positives")
     # per anchor and positive: the least and the greatest score of a negative, and of a positive that is not there a range that holds none
     s = F.col("score").cast("decimal(38,0)")
     bounds = first.groupBy("anchor_uid").agg(*[F.struct(F.coalesce(F.max(F.when(F.col("nth") == k + 1, F.ceil(s * least / 100))).cast("long"), F.lit(1).cast("long")).alias("low"), F.coalesce(F.max(F.when(F.col("nth") == k + 1, F.floor(s * most / 100))).cast("long"), F.lit(0).cast("long")).alias("high")).alias(f"b{k}") for k in range(positives)])
@@ -357,7 +358,7 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
             yield from pa.table(columns).to_batches()
 
     wanted = anchors.drop("extra").join(bounds, F.col("uid") == F.col("anchor_uid")).select("leaf", "uid", "vec_id", "label", "v", *[f"b{k}" for k in range(positives)]).mapInArrow(run, f"leaf long, {ROWS}")
-    second = search(packed(wanted, chunks), candidates, negatives, False)
+    second = search(packed(wanted, chunks), candidates, negatives, False, chunks, parts)
     said = first.select(F.col("anchor_uid").alias("of"), (F.col("nth") - 1).cast("long").alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = second.join(said, (F.col("anchor_uid") == F.col("of")) & (F.col("slot") == F.col("place")))
     named = lambda c: F.when(F.col(c) != int(_LAST), F.col(c))
