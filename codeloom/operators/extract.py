@@ -186,17 +186,23 @@ def stage_a(files: DataFrame) -> DataFrame:
     return files.select("file_seq", "rel_file_path", "module_path", "content").mapInPandas(run, STAGE_A)
 
 
-#: Rows of a file that a sequence number has room for.
-PER_FILE = 1 << 20
+#: Rows of a file and files that a sequence number has room for, below the kinds of edges.
+PER_FILE, FILES = 1 << 28, 1 << 32
+
+
+def sequence(file_seq: Column, pos: Column) -> Column:
+    """A number that orders rows by file and place; an error, not another row's number, where there is no room."""
+    fits = (file_seq >= 0) & (file_seq < FILES) & (pos < PER_FILE)
+    return F.when(fits, file_seq * PER_FILE + pos).otherwise(F.raise_error(F.lit("a file or a row of it has no room in the sequence numbers")).cast("long"))
 
 
 def exploded(a: DataFrame, column: str) -> DataFrame:
-    """One row per element of a list column of STAGE_A, with the file's columns file_seq and module_path."""
-    return a.select("file_seq", F.col("module_path").alias("file_module"), F.explode(column).alias("x")).select("file_seq", "file_module", "x.*")
+    """One row per element of a list column of STAGE_A, with its place `at` in the list and the file's columns file_seq and module_path."""
+    return a.select("file_seq", F.col("module_path").alias("file_module"), F.posexplode(column).alias("at", "x")).select("file_seq", "file_module", "at", "x.*")
 
 
 def nodes(a: DataFrame) -> DataFrame:
-    return exploded(a, "nodes").withColumn("node_seq", F.col("file_seq") * PER_FILE + F.col("pos")).drop("pos", "file_seq", "file_module").select("node_seq", "id", "name", "kind", "module", "file_path", "lineno", "end_lineno", "parent_id", "docstring")
+    return exploded(a, "nodes").select(sequence(F.col("file_seq"), F.col("pos")).alias("node_seq"), "id", "name", "kind", "module", "file_path", "lineno", "end_lineno", "parent_id", "docstring")
 
 
 def errors(a: DataFrame) -> DataFrame:

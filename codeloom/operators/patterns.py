@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .extract import EVIDENCE, PER_FILE, exploded
+from .extract import EVIDENCE, exploded, sequence
 
 
 def factories(a: DataFrame, all_nodes: DataFrame) -> DataFrame:
@@ -15,12 +15,12 @@ def factories(a: DataFrame, all_nodes: DataFrame) -> DataFrame:
     branches = exploded(a, "branches").join(known.select(F.col("n").alias("whole")), F.col("dotted") == F.col("whole"), "left").join(known.select(F.col("n").alias("last")), F.col("short") == F.col("last"), "left")
     branches = branches.withColumn("cls", F.coalesce("whole", "last")).where("cls IS NOT NULL")
     chains = branches.groupBy("file_seq", "pos", "symbol_id", "chain_no").agg(F.count_distinct("branch_no").alias("b"), F.count_distinct("cls").alias("c"))
-    return chains.where("b >= 2 AND c >= 2").select((F.col("file_seq") * PER_FILE + F.col("pos")).alias("seq"), "symbol_id").distinct()
+    return chains.where("b >= 2 AND c >= 2").select(sequence(F.col("file_seq"), F.col("pos")).alias("seq"), "symbol_id").distinct()
 
 
 def detect_patterns(a: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """seq, pattern, symbol_id, evidence; in order of seq, a Singleton before an Observer."""
-    own = exploded(a, "patterns").select((F.col("file_seq") * PER_FILE + F.col("pos")).alias("seq"), "pattern", "symbol_id")
+    own = exploded(a, "patterns").select(sequence(F.col("file_seq"), F.col("pos")).alias("seq"), "pattern", "symbol_id")
     rows = own.unionByName(factories(a, all_nodes).select("seq", F.lit("Factory").alias("pattern"), "symbol_id"))
     said = F.create_map(*[F.lit(x) for pair in EVIDENCE.items() for x in pair])
     return rows.withColumn("evidence", said[F.col("pattern")])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .extract import PER_FILE, exploded, nodes
+from .extract import exploded, nodes, sequence
 from .graph import dedupe_edges
 
 #: Order of edges: the kinds of edges that precede others take a lower block of edge_seq.
@@ -14,7 +14,7 @@ _BLOCK = 1 << 60
 
 
 def _seq(block: int, file_seq: Column, pos: Column) -> Column:
-    return F.lit(block * _BLOCK) + file_seq * PER_FILE + pos
+    return F.lit(block * _BLOCK) + sequence(file_seq, pos)
 
 
 def registry(all_nodes: DataFrame, kind: str) -> DataFrame:
@@ -25,7 +25,7 @@ def registry(all_nodes: DataFrame, kind: str) -> DataFrame:
 
 
 def inherits(a: DataFrame, classes: DataFrame) -> DataFrame:
-    """class_id, file_seq, class_pos, base_pos, base_id: a base is the class of that name in the module, else the class with that full id, else the only class of that short name."""
+    """class_id, file_seq, at (place among the file's bases), base_id: a base is the class of that name in the module, else the class with that full id, else the only class of that short name."""
     bases = exploded(a, "bases").withColumn("local", F.concat("file_module", F.lit("."), "base_name"))
     full = classes.select("id").distinct()
     sole = classes.where("held = 1").select(F.col("short").alias("sole_name"), F.col("id").alias("sole_id"))
@@ -35,30 +35,50 @@ def inherits(a: DataFrame, classes: DataFrame) -> DataFrame:
         .join(sole, F.col("base_name") == F.col("sole_name"), "left")
         .withColumn("base_id", F.coalesce("local_id", "full_id", "sole_id"))
     )
-    return found.where("base_id IS NOT NULL").select("class_id", "file_seq", "class_pos", "base_pos", "base_id")
+    return found.where("base_id IS NOT NULL").select("class_id", "file_seq", "at", "base_id")
+
+
+def first_by_prefix(known: DataFrame) -> DataFrame:
+    """short, prefix, id: of the symbols of a short name whose id starts with a prefix and a dot, the first by seq. A row for each dot of an id at most."""
+    dots = F.size(F.split("id", "[.]")) - 1
+    below = known.where(dots > 0).select("short", "id", "seq", F.explode(F.sequence(F.lit(1), dots)).alias("k"))
+    return below.withColumn("prefix", F.expr("substring_index(id, '.', k)")).groupBy("short", "prefix").agg(F.min_by("id", "seq").alias("id"))
 
 
 def named(names: DataFrame, known: DataFrame) -> DataFrame:
-    """module, name, id of the (module, name) pairs that mean a known symbol: a full id; else, of a short name, the first whose id starts with the module and a dot, else the only one."""
+    """module, name, id of the (module, name) pairs that mean a known symbol: a full id; else, of a short name, the first whose id starts with the module and a dot, else the only one.
+
+    All are equality joins in which a pair meets one row at most, however many symbols share a short name.
+    """
     pairs = names.select("module", "name").distinct()
-    full = pairs.where("name LIKE '%.%'").join(known.select(F.col("id").alias("name")).distinct(), "name").select("module", "name", F.col("name").alias("id"))
-    short = pairs.join(known, F.col("name") == F.col("short"))
-    here = F.col("id").startswith(F.concat("module", F.lit(".")))
-    short = short.where(here | (F.col("held") == 1)).groupBy("module", "name").agg(F.min_by("id", F.struct(~here, "seq")).alias("id"))
-    return full.unionByName(short)
+    full = known.select(F.col("id").alias("full_id")).distinct()
+    here = first_by_prefix(known).select(F.col("short").alias("here_name"), F.col("prefix").alias("here_module"), F.col("id").alias("here_id"))
+    sole = known.where("held = 1").select(F.col("short").alias("sole_name"), F.col("id").alias("sole_id"))
+    found = (
+        pairs.join(full, (F.col("name") == F.col("full_id")) & F.col("name").contains("."), "left")
+        .join(here, (F.col("name") == F.col("here_name")) & (F.col("module") == F.col("here_module")), "left")
+        .join(sole, F.col("name") == F.col("sole_name"), "left")
+    )
+    return found.select("module", "name", F.coalesce("full_id", "here_id", "sole_id").alias("id")).where("id IS NOT NULL")
 
 
 def ancestors(inherited: DataFrame, of: DataFrame) -> DataFrame:
-    """class_id, ancestor_id, path of the classes in of (class_id): themselves and what they inherit from, depth first by path; cycles end a path."""
-    step = inherited.groupBy(F.col("class_id").alias("child"), "base_id").agg(F.min(F.col("file_seq") * PER_FILE * 64 + F.col("class_pos") * 64 + F.col("base_pos")).alias("place"))
-    level = of.select("class_id").distinct().select("class_id", F.col("class_id").alias("ancestor_id"), F.array().cast("array<bigint>").alias("path"), F.array("class_id").alias("through"))
-    out = level
-    while True:  # a path holds a class once, so that the deepest chain of bases ends it
-        level = cut(level.join(step, F.col("ancestor_id") == F.col("child")).where(~F.array_contains("through", F.col("base_id"))).select("class_id", F.col("base_id").alias("ancestor_id"), F.concat("path", F.array("place")).alias("path"), F.concat("through", F.array("base_id")).alias("through")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select("class_id", "ancestor_id", "path")
+    """class_id, ancestor_id, path of the classes in of (class_id): themselves and what they inherit from, in the order of a depth-first search by path.
+
+    Of the paths from a class to an ancestor only the least is kept, and corrected when a later round finds a lesser one: what a depth-first search
+    visits, it visits by the least path without a class twice, and the part of that path before its end is the least path to the class before. So there
+    is a row for each class and ancestor, not for each path, and a round for each step of the longest such path. A cycle ends a path.
+    """
+    step = inherited.groupBy(F.col("class_id").alias("child"), "base_id").agg(F.min(F.array(F.col("file_seq").cast("bigint"), F.col("at").cast("bigint"))).alias("place"))
+    best = of.select("class_id").distinct().select("class_id", F.col("class_id").alias("ancestor_id"), F.array().cast("array<bigint>").alias("path"), F.array("class_id").alias("through"), F.lit(True).alias("fresh"))
+    while True:
+        fresh = best.where("fresh").join(step, F.col("ancestor_id") == F.col("child")).where(~F.array_contains("through", F.col("base_id")))
+        fresh = fresh.select("class_id", F.col("base_id").alias("ancestor_id"), F.concat("path", "place").alias("path"), F.concat("through", F.array("base_id")).alias("through"), F.lit(True).alias("fresh"))
+        # of equal paths, the one of an earlier round
+        least = best.withColumn("fresh", F.lit(False)).unionByName(fresh).groupBy("class_id", "ancestor_id").agg(F.min(F.struct("path", "fresh", "through")).alias("least"))
+        best = cut(least.select("class_id", "ancestor_id", "least.path", "least.through", "least.fresh"))
+        if best.where("fresh").isEmpty():
+            return best.select("class_id", "ancestor_id", "path")
 
 
 def methods_of(wanted: DataFrame, inherited: DataFrame, all_nodes: DataFrame) -> DataFrame:
@@ -75,7 +95,7 @@ def resolve(a: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes, functions = registry(all_nodes, "class"), registry(all_nodes, "function")
     inherited = cut(inherits(a, classes))
     defines = all_nodes.where("parent_id IS NOT NULL").select(F.col("node_seq").alias("edge_seq"), F.col("parent_id").alias("source"), F.col("id").alias("target"), F.lit("defines").alias("type"))
-    extends = inherited.select(_seq(1, F.col("file_seq"), F.col("class_pos") * 64 + F.col("base_pos")).alias("edge_seq"), F.col("class_id").alias("source"), F.col("base_id").alias("target"), F.lit("inherits").alias("type"))
+    extends = inherited.select(_seq(1, F.col("file_seq"), F.col("at")).alias("edge_seq"), F.col("class_id").alias("source"), F.col("base_id").alias("target"), F.lit("inherits").alias("type"))
 
     calls, assigns = exploded(a, "calls"), exploded(a, "assigns")
     said = calls.where("type = 'call'").select(F.col("file_module").alias("module"), F.col("called_name").alias("name"))

@@ -74,7 +74,7 @@ def test_request_in_parts(spark):
 
 def test_deep_inheritance(spark):
     """A chain of bases of any length is walked to its end."""
-    chain = spark.createDataFrame([(f"c{i}", 0, i, 0, f"c{i + 1}") for i in range(80)], "class_id string, file_seq long, class_pos long, base_pos long, base_id string")
+    chain = spark.createDataFrame([(f"c{i}", 0, i, f"c{i + 1}") for i in range(80)], "class_id string, file_seq long, at int, base_id string")
     found = resolve.ancestors(chain, spark.createDataFrame([("c0",)], "class_id string"))
     assert found.count() == 81
 
