@@ -101,17 +101,42 @@ def row_digest(*columns: str) -> Column:
     return F.struct(*[F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)").alias(f"d{i}") for i in range(5)])
 
 
-def fingerprint(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None = None, key: str = "") -> DataFrame:
-    """One row: fingerprint of the graph, whatever the order of its rows; line numbers and docstrings do not count.
+def file_digests(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """file_path, t (node, edge, pattern), n, s0 to s4: sums of the digests of each file's rows, equal rows of it counted.
 
-    Each row's digest is cut into five numbers, and their sums over all rows (equal rows of nodes counted) are hashed.
+    Line numbers and docstrings do not count. An edge and a pattern belong to the file of their symbol, the first of its id; to none if the symbol is none. Sums of
+    files add up, so a graph of which some files changed needs the sums of these alone.
     """
-    rows = nodes.select(F.lit("node").alias("t"), row_digest("id", "name", "kind", "module", "parent_id").alias("d")).unionByName(edges.select(F.lit("edge").alias("t"), row_digest("source", "target", "type").alias("d")))
+    of = nodes.groupBy(F.col("id").alias("of")).agg(F.min_by("file_path", "node_seq").alias("file_path"))
+    placed = lambda rows, symbol: rows.join(of, F.col(symbol) == F.col("of"), "left")
+    rows = nodes.select("file_path", F.lit("node").alias("t"), row_digest("id", "name", "kind", "module", "file_path").alias("d"))
+    rows = rows.unionByName(placed(edges, "source").select("file_path", F.lit("edge").alias("t"), row_digest("source", "target", "type").alias("d")))
     if patterns is not None:
-        rows = rows.unionByName(patterns.select(F.lit("pattern").alias("t"), row_digest("pattern", "symbol_id").alias("d")))
-    sums = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"d.d{i}").alias(f"s{i}") for i in range(5)])
+        rows = rows.unionByName(placed(patterns, "symbol_id").select("file_path", F.lit("pattern").alias("t"), row_digest("pattern", "symbol_id", "evidence").alias("d")))
+    return rows.groupBy("file_path", "t").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"d.d{i}").alias(f"s{i}") for i in range(5)])
+
+
+def digests_fingerprint(digests: DataFrame, root: str = "", key: str = "") -> DataFrame:
+    """One row: fingerprint of the graph whose files have these digests, of its project's root and of a key (the model that is asked)."""
+    sums = digests.groupBy("t").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)])
     said = sums.select(F.concat_ws("|", "t", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(5)]).alias("said"))
-    return said.agg(F.sha2(F.concat_ws("\n", F.lit(key), F.sort_array(F.collect_list("said"))), 256).alias("fingerprint"))
+    head = F.to_json(F.struct(F.lit(root).alias("root"), F.lit(key).alias("key")))
+    return said.agg(F.sha2(F.concat_ws("\n", head, F.sort_array(F.collect_list("said"))), 256).alias("fingerprint"))
+
+
+def fingerprint(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None = None, root: str = "", key: str = "") -> DataFrame:
+    """One row: fingerprint of the graph, whatever the order of its rows; line numbers and docstrings do not count.
+
+    Each row's digest is cut into five numbers, and their sums over all rows (equal rows counted) are hashed.
+    """
+    return digests_fingerprint(file_digests(nodes, edges, patterns), root, key)
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file_path of the files whose digests differ, are new or are gone."""
+    both = [d.select("file_path", F.struct("t", "n", *[f"s{i}" for i in range(5)]).alias("d")).groupBy("file_path").agg(F.sort_array(F.collect_list("d")).alias(name)) for d, name in ((before, "a"), (after, "b"))]  # three rows a file at most
+    one, two = both[0], both[1].withColumnRenamed("file_path", "other")
+    return one.join(two, F.col("file_path").eqNullSafe(F.col("other")), "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(F.coalesce("file_path", "other").alias("file_path"))
 
 
 def containment(nodes: DataFrame) -> DataFrame:

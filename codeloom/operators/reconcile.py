@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from ..sources.keyed import KeyedTable
 from .graph import edge_type_histogram, fan_metrics, fingerprint
 
+#: What strip() removes at both ends of a text.
+_WHITE = r"^[\s\x1C-\x1F\x{85}\p{Z}]+|[\s\x1C-\x1F\x{85}\p{Z}]+$"
 FIELDS = ("component_id", "name", "member_symbol_ids", "role", "rationale")
 _FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
 
@@ -37,6 +40,10 @@ def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, _WHITE, "")
+
+
 def problems(clusterings: DataFrame) -> DataFrame:
     """clustering_id, problem of replies (clustering_id, reply) that are no clusterings."""
     rows = clusterings.withColumn("v", json_object(F.col("reply")))
@@ -55,16 +62,16 @@ def members(clusterings: DataFrame) -> DataFrame:
     """clustering_id, at, component_id, name, role, rationale, member_at, symbol_id of each named member; a component without members has one row with null."""
     rows = clusterings.withColumn("v", json_object(F.col("reply"))).where("v IS NOT NULL")
     parts = rows.select("clustering_id", F.posexplode(F.try_variant_get("v", "$.components", "array<variant>")).alias("at", "c"))
-    text = lambda f: F.trim(F.try_variant_get("c", f"$.{f}", "string"))
+    text = lambda f: _strip(F.try_variant_get("c", f"$.{f}", "string"))
     named = F.when(F.coalesce(text("component_id"), F.lit("")) == "", F.concat(F.lit("comp_"), F.col("at") + 1)).otherwise(text("component_id"))
     parts = parts.select("clustering_id", "at", named.alias("component_id"), *[text(f).alias(f) for f in ("name", "role", "rationale")], F.try_variant_get("c", "$.member_symbol_ids", "array<string>").alias("m"))
-    return parts.select("clustering_id", "at", "component_id", "name", "role", "rationale", F.posexplode_outer("m").alias("member_at", "s")).withColumn("symbol_id", F.trim("s")).drop("s")
+    return parts.select("clustering_id", "at", "component_id", "name", "role", "rationale", F.posexplode_outer("m").alias("member_at", "s")).withColumn("symbol_id", _strip(F.col("s"))).drop("s")
 
 
 def listed_unclustered(clusterings: DataFrame) -> DataFrame:
     """clustering_id, member_at, symbol_id of the symbols that a reply lists as unclustered."""
     rows = clusterings.withColumn("v", json_object(F.col("reply"))).where("v IS NOT NULL")
-    return rows.select("clustering_id", F.posexplode(F.try_variant_get("v", "$.unclustered_symbol_ids", "array<string>")).alias("member_at", "s")).select("clustering_id", "member_at", F.trim("s").alias("symbol_id"))
+    return rows.select("clustering_id", F.posexplode(F.try_variant_get("v", "$.unclustered_symbol_ids", "array<string>")).alias("member_at", "s")).select("clustering_id", "member_at", _strip(F.col("s")).alias("symbol_id"))
 
 
 def valid_members(clusterings: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,16 +114,32 @@ def prompt(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None = None
 
 
 class ClusteringCache:
-    """Replies by graph and model, in the driver's memory."""
+    """Replies by the fingerprint of graph, root and model: in the driver's memory, and in a table where a folder is given, so that they outlive the driver."""
+
+    SCHEMA = "key string, reply string"
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None, buckets: int = 16):
         self.held: dict[str, str] = {}
+        self.table = KeyedTable(spark, folder, self.SCHEMA, "key", buckets) if folder else None
+
+    def get(self, key: str) -> str | None:
+        if key not in self.held and self.table is not None:
+            for row in self.table.load(tolerant=True).where(F.col("key") == key).collect():  # one row at most
+                self.held[key] = row.reply
+        return self.held.get(key)
+
+    def put(self, key: str, reply: str) -> None:
+        self.held[key] = reply
+        if self.table is not None:
+            self.table.update(self.table.spark.createDataFrame([(key, reply)], self.SCHEMA), tolerant=True)
 
     def clear(self) -> None:
         self.held.clear()
+        if self.table is not None:
+            self.table.clear()
 
     def __len__(self) -> int:
-        return len(self.held)
+        return len(self.held) if self.table is None else self.table.load(tolerant=True).count()
 
 
 def _asked(spark: SparkSession, ask: Callable[[str, str], str], text: str) -> str:
@@ -140,17 +163,22 @@ def _united(spark: SparkSession, replies: list[str]) -> str:
     return json.dumps({"components": [c for p in parts for c in p["components"]], "unclustered_symbol_ids": [x for p in parts for x in p.get("unclustered_symbol_ids") or []], "narrative": "\n".join(str(p["narrative"]) for p in parts)})
 
 
-def cluster(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ask: Callable[[str, str], str], cache: ClusteringCache, model: str = "", refresh: bool = False, most_lines: int = 2000, patterns: DataFrame | None = None) -> DataFrame:
+def cluster(
+    spark: SparkSession, nodes: DataFrame, edges: DataFrame, ask: Callable[[str, str], str], cache: ClusteringCache, model: str = "", refresh: bool = False, most_lines: int = 2000, patterns: DataFrame | None = None, root: str = ""
+) -> DataFrame:
     """A reply (clustering_id, reply) that is a clustering: from the cache, or from ask(system, prompt).
 
     All lines of the prompt are sent, most_lines at a time; the driver holds one part. The replies to several parts become one. An empty graph has
     a fixed reply.
     """
-    key = fingerprint(nodes, edges, patterns, key=model).first()[0]
-    if nodes.isEmpty():
-        cache.held[key] = '{"components": [], "unclustered_symbol_ids": [], "narrative": "The graph has no symbols."}'
-    if refresh or key not in cache.held:
-        lines = (r.line for r in prompt(nodes, edges, patterns).orderBy("part", "seq").toLocalIterator())
-        replies = [_asked(spark, ask, "\n".join(part)) for part in iter(lambda: list(islice(lines, most_lines)), [])]
-        cache.held[key] = replies[0] if len(replies) == 1 else _united(spark, replies)
-    return spark.createDataFrame([(0, cache.held[key])], "clustering_id int, reply string")
+    key = fingerprint(nodes, edges, patterns, root, model).first()[0]
+    reply = None if refresh else cache.get(key)
+    if reply is None:
+        if nodes.isEmpty():
+            reply = '{"components": [], "unclustered_symbol_ids": [], "narrative": "The graph has no symbols."}'
+        else:
+            lines = (r.line for r in prompt(nodes, edges, patterns).orderBy("part", "seq").toLocalIterator())
+            replies = [_asked(spark, ask, "\n".join(part)) for part in iter(lambda: list(islice(lines, most_lines)), [])]
+            reply = replies[0] if len(replies) == 1 else _united(spark, replies)
+        cache.put(key, reply)
+    return spark.createDataFrame([(0, reply)], "clustering_id int, reply string")

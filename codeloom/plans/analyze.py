@@ -27,10 +27,11 @@ def analyze(spark: SparkSession, path: str, cache_folder: str | None = None, ref
     else:
         cache = cached.load(spark, cache_folder)
         hits, misses = cached.split(files, cache, refresh)
-        new = extract.stage_a(scan.read_files(misses)).join(files.select("rel_file_path", "mtime", "size"), "rel_file_path")
+        new = cut(extract.stage_a(scan.read_files(misses)).join(files.select("rel_file_path", "mtime", "size"), "rel_file_path"))
         kept = cache.join(hits.select("rel_file_path"), "rel_file_path", "left_semi").drop("file_seq").join(files.select("rel_file_path", "file_seq"), "rel_file_path")
         fresh = cut(kept.unionByName(new))
-        cached.save(fresh, cache_folder)
+        # entries that could not be read are among the misses, so what can be read of their bucket may stay
+        cached.table(spark, cache_folder).update(new, cached.purged(cache, files).select("rel_file_path"), tolerant=True)
     counts = hits.count(), misses.count()
     graph = graph_of(fresh)
     if problems:

@@ -189,14 +189,19 @@ def graph_fingerprint(spark, sf_dir):
     return graph.fingerprint(*_graph(spark, sf_dir))
 
 
-@query("SELECT 1::BIGINT AS fingerprints, 64 AS width, true AS tells_edges_apart")
+@query("SELECT 1::BIGINT AS fingerprints, 64 AS width, 5::BIGINT AS told_apart")
 def fingerprint_invariant(spark, sf_dir):
-    """The fingerprint of the graph in two orders and partitionings is one; without an edge type it is another."""
+    """The fingerprint of the graph in two orders and partitionings is one. Without an edge type, with another file, other evidence, another root or another model it is another."""
     nodes, edges = _graph(spark, sf_dir)
-    same = graph.fingerprint(nodes, edges).unionByName(graph.fingerprint(nodes.repartition(7, "name"), edges.repartition(5, "target")))
-    other = graph.fingerprint(nodes, edges.where("type <> 'inherits'")).select(F.col("fingerprint").alias("other"))
+    found = nodes.where("kind = 'class'").select(F.lit("Observer").alias("pattern"), F.col("id").alias("symbol_id"), F.lit("loops").alias("evidence"))
+    digests = cut(graph.file_digests(nodes, edges, found))
+    same = graph.digests_fingerprint(digests).unionByName(graph.fingerprint(nodes.repartition(7, "name"), edges.repartition(5, "target"), found.repartition(3)))
+    moved = nodes.withColumn("file_path", F.when(F.col("id") == "R1", "other.py").otherwise(F.col("file_path")))
+    others = graph.fingerprint(nodes, edges.where("type <> 'inherits'"), found).unionByName(graph.fingerprint(moved, edges, found)).unionByName(graph.fingerprint(nodes, edges, found.withColumn("evidence", F.lit("else"))))
+    others = others.unionByName(graph.digests_fingerprint(digests, root="/other")).unionByName(graph.digests_fingerprint(digests, key="model")).select(F.col("fingerprint").alias("other"))
     one = same.agg(F.count_distinct("fingerprint").alias("fingerprints"), F.max(F.length("fingerprint")).alias("width"), F.max("fingerprint").alias("fingerprint"))
-    return one.crossJoin(other).select("fingerprints", "width", (F.col("fingerprint") != F.col("other")).alias("tells_edges_apart"))  # one row by one row
+    told = one.crossJoin(others).where("fingerprint <> other")  # one row by five
+    return told.groupBy("fingerprints", "width").agg(F.count_distinct("other").alias("told_apart"))
 
 
 # --- the graph as a document, and what a chat is told ------------------------------------------------------------------------

@@ -2,49 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import STAGE_A
+from .keyed import BUCKETS, KeyedTable
 
 KEY = "rel_file_path"
 SCHEMA = f"mtime double, size long, {STAGE_A}"
 
 
-def _path(spark: SparkSession, path: str):
-    """The path and its file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
-    """(all versions in a cache folder, those that are whole), oldest first. A version is whole once its write is committed, which is one step."""
-    at, files = _path(spark, folder)
-    names = sorted(n for n in (f.getPath().getName() for f in files.listStatus(at)) if n.startswith("version-")) if files.exists(at) else []
-    return names, [n for n in names if files.exists(_path(spark, f"{folder}/{n}/_SUCCESS")[0])]
+def table(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, folder, SCHEMA, KEY, buckets)
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest whole version in a cache folder; empty if there is none. Entries in files that cannot be read are missing, so what they hold is parsed again."""
-    whole = _versions(spark, folder)[1]
-    if not whole:
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).option("ignoreCorruptFiles", True).parquet(f"{folder}/{whole[-1]}")
+    """The entries in a cache folder; none if it is not there. Entries that cannot be read are missing, so what they hold is parsed again by a caller who lists all files."""
+    return table(spark, folder).load(tolerant=True)
 
 
 def save(cache: DataFrame, folder: str) -> None:
-    """A new version beside the old one: a reader sees one or the other. The one before stays for its readers; older ones go."""
-    spark = cache.sparkSession
-    names = _versions(spark, folder)[0]
-    number = int(names[-1].split("-")[1]) + 1 if names else 0
-    cache.write.parquet(f"{folder}/version-{number:012d}-{uuid.uuid4().hex}")
-    names, whole = _versions(spark, folder)
-    for name in names:
-        if name < whole[-2:][0]:
-            at, files = _path(spark, f"{folder}/{name}")
-            files.delete(at, True)
+    """Put entries in place of those of their files, and remove all others."""
+    held = table(cache.sparkSession, folder)
+    held.update(cache, purged(held.load(tolerant=True), cache).select(KEY), tolerant=True)
 
 
 def split(files: DataFrame, cache: DataFrame, refresh: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -20,12 +20,18 @@ def load(path: str, defaults: dict[str, Any] | None = None) -> dict[str, Any]:
     return {**(DEFAULTS if defaults is None else defaults), **(stored if isinstance(stored, dict) else {})}
 
 
+def _replace(path: str, content: dict[str, Any]) -> None:
+    """Write a file beside the old one and put it in its place; its folder is made where it is not there."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        json.dump(content, f, indent=2)
+    os.replace(f"{path}.tmp", path)
+
+
 def save(path: str, changes: dict[str, Any]) -> dict[str, Any]:
     """Merge changes into the stored settings and replace the file at once."""
     merged = {**load(path), **changes}
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(merged, f, indent=2)
-    os.replace(f"{path}.tmp", path)
+    _replace(path, merged)
     return merged
 
 
@@ -58,6 +64,4 @@ def load_registry(path: str, settings_path: str) -> list[dict[str, Any]]:
 
 def save_registry(path: str, records: list[dict[str, Any]]) -> None:
     """Replace the registry file at once."""
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump({"version": 1, "models": records}, f, indent=2)
-    os.replace(f"{path}.tmp", path)
+    _replace(path, {"version": 1, "models": records})

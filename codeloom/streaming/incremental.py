@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import extract
+from ..runtime import cut
 from ..sources import cache as cached
 
 
-def follow(files: DataFrame, cache_folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+def follow(files: DataFrame, cache_folder: str, checkpoint: str, buckets: int = cached.BUCKETS, **trigger) -> StreamingQuery:
     """files: a stream of file_seq, rel_file_path, module_path, mtime, size, content. Of files that repeat in a batch, the latest mtime counts.
 
-    The cache is a table of versions; each batch writes the next one, so that a batch that runs again gives the same table.
+    A batch rewrites the buckets of its own files alone, and a batch that runs again gives the same table. A bucket that it has to rewrite and cannot
+    read stops the stream, for what it held would not come again.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         latest = batch.groupBy("rel_file_path").agg(F.max_by(F.struct("file_seq", "module_path", "size", "content", "mtime"), "mtime").alias("f")).select("rel_file_path", "f.*")
         new = extract.stage_a(latest).join(latest.select("rel_file_path", "mtime", "size"), "rel_file_path")
-        old = cached.load(spark, cache_folder)
-        cached.save(old.join(latest.select("rel_file_path"), "rel_file_path", "left_anti").unionByName(new.select(*old.columns)), cache_folder)
+        cached.table(batch.sparkSession, cache_folder, buckets).update(cut(new))
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

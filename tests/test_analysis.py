@@ -155,22 +155,24 @@ def test_settings(tmp_path):
     assert settings.load(path) == settings.DEFAULTS
 
 
-def test_cache_survives_unreadable_files_and_keeps_two_versions(spark, tmp_path):
+def test_cache_survives_unreadable_files_and_keeps_two_manifests(spark, tmp_path):
     source, store = tmp_path / "src", tmp_path / "cache"
     source.mkdir()
     (source / "a.py").write_text("class A:\n    def f(self):\n        return 1\n")
     (source / "b.py").write_text("from a import A\nclass B(A):\n    pass\n")
     first = analyze(spark, str(source), cache_folder=str(store))
     assert first[1:] == (0, 2)
-    (store / "version-000000000009-unfinished").mkdir()
+    (store / "data-unfinished").mkdir()
+    (store / "draft-unfinished").write_text("{")
     assert analyze(spark, str(source), cache_folder=str(store))[1:] == (2, 0)
-    for part in store.glob("version-*/part-*.parquet"):
+    for part in store.glob("data-*/bucket=*/part-*.parquet"):
         part.write_bytes(b"no Parquet")
     again = analyze(spark, str(source), cache_folder=str(store))
     assert again[1:] == (0, 2)
     ids = lambda g: sorted(r.id for r in g[0].nodes.select("id").collect())
     assert ids(first) == ids(again)
-    assert len([v for v in store.glob("version-*") if (v / "_SUCCESS").exists()]) == 2 and not (store / "version-000000000009-unfinished").exists()
+    assert len(list(store.glob("manifest-*"))) == 2 and not (store / "data-unfinished").exists() and not (store / "draft-unfinished").exists()
+    assert analyze(spark, str(source), cache_folder=str(store))[1:] == (2, 0)
 
 
 def test_stream_keeps_the_cache_up_to_date(spark, tmp_path):

@@ -13,7 +13,7 @@ from codeloom.operators import graph
 def zoo(spark):
     nodes = [(0, "z", "z", "module", None), (1, "z.Base", "Base", "class", "z"), (2, "z.Owl", "Owl", "class", "z"), (3, "z.Ape", "Ape", "class", "z"), (4, "z.build", "build", "function", "z"), (5, "z.main", "main", "function", "z"), (6, "z.Owl.fly", "fly", "method", "z.Owl")]
     edges = [(0, "z", "z.Base", "defines"), (1, "z", "z.Owl", "defines"), (2, "z", "z.Ape", "defines"), (3, "z", "z.build", "defines"), (4, "z", "z.main", "defines"), (5, "z.Owl", "z.Owl.fly", "defines"), (6, "z.Owl", "z.Base", "inherits"), (7, "z.Ape", "z.Base", "inherits"), (8, "z.build", "z.Owl", "constructs"), (9, "z.build", "z.Ape", "constructs"), (10, "z.main", "z.build", "calls"), (11, "z.main", "z.main", "calls"), (12, "z.main", "lost", "calls")]
-    return spark.createDataFrame(nodes, "node_seq long, id string, name string, kind string, parent_id string").withColumn("module", F.lit("z")), spark.createDataFrame(edges, "edge_seq long, source string, target string, type string")
+    return spark.createDataFrame(nodes, "node_seq long, id string, name string, kind string, parent_id string").withColumns({"module": F.lit("z"), "file_path": F.lit("z.py")}), spark.createDataFrame(edges, "edge_seq long, source string, target string, type string")
 
 
 def test_fan_metrics(zoo):
