@@ -9,6 +9,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered, ordinals
 from ..functions.text import snippet
 from ..sources.keyed import KeyedTable
 from .graph import edge_type_histogram, fan_metrics, fingerprint
@@ -86,11 +87,43 @@ def dropped(clusterings: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.unionByName(listed).join(nodes.select(F.col("id").alias("symbol_id")).distinct(), "symbol_id", "left_anti")
 
 
+#: Ranks that a row of gaps is dealt out in.
+_STRETCH = 10_000
+
+
+def _ranked_members(clusterings: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol_id, rank of the graph's symbols in order of id; clustering_id, rank, at: the members of each clustering, numbered in that order)."""
+    ranks = numbered(nodes.select(F.col("id").alias("symbol_id")).distinct(), [F.col("symbol_id")], "rank")
+    held = valid_members(clusterings, nodes).select("clustering_id", "symbol_id").distinct().join(ranks, "symbol_id").select("clustering_id", "rank")
+    return ranks, ordinals(held, "clustering_id", [F.col("rank")], "at")
+
+
+def unclustered_counts(clusterings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """clustering_id, n, first_id: how many of the graph's symbols are in no component, and the least id of these; null if all are in one.
+
+    n is the number of symbols less that of members. Members in order of rank have the ranks 0, 1, 2, ... up to the first gap, which is the first symbol that is
+    missing. Work grows with symbols and members, not with their product over clusterings.
+    """
+    ranks, held = _ranked_members(clusterings, nodes)
+    total = ranks.count()
+    seen = held.groupBy("clustering_id").agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("rank") != F.col("at"), F.col("at"))).alias("gap"))
+    every = clusterings.select("clustering_id").distinct().join(seen, "clustering_id", "left").withColumn("members", F.coalesce("members", F.lit(0)))
+    missing = every.select("clustering_id", (F.lit(total) - F.col("members")).cast("long").alias("n"), F.coalesce("gap", "members").alias("first"))
+    return missing.join(ranks, F.col("first") == F.col("rank"), "left").select("clustering_id", "n", F.col("symbol_id").alias("first_id"))
+
+
 def unclustered(clusterings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """clustering_id, symbol_id of the graph's symbols in no component."""
-    # one row per clustering and symbol is the result itself
-    every = nodes.select(F.col("id").alias("symbol_id")).distinct().crossJoin(clusterings.select("clustering_id").distinct())
-    return every.join(valid_members(clusterings, nodes).select("clustering_id", "symbol_id").distinct(), ["clustering_id", "symbol_id"], "left_anti")
+    """clustering_id, symbol_id of the graph's symbols in no component: the gaps between the ranks of members, dealt out in stretches. Only the rows of the result are made."""
+    ranks, held = _ranked_members(clusterings, nodes)
+    total = ranks.count()
+    every = clusterings.select("clustering_id").distinct()
+    # before each member, and after the last one or where there is none
+    ends = held.select("clustering_id", "at", F.col("rank").alias("stop")).unionByName(every.join(held.groupBy("clustering_id").agg(F.count(F.lit(1)).alias("at")), "clustering_id", "left").select("clustering_id", F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.lit(total).cast("long").alias("stop")))
+    before = held.select("clustering_id", (F.col("at") + 1).alias("at"), (F.col("rank") + 1).alias("start"))
+    gaps = ends.join(before, ["clustering_id", "at"], "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long"))).where("start < stop")
+    stretches = gaps.select("clustering_id", "stop", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(_STRETCH).cast("long"))).alias("start"))
+    dealt = stretches.repartition("clustering_id", "start").select("clustering_id", F.explode(F.sequence("start", F.least(F.col("start") + _STRETCH, "stop") - 1)).alias("rank"))
+    return dealt.join(ranks, "rank").select("clustering_id", "symbol_id")
 
 
 def components(clusterings: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import ordinals
 from ..functions.text import natural_key
 from ..model import KINDS
 
@@ -60,12 +61,19 @@ def explorer(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file_path").agg(F.min("node_seq").alias("first_seq"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
 
 
-def explorer_tree(nodes: DataFrame) -> DataFrame:
-    """file_path, id, kind, children (array of node_seq, id, name, kind in order): a row per module and class with what it directly holds.
+#: Children of a page of the explorer.
+PAGE = 100
 
-    The nested tree of a file is read off its rows from the module down: a row holds one symbol's children, never a whole file.
+
+def explorer_tree(nodes: DataFrame, size: int = PAGE) -> DataFrame:
+    """file_path, id, kind, page, children (array of node_seq, id, name, kind in order): what each module and class directly holds, in pages of `size`.
+
+    The nested tree of a file is read off its rows from the module down. A symbol without children has one empty page. A row never holds more than a page, whatever
+    a symbol holds: a child's place among its parent's comes from counts of ranges, not from a window over the parent.
     """
-    held = nodes.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("node_seq", "id", "name", "kind"))).alias("children"))
+    held = ordinals(nodes.where("parent_id IS NOT NULL").select("parent_id", "node_seq", "id", "name", "kind"), "parent_id", [F.col("node_seq")], "at")
+    page = F.floor(F.col("at") / size).cast("long")
+    pages = held.groupBy(F.col("parent_id").alias("of"), page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("node_seq", "id", "name", "kind"))).alias("children"))
     top = nodes.where("kind IN ('module', 'class')").select("file_path", "id", "kind")
     none = F.array().cast("array<struct<node_seq: bigint, id: string, name: string, kind: string>>")
-    return top.join(held, F.col("id") == F.col("of"), "left").select("file_path", "id", "kind", F.coalesce("children", none).alias("children"))
+    return top.join(pages, F.col("id") == F.col("of"), "left").select("file_path", "id", "kind", F.coalesce("page", F.lit(0).cast("long")).alias("page"), F.coalesce("children", none).alias("children"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +108,27 @@ def rendered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rendered_stage_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_a(rendered_files(spark, sf_dir))
+
+
+def write_tree(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write a tree of files below a folder that executors see: a Python file per supplier, under its region and nation, of as many spaces as its key has digits.
+
+    By key modulo 10: 1 in a folder to skip; 2 in a hidden folder below; 3 of another suffix; 4 in a package's own file; 5 a name with a dash.
+    """
+    supplier, nation = read(spark, sf_dir, "supplier", "nation")
+    held = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey").cast("string")
+    place = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit("/"))
+    m = F.col("s_suppkey") % 10
+    name = F.when(m == 1, F.concat(F.lit("__pycache__/s"), k, F.lit(".py"))).when(m == 2, F.concat(F.lit("d/.own/s"), k, F.lit(".py"))).when(m == 3, F.concat(F.lit("s"), k, F.lit(".txt"))).when(m == 4, F.concat(F.lit("p"), k, F.lit("/__init__.py"))).when(m == 5, F.concat(F.lit("p-"), k, F.lit(".py"))).otherwise(F.concat(F.lit("s"), k, F.lit(".py")))
+    files = held.select(F.concat(place, name).alias("path"), F.length(k).alias("size"))
+
+    def run(batches):
+        for batch in batches:
+            for path, size in zip(batch["path"], batch["size"]):
+                at = Path(folder, path)
+                at.parent.mkdir(parents=True, exist_ok=True)
+                at.write_text(" " * size)
+            yield batch[["path"]]
+
+    files.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .operators import document, extract, graph, patterns, reconcile, registry, resolve, survey, views
 from .plans import star
-from .runtime import cut
-from .sources import cache
+from .runtime import cut, shared_folder
+from .sources import cache, scan
 from .sources.survey import read_answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,8 +223,9 @@ def chat_context(spark, sf_dir):
     return document.chat_context(*_graph(spark, sf_dir), "R1.N1")
 
 
-@query(""", held AS (SELECT parent_id, list({'node_seq': node_seq, 'id': id, 'name': name, 'kind': kind} ORDER BY node_seq) AS children FROM nodes WHERE parent_id IS NOT NULL GROUP BY parent_id)
-SELECT n.module || '.py' AS file_path, n.id, n.kind, coalesce(children, []) AS children FROM nodes n LEFT JOIN held h ON h.parent_id = n.id WHERE kind IN ('module', 'class')""", True)
+@query(f""", placed AS (SELECT *, (row_number() OVER (PARTITION BY parent_id ORDER BY node_seq) - 1) // {views.PAGE} AS page FROM nodes WHERE parent_id IS NOT NULL),
+held AS (SELECT parent_id, page, list({{'node_seq': node_seq, 'id': id, 'name': name, 'kind': kind}} ORDER BY node_seq) AS children FROM placed GROUP BY parent_id, page)
+SELECT n.module || '.py' AS file_path, n.id, n.kind, coalesce(page, 0)::BIGINT AS page, coalesce(children, []) AS children FROM nodes n LEFT JOIN held h ON h.parent_id = n.id WHERE kind IN ('module', 'class')""", True)
 def explorer_tree(spark, sf_dir):
     return views.explorer_tree(star.star_nodes(spark, sf_dir))
 
@@ -426,7 +427,7 @@ def cluster_dropped(spark, sf_dir):
 
 @query("SELECT k AS clustering_id, count(*) AS n, min(id) AS first_id FROM (SELECT DISTINCT s_nationkey AS k FROM supplier), nodes WHERE NOT (kind = 'method' AND split_part(id, '.', 3)[1] = 'S' AND split_part(id, '.', 2) = 'N' || k) GROUP BY k", True)
 def cluster_unclustered(spark, sf_dir):
-    return reconcile.unclustered(_clusterings(spark, sf_dir), star.star_nodes(spark, sf_dir)).groupBy("clustering_id").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first_id"))
+    return reconcile.unclustered_counts(_clusterings(spark, sf_dir).select("clustering_id", "reply"), star.star_nodes(spark, sf_dir))
 
 
 @query("SELECT c_custkey AS clustering_id, CASE c_custkey % 5 WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'no list of components' WHEN 2 THEN 'no narrative' WHEN 3 THEN 'component 0 lacks role, rationale' END AS problem FROM customer WHERE c_custkey % 5 < 4")
@@ -463,7 +464,7 @@ t AS (SELECT condition, count(*) AS n, avg(sus) AS sus_mean, stddev_pop(sus) AS
 @query("SELECT 'p' || c_custkey AS participant FROM customer WHERE c_custkey % 11 <> 0")
 def survey_source(spark, sf_dir):
     """Answers that are written to a folder of text files and read again: lines that are no JSON are left out."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir')}/answers-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
     _answers(spark, sf_dir).write.text(folder)
     return read_answers(spark, folder).select(F.try_variant_get(F.try_parse_json("value"), "$.participantId", "string").alias("participant"))
 
@@ -485,6 +486,20 @@ def pct_difference(spark, sf_dir):
     return survey.percent_difference(survey.condition_stats(survey.scored(_answers(spark, sf_dir))))
 
 
+# --- source trees --------------------------------------------------------------------------------------------------------------
+@query("""WITH f AS (SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/' || CASE s_suppkey % 10 WHEN 4 THEN 'p' || s_suppkey || '/__init__' WHEN 5 THEN 'p-' || s_suppkey ELSE 's' || s_suppkey END AS stem, len(s_suppkey::VARCHAR) AS size
+ FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 NOT IN (1, 2, 3))
+SELECT row_number() OVER (ORDER BY string_split(stem || '.py', '/')) - 1 AS file_seq, stem || '.py' AS rel_file_path, replace(regexp_replace(stem, '/__init__$', ''), '/', '.') AS module_path, size::BIGINT AS size FROM f""")
+def scan_tree(spark, sf_dir):
+    """A tree written from the suppliers, listed level by level in tasks, in order of path parts. Its folder is one that driver and executors share as files."""
+    shared = shared_folder(spark)
+    if "://" in shared and not shared.startswith("file://"):
+        raise ValueError("a tree of files needs a shared folder that tasks can open")
+    folder = f"{shared.removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+    star.write_tree(spark, sf_dir, folder)
+    return scan.scan(spark, folder)[0].select("file_seq", "rel_file_path", "module_path", "size")
+
+
 # --- incremental analysis and registry -------------------------------------------------------------------------------------------
 def _listings(spark, sf_dir):
     """Two listings of a tree: a file per supplier; every seventh is gone, and every fifth is newer, in the second."""
