@@ -60,6 +60,20 @@ def view_lookup(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where((F.col("id") == query) | (F.col("name") == query) | F.col("id").endswith(query)).orderBy("node_seq").limit(1)
 
 
+def view_lookup_all(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, id: view_lookup of many queries at once. Each id gives its ends of the lengths that queries have, so that "ends in" is an equality join, too.
+
+    Of the nodes that share a key only the first is kept before the join, so that a short end that most ids have is one row.
+    """
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    lengths = [r.n for r in asked.select(F.length("query").alias("n")).distinct().collect()]  # no more than the longest query has letters
+    fit = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n < F.length("id"))
+    ends = nodes.select("id", "node_seq", F.explode(fit).alias("n")).select(F.substring(F.col("id"), F.length("id") - F.col("n") + 1, F.col("n")).alias("key"), "id", "node_seq")
+    keys = nodes.select(F.col("id").alias("key"), "id", "node_seq").unionByName(nodes.select(F.col("name").alias("key"), "id", "node_seq")).unionByName(ends)
+    first = keys.groupBy("key").agg(F.min_by("id", "node_seq").alias("id"))
+    return asked.join(first, F.col("query") == F.col("key")).select("query", "id")
+
+
 def lookup_all(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """query, id: lookup of many queries at once, by equality joins on id, name and each suffix of the ids."""
     dots = F.expr("transform(sequence(1, greatest(size(split(id, '[.]')) - 1, 1)), i -> substring_index(id, '.', -i))")

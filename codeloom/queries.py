@@ -107,6 +107,17 @@ def view_lookup(spark, sf_dir):
     return graph.view_lookup(star.star_nodes(spark, sf_dir), "S3").select("node_seq", "id", "name", "kind")
 
 
+@query(""", asked AS (SELECT right(s_name, (s_suppkey % 9 + 1)::INT) AS query FROM supplier UNION SELECT 'S' || s_suppkey FROM supplier UNION SELECT n_name FROM nation UNION SELECT 'N' || n_nationkey || '.S' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT 'none such')
+SELECT query, arg_min(id, node_seq) AS id FROM asked JOIN nodes ON id = query OR name = query OR suffix(id, query) GROUP BY query""", True)
+def view_lookup_all(spark, sf_dir):
+    """What a click on each of many texts shows: ends of suppliers' names, ends of ids with and without a dot, names of nations."""
+    supplier, nation = star.read(spark, sf_dir, "supplier", "nation")
+    text = lambda c: F.col(c).cast("string")
+    asked = supplier.select(F.right("s_name", (F.col("s_suppkey") % 9 + 1).cast("int")).alias("query")).unionByName(supplier.select(F.concat(F.lit("S"), text("s_suppkey")).alias("query"))).unionByName(nation.select(F.col("n_name").alias("query")))
+    asked = asked.unionByName(supplier.select(F.concat(F.lit("N"), text("s_nationkey"), F.lit(".S"), text("s_suppkey")).alias("query"))).unionByName(spark.createDataFrame([("none such",)], "query string"))
+    return graph.view_lookup_all(star.star_nodes(spark, sf_dir), asked)
+
+
 # --- change impact ---------------------------------------------------------------------------------------------------------
 _IMPACT = """, f AS (SELECT s.id AS start_id, s.id, 0 AS depth, []::BIGINT[] AS path, '' AS via FROM start s
  UNION ALL SELECT start_id, source, depth + 1, list_append(path, edge_seq), type FROM f JOIN edges ON f.id = target WHERE type <> 'defines' AND depth < {depth}),

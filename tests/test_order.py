@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions.order import numbered, ordinals
-from codeloom.operators import reconcile, views
+from codeloom.operators import graph, reconcile, views
 from codeloom.sources import scan
 
 NODES = "node_seq long, id string, name string, kind string, module string, file_path string, lineno int, end_lineno int, parent_id string, docstring string"
@@ -78,3 +78,14 @@ def test_the_driver_lists_nothing(spark, tmp_path, monkeypatch):
     for name in ("scandir", "walk", "listdir"):
         monkeypatch.setattr(os, name, lambda *a, **k: pytest.fail("listed on the driver"))
     assert scan.scan(spark, str(tmp_path))[0].count() == 1
+
+
+def test_lookup_of_many_texts(spark):
+    """As a search of all nodes for each text."""
+    ids = ["a", "b.a", "ba", "x.y.ba", "É", "z.É", "a.", "long" * 20, "", "c"]
+    rows = [(i * 7 % 11, s, n) for i, (s, n) in enumerate(zip(ids, ["n", "a", None, "ba", "é", "q", "", "a", "w", "x.y.ba"]))]
+    asked = ["a", "ba", ".a", "y.ba", "É", "é", "", "zz", "long", "ong" + "long" * 19, "x.y.ba", "ax.y.ba", None, "a", "."]
+    nodes = spark.createDataFrame(rows, "node_seq long, id string, name string")
+    got = {r.query: r.id for r in graph.view_lookup_all(nodes, spark.createDataFrame([(q,) for q in asked], "query string")).collect()}
+    order = sorted(rows)
+    assert got == {q: f for q in asked if q is not None and (f := next((i for _, i, n in order if i == q or n == q or i.endswith(q)), None)) is not None}
