@@ -54,6 +54,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plain_names(docs: DataFrame, kept: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs with names that need no quotes, other than those kept; toDF(*docs.columns) gives the names back."""
+    return docs.toDF(*[c if c in kept else f"column_{i}" for i, c in enumerate(docs.columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, slices, utf8
+from .common import LOWER, mix64, plain_names, slices, utf8
 
 #: Bytes of a q-gram.
 Q = 12
@@ -245,6 +245,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds
     Each row is decided by its own text, as contaminated() finds segments, so that nothing is shuffled and a null or repeated doc_id plays
     no part; rows that repeat stay or go alike. Null and empty texts stay. An empty benchmark drops nothing; columns may have any names.
     """
+    names, docs = docs.columns, plain_names(docs)
     for sent in _passes(benchmark, bounds):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -253,4 +254,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds
                 yield batch.take(pa.array([r for r in range(len(batch)) if r not in gone], pa.int64())) if gone else batch
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

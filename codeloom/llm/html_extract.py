@@ -25,21 +25,48 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Of these, the words that no other word outweighs.
 COMMENTS = frozenset("ad ads advert adverts advertisement advertising banner comment comments commentlist disqus discussion replies reply respond sponsor sponsored".split())
 LIKELY = frozenset("article body content entry main post story text".split())
+#: What follows one of these in a name says how the element is laid out, not what it is: "post has-sidebar".
+STATES = frozenset("has is no not show hide with without".split())
+#: Containers of items: where most of their text is links, items that are mostly links go, and the others stay.
+ITEMS = frozenset("ul ol dl table".split())
 _TOKEN = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 
 
+def named(names: str) -> tuple[bool, bool, bool]:
+    """Whether names (of class and id) mark comments or adverts, other boilerplate, an article.
+
+    Each name is judged by its words. An unlikely word makes it boilerplate, likely ones beside it or not ("main-menu"): these say where it stands; but the header
+    of an entry is its head.
+    """
+    comments = unlikely = likely = False
+    for name in names.split():
+        words = []
+        for w in _TOKEN.findall(name):
+            if w in STATES:
+                break
+            words.append(w)
+        good, bad = LIKELY.intersection(words), UNLIKELY.intersection(words)
+        if bad & COMMENTS:
+            comments = True
+        elif bad and not (good and bad == {"header"}):
+            unlikely = True
+        elif good:
+            likely = True
+    return comments, unlikely, likely
+
+
 class Node:
     """An element: what it holds counts in chars, linked and score; out marks boilerplate, inside what stands in an article or main element."""
 
-    __slots__ = ("tag", "parent", "out", "inside", "bonus", "score", "chars", "linked", "order", "kept")
+    __slots__ = ("tag", "parent", "out", "inside", "bonus", "score", "chars", "linked", "order", "kept", "plain")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, bonus: float, order: int):
         self.tag, self.parent, self.out, self.bonus, self.order = tag, parent, out, bonus, order
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.score = 0.0
         self.chars = self.linked = 0
-        self.kept = False
+        self.kept = self.plain = False
 
 
 class Tree(HTMLParser):
@@ -48,7 +75,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.node = Node("#root", None, False, 0, 0)
-        self.nodes, self.blocks, self.parts, self.links, self.in_link = [self.node], [], [], 0, 0
+        self.nodes, self.blocks, self.parts, self.links, self.link = [self.node], [], [], 0, None
         self.open, self.mute = Counter(), []
 
     def flush(self):
@@ -63,7 +90,8 @@ class Tree(HTMLParser):
             self.parts.append(" ")
             return
         if tag == "a":
-            self.in_link += 1
+            # one with a target is a link, until the next one, its end or the end of the element that it began in
+            self.link = self.node if any(k == "href" for k, _ in attrs) else None
             return
         if tag in INLINE:
             # what it holds is no text, and the line goes on after it
@@ -87,12 +115,12 @@ class Tree(HTMLParser):
             for same in ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,):
                 self.leave(same, ("ul", "ol", "dl", "table", "tbody", "menu", *(("tr",) if tag in ("td", "th") else ())))
         said = {k: (v or "").lower() for k, v in attrs}
-        tokens = set(_TOKEN.findall(f"{said.get('class', '')} {said.get('id', '')}"))
+        comments, unlikely, likely = named(f"{said.get('class', '')} {said.get('id', '')}")
         out = self.node.out or tag in NEVER or (tag == "header" and not self.node.inside) or said.get("role") in ROLES or "hidden" in said or said.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said.get("style", "")))
-        # the article itself may be called "post with-sidebar", and its head "post-header"; "post-comments" are comments
-        out = out or (tag not in ("html", "body", "article", "main") and bool(tokens & (COMMENTS if tokens & LIKELY else UNLIKELY)))
-        out = out or (tag == "article" and bool(tokens & {"comment", "comments", "reply", "replies"}))
-        bonus = 25.0 * (tag in ("article", "main") or said.get("role") in ("main", "article")) + 10.0 * bool(tokens & LIKELY)
+        # of several names one that is the article's alone outweighs others ("content sidebar-right"), but for comments
+        out = out or (tag not in ("html", "body", "article", "main") and (comments or (unlikely and not likely)))
+        out = out or (tag == "article" and bool({"comment", "comments", "reply", "replies"}.intersection(_TOKEN.findall(f"{said.get('class', '')} {said.get('id', '')}"))))
+        bonus = 25.0 * (tag in ("article", "main") or said.get("role") in ("main", "article")) + 10.0 * likely
         self.node = Node(tag, self.node, out, bonus, len(self.nodes))
         self.nodes.append(self.node)
         self.open[tag] += 1
@@ -114,6 +142,8 @@ class Tree(HTMLParser):
             self.flush()
             while self.node is not node.parent:
                 self.open[self.node.tag] -= 1
+                if self.node is self.link:
+                    self.link = None
                 self.node = self.node.parent
 
     def unmute(self, tag: str, barrier: str = ""):
@@ -127,7 +157,7 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "a":
-            self.in_link = max(0, self.in_link - 1)
+            self.link = None
         elif tag in INLINE:
             self.unmute(tag)
         elif (tag in BLOCK or tag in NEVER) and tag not in VOID:
@@ -145,7 +175,7 @@ class Tree(HTMLParser):
         if self.mute:
             return
         self.parts.append(data)
-        if self.in_link:
+        if self.link is not None:
             self.links += len(data)
 
     def unknown_decl(self, data):
@@ -158,7 +188,7 @@ def main_blocks(html: str) -> list[str]:
     Each block gives points to its element's parent, and half of them to the grandparent: one, one per comma, and up to three by
     length, less the share of its text in links; marked-up articles start with a bonus. The container with the most points (after
     its own link density) and siblings of it that earn a fifth, or that are plain paragraphs or headings, are the article. If it stands
-    in an article or main element, that is the container, less lists and divisions in it of which most is links. Of no container with
+    in an article or main element, that is the container, less divisions in it of which most is links, and the linked items of such lists. Of no container with
     points, all blocks outside boilerplate are kept. Every step is linear in the page, however deep its elements nest.
     """
     tree = Tree()
@@ -190,11 +220,13 @@ def main_blocks(html: str) -> list[str]:
             if node.parent is best.parent and best.parent is not None and node.score * (1 - node.linked / max(1, node.chars)) >= least:
                 node.kept = True
     for node in tree.nodes[1:]:
-        node.kept = node.kept or node.parent.kept and not (top.inside and node.tag in LISTS and 2 * node.linked > node.chars)
+        links = top.inside and node.tag in LISTS and 2 * node.linked > node.chars
+        node.plain = node.parent.plain or (node.parent.kept and links and node.tag in ITEMS)
+        node.kept = node.kept or node.parent.kept and not links
     out = []
     for node, text, linked in tree.blocks:
         sibling = not top.inside and node.parent is best.parent and best.parent is not None and (node.tag in HEADING or node.tag == "p") and linked < 0.25 * len(text)
-        if sibling or node.kept:
+        if sibling or node.kept or (node.plain and 2 * linked <= len(text)):
             out.append(text)
     return out or [text for _, text, _ in tree.blocks]
 

@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     """The rows of docs, each as often as mix_plan takes it, with the columns of docs."""
     carried = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     # names of docs may be names of the plan, too
-    inner = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*[docs[c] for c in carried]).alias("row")) if carried else docs
+    inner = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")) if carried else docs
     plan = mix_plan(inner, weights, cap, seed, carry=("row",) if carried else ())
     taken = plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*[F.col(f"row.`{c}`").alias(c) if c in carried else F.col(c) for c in docs.columns])

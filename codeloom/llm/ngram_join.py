@@ -401,12 +401,13 @@ def maybe_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 def exact_links(clusters: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """a, b: links between sets (by key) of a cluster that are similar by their shingles, as many as join what links join.
 
-    clusters: cluster, cls, doc_id (of a row with that set), n_shingles. Only the texts of these are moved; a cluster is compared in blocks.
+    clusters: cluster, cls, doc_id and digest (of a row with that set), n_shingles. Only the texts of these are moved; a cluster is compared in blocks.
     """
     held = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    clusters = scratch.table(clusters.join(held, "cluster").select("cluster", "blocks", "cls", F.col("doc_id").alias("of")), "needed")
+    clusters = scratch.table(clusters.join(held, "cluster").select("cluster", "blocks", "cls", F.col("doc_id").alias("of"), F.col("digest").alias("of_digest")), "needed")
     few = F.broadcast(clusters) if clusters.count() <= FEW_IDS else clusters
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("need"), "text").join(few, F.col("need") == F.col("of"))
+    # by doc_id and text: a doc_id that many rows repeat meets its own text alone
+    texts = docs.select(_some("doc_id").alias("need"), text_digest().alias("need_digest"), "text").join(few, (F.col("need") == F.col("of")) & (F.col("need_digest") == F.col("of_digest")))
     dealt = in_blocks(texts, "cluster", "cls", F.col("blocks")).select("cluster", "i", "j", "own", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +421,7 @@ def exact_links(clusters: DataFrame, docs: DataFrame, n: int, num: int, den: int
         parts = [shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n) for a, b in slices(offsets)]
         value, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         names = utf8(rows.column("cls"))[0].reshape(-1, 16)
-        # of rows that repeat a doc_id, those with the set's key count
+        # a row's set is that of its key, but for digests that are alike by chance
         good = (set_keys(value, counts) == names).all(1)
         at = np.concatenate(([0], np.cumsum(counts)))
         near = Near(counts, sketches(value, counts, 4), num, den)
@@ -454,19 +455,21 @@ def labelled_rows(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) ->
     spark, bands = docs.sparkSession, Bands(num, den)
     scratch = Scratch(spark, "join")
     rows = table(set_table(docs, n), "join-rows")
-    best = F.struct(_some("doc_id").alias("doc_id"), "digest")
-    sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.min(best).alias("least"), F.first("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    sets = scratch.table(sets, "sets")
-    groups = scratch.table(signature_groups(docs, n, bands, partitions(spark)), "groups")
-    maybe = components(scratch.table(maybe_links(groups, sets, num, den), "maybe"), scratch)
-    clusters = maybe.select(F.col("node").alias("id"), F.col("root").alias("cluster")).unionByName(maybe.select(F.col("root").alias("id"), F.col("root").alias("cluster")).distinct())
-    clusters = clusters.join(sets, "id").select("cluster", "cls", F.col("least.doc_id").alias("doc_id"), "n_shingles")
-    roots = components(scratch.table(exact_links(clusters, docs, n, num, den, scratch), "links"), scratch)
-    rooted = sets.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"))
-    by_root = rooted.groupBy("root").agg(F.min("least").alias("stays"), F.sum("copies").alias("size")).where("size > 1")
-    # a document alone is its own component
-    labels = table(rooted.join(by_root, "root").select(F.col("cls").alias("of"), "stays"), "join-labels")
-    scratch.drop()
+    try:
+        best = F.struct(_some("doc_id").alias("doc_id"), "digest")
+        sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.min(best).alias("least"), F.first("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+        sets = scratch.table(sets, "sets")
+        groups = scratch.table(signature_groups(docs, n, bands, partitions(spark)), "groups")
+        maybe = components(scratch.table(maybe_links(groups, sets, num, den), "maybe"), scratch)
+        clusters = maybe.select(F.col("node").alias("id"), F.col("root").alias("cluster")).unionByName(maybe.select(F.col("root").alias("id"), F.col("root").alias("cluster")).distinct())
+        clusters = clusters.join(sets, "id").select("cluster", "cls", F.col("least.doc_id").alias("doc_id"), F.col("least.digest").alias("digest"), "n_shingles")
+        roots = components(scratch.table(exact_links(clusters, docs, n, num, den, scratch), "links"), scratch)
+        rooted = sets.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"))
+        by_root = rooted.groupBy("root").agg(F.min("least").alias("stays"), F.sum("copies").alias("size")).where("size > 1")
+        # a document alone is its own component
+        labels = table(rooted.join(by_root, "root").select(F.col("cls").alias("of"), "stays"), "join-labels")
+    finally:
+        scratch.drop()
     return rows.select("doc_id", "digest", "n_shingles", "cls").join(labels, (F.col("cls") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "digest", "n_shingles", "stays")
 
 

@@ -21,6 +21,8 @@ _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 2, 7
 _KIND[[ord(c) for c in ".,;:?'\"-()"]] = 3
 _KIND[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{}~"]] = 4
 _KIND[ord("!")], _KIND[ord("|")], _KIND[10] = 5, 6, 8
+#: The largest feature: words of 80 letters on average.
+LONGEST = 8.0
 SHARES = _KINDS + 9 + PAIRS
 WIDTH = SHARES + BUCKETS
 
@@ -70,7 +72,8 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     capital = (data[start] >= 65) & (data[start] <= 90)
     sign = _KIND[data[end - 1]]
     for i, x in enumerate((average / 10, np.sqrt(np.maximum(0, mean(length**2) - average**2)) / 10, mean(capital), mean(length <= 2), mean((sign >= 3) & (sign <= 6)), mean(twice), mean(again), mean(five), size / PASSAGE)):
-        out[:, _KINDS + i] = x
+        # lengths of words that no language has say no more than long ones, and would not fit half precision
+        out[:, _KINDS + i] = np.minimum(x, LONGEST)
     pair = mix64(data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)) % np.uint64(PAIRS)
     out[:, SHARES - PAIRS : SHARES] = np.bincount(of[:-1] * PAIRS + pair.astype(np.int64), minlength=len(out) * PAIRS).reshape(-1, PAIRS) / total
     bucket = (word_hashes(LOWER[data], start, end) % np.uint64(BUCKETS)).astype(np.int64)

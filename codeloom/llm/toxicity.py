@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plain_names, table
 from .labelled import fold, training_sample
 
 #: Letters that a symbol or digit may stand for.
@@ -353,7 +353,7 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     Each row is decided by its own whole text: a null doc_id, ties and rows that repeat play no part. Null and empty texts get the score of no
     evidence. Without labels every score is 0.5. An empty table gives no rows; columns of docs may have any names.
     """
-    model = train(docs, labels)
+    model = train(docs.select("doc_id", "text"), labels)
     sent = docs.sparkSession.sparkContext.broadcast((model.channel.cost, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,4 +364,5 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
             good = [i + j for i in range(0, len(batch), 64) for j, x in enumerate(batch.column(at).slice(i, 64).to_pylist()) if own.score(x) < threshold]
             yield batch.take(pa.array(good, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = plain_names(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
