@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ Q = 12
 #: Bytes of item texts that one pass over the documents holds; larger benchmarks take more passes.
 PASS_BYTES = 4 << 20
 _FILTER_BITS = 22
+#: Postings that are counted at once; bands in a row that are aligned at once, from so many on; room for bands before a text's begin.
+POSTINGS, MERGED, MANY, _BELOW = 1 << 21, 1 << 15, 4, 1 << 20
 
 #: Letters of A-Z in lower case; ASCII punctuation and controls as space; other bytes as they are.
 PLAIN = LOWER.copy()
@@ -67,6 +70,7 @@ class Index:
     short: dict  # by number of words: texts of short items, and their items
     items: list  # by segment
     texts: list[bytes]  # by segment
+    copies: list[int]  # by segment: how often its item has it
     edits: np.ndarray
     least: np.ndarray  # q-grams that a match shares at least
     grams: np.ndarray  # sorted, distinct
@@ -77,7 +81,7 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple], bounds: Bounds) -> Index:
-        names, texts, short = [], [], {}
+        names, texts, copies, short = [], [], [], {}
         for item, (_, text) in enumerate(items):
             t = plain(*utf8(pa.array([text or ""])))[0].tobytes().strip()
             if 0 < len(t) < Q:
@@ -87,9 +91,11 @@ class Index:
             starts = list(range(0, max(1, len(t) - bounds.segment + 1), bounds.stride))
             if len(t) > bounds.segment:
                 starts.append(len(t) - bounds.segment)
-            for s in dict.fromkeys(starts):
+            # equal segments of an item are one
+            for part, n in Counter(t[s : s + bounds.segment] for s in dict.fromkeys(starts)).items():
                 names.append(item)
-                texts.append(t[s : s + bounds.segment])
+                texts.append(part)
+                copies.append(n)
         size = np.array([len(t) for t in texts], np.int64)
         edits = np.minimum(size // bounds.per_edit, (size - Q) // Q)
         all_grams = [grams(np.frombuffer(t, np.uint8)) for t in texts]
@@ -100,12 +106,12 @@ class Index:
         unique, first = np.unique(gram[order], return_index=True)
         screen = np.zeros(1 << _FILTER_BITS, bool)
         screen[(mix64(unique) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return cls([i for i, _ in items], short, names, texts, edits, size - Q + 1 - edits * Q, unique, np.append(first, len(gram)), segment[order], place[order], screen)
+        return cls([i for i, _ in items], short, names, texts, copies, edits, size - Q + 1 - edits * Q, unique, np.append(first, len(gram)), segment[order], place[order], screen)
 
 
-def aligned(pattern: bytes, text: bytes, shift: int, band: int) -> tuple[int, int, int]:
-    """Least edits that turn pattern into a part of text, and that part's start and end, on diagonals shift .. shift + band."""
-    p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(text, np.uint8)
+def _last_row(pattern: bytes, text: np.ndarray, shift: int, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By diagonal shift .. shift + band: least edits that turn pattern into a part of text that ends there, where that part starts, and the diagonal."""
+    p, t = np.frombuffer(pattern, np.uint8), text
     far = len(p) + 1
     diagonals = np.arange(shift, shift + band + 1)
     cost = np.where((diagonals >= 0) & (diagonals <= len(t)), 0, far)
@@ -123,12 +129,29 @@ def aligned(pattern: bytes, text: bytes, shift: int, band: int) -> tuple[int, in
         level = np.minimum.accumulate(best - step)
         source = np.maximum.accumulate(np.where(best - step == level, step, 0))
         cost, start = np.where((j >= 0) & (j <= len(t)), level + step, far), first[source]
+    return cost, start, diagonals
+
+
+def aligned(pattern: bytes, text: bytes, shift: int, band: int) -> tuple[int, int, int]:
+    """Least edits that turn pattern into a part of text, and that part's start and end, on diagonals shift .. shift + band."""
+    cost, start, diagonals = _last_row(pattern, np.frombuffer(text, np.uint8), shift, band)
     at = int(np.argmin(cost))
-    return int(cost[at]), int(start[at]), int(len(p) + diagonals[at])
+    return int(cost[at]), int(start[at]), int(len(pattern) + diagonals[at])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
 
 
 def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(row, segment, start, end, edits) of each segment that a row holds within its edit budget; start and end in bytes of the row."""
+    """(row, segment, start, end, edits) of each segment that a row holds within its edit budget; start and end in bytes of the row.
+
+    Where bands of a segment follow one another, as in periodic texts, they are aligned at once and give one row: around all that is found, with the least edits.
+    """
     t, at, origin = plain(data, offsets)
     gram = grams(t)
     if not len(gram) or not len(index.grams):
@@ -141,39 +164,74 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     row = np.searchsorted(at, hit, "right") - 1
     whole = hit + Q <= at[row + 1]
     hit, slot, row = hit[whole], slot[whole], row[whole]
-    held = index.first[slot + 1] - index.first[slot]
-    post = np.repeat(index.first[slot] - np.concatenate(([0], np.cumsum(held)[:-1])), held) + np.arange(held.sum())
-    segment, row = index.segment[post], np.repeat(row, held)
-    diagonal = np.repeat(hit - at[:-1][np.searchsorted(at, hit, "right") - 1], held) - index.place[post]
-    if not len(segment):
+    if not len(hit):
         return []
+    held = index.first[slot + 1] - index.first[slot]
+    # so many postings at once, whatever a text repeats
+    cuts = np.unique(np.append(np.searchsorted(np.cumsum(held), np.arange(0, held.sum(), POSTINGS), "left"), len(hit)))
+    n = len(index.texts)
+
+    def postings() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            many = held[a:z]
+            post = np.repeat(index.first[slot[a:z]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            segment = index.segment[post]
+            yield np.repeat(row[a:z], many) * n + segment, segment, np.repeat(hit[a:z] - at[row[a:z]], many) - index.place[post]
+
     # enough q-grams of a segment in a row at all
-    pair = row * len(index.texts) + segment
-    _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-    enough = count[inverse] >= index.least[segment]
-    pair, segment, diagonal = pair[enough], segment[enough], diagonal[enough]
-    if not len(pair):
+    pairs, count = _summed([np.unique(pair, return_counts=True) for pair, _, _ in postings()])
+    pairs = pairs[count >= index.least[pairs % n]]
+    if not len(pairs):
         return []
     # enough of them in one of the bands, each of which overlaps the next by half
-    width = index.edits[segment] + 1
-    band = np.concatenate((diagonal // width, diagonal // width - 1))
-    key = np.stack((np.concatenate((pair, pair)), band), 1)
-    key, count = np.unique(key, axis=0, return_counts=True)
+    parts = []
+    for pair, segment, diagonal in postings():
+        number = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        good = pairs[number] == pair
+        band = diagonal[good] // (index.edits[segment[good]] + 1) + _BELOW
+        key = number[good] << 32 | band
+        parts.append(np.unique(np.concatenate((key, key - 1)), return_counts=True))
+    key, count = _summed(parts)
+    key = key[count >= index.least[pairs[key >> 32] % n]]
     out = []
-    for p, b in key[count >= index.least[key[:, 0] % len(index.texts)]].tolist():
-        r, s = divmod(p, len(index.texts))
+    for a, z in zip(*(lambda e: (np.append(0, e), np.append(e, len(key))))(np.flatnonzero(np.diff(key) != 1) + 1)):
+        if a == z:
+            continue
+        r, s = divmod(int(pairs[key[a] >> 32]), n)
         k, pattern = int(index.edits[s]), index.texts[s]
-        low = b * (k + 1)
-        first = max(0, low - k)
-        region = t[at[r] + first : min(at[r + 1], at[r] + low + 2 * (k + 1) + len(pattern) + k)].tobytes()
-        found = region.find(pattern)
-        edits, a, z = (0, found, found + len(pattern)) if found >= 0 else aligned(pattern, region, low - k - first, 2 * (k + 1) + 2 * k)
-        if edits <= k and z > a:
-            a, z = origin[at[r] + first + a] - offsets[r], origin[at[r] + first + z - 1] + 1 - offsets[r]
-            out.append((r, s, int(a), int(z), edits))
+        bands = (key[a:z] & 0xFFFFFFFF) - _BELOW
+        text = t[at[r] : at[r + 1]]
+        if z - a >= MANY:
+            for i in range(0, z - a, MERGED):
+                found = _aligned_run(pattern, text, int(bands[i]), len(bands[i : i + MERGED]), k)
+                if found is not None:
+                    out.append((r, s, int(origin[at[r] + found[0]] - offsets[r]), int(origin[at[r] + found[1] - 1] + 1 - offsets[r]), found[2]))
+            continue
+        for b in bands.tolist():
+            low = b * (k + 1)
+            first = max(0, low - k)
+            region = text[first : low + 2 * (k + 1) + len(pattern) + k].tobytes()
+            found = region.find(pattern)
+            edits, x, y = (0, found, found + len(pattern)) if found >= 0 else aligned(pattern, region, low - k - first, 2 * (k + 1) + 2 * k)
+            if edits <= k and y > x:
+                out.append((r, s, int(origin[at[r] + first + x] - offsets[r]), int(origin[at[r] + first + y - 1] + 1 - offsets[r]), edits))
     return out
 
 
+def _aligned_run(pattern: bytes, text: np.ndarray, band: int, bands: int, k: int) -> tuple[int, int, int] | None:
+    """(start, end, least edits) around the best part of each of some bands in a row that is within k edits; none if no band has one."""
+    low = band * (k + 1) - k
+    width = 4 * k + 3  # diagonals of a band with what k edits may leave it by
+    cost, start, diagonals = _last_row(pattern, text, low, (bands - 1) * (k + 1) + width - 1)
+    each = np.lib.stride_tricks.sliding_window_view(cost, width)[:: k + 1]
+    best = each.argmin(1) + np.arange(len(each)) * (k + 1)
+    best = best[cost[best] <= k]
+    best = best[len(pattern) + diagonals[best] > start[best]]
+    if not len(best):
+        return None
+    return int(start[best].min()), int((len(pattern) + diagonals[best]).max()), int(cost[best].min())
+
+
 def find_short(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, start, end) of each item under Q bytes whose words a row holds."""
     if not index.short:
@@ -232,7 +290,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds(
                 rows = search(index, batch.column(1))
                 if rows:
                     keys = list(rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in keys])), pa.array([index.ids[i] for _, i in keys], pa.int64()), *(pa.array([rows[k][c] for k in keys], pa.int64()) for c in range(3)), pa.array([len(rows[k][3]) for k in keys], pa.int64())], ["doc_id", "item_id", "start", "end", "edits", "n_segments"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in keys])), pa.array([index.ids[i] for _, i in keys], pa.int64()), *(pa.array([rows[k][c] for k in keys], pa.int64()) for c in range(3)), pa.array([sum(index.copies[s] if s >= 0 else 1 for s in rows[k][3]) for k in keys], pa.int64())], ["doc_id", "item_id", "start", "end", "edits", "n_segments"])
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long, n_segments long")
         out = found if out is None else out.unionByName(found)

@@ -79,3 +79,46 @@ def test_plain_items_of_a_list_of_links_stay():
     html = f"<article>{P}<ul>{links}<li>A plain item, which says something.</li></ul>{P}</article>"
     blocks = html_extract.main_blocks(html)
     assert "A plain item, which says something." in blocks and len(blocks) == 3
+
+
+def plain_bands(pattern, text, k):
+    """Whether a part of text is within k edits of pattern, and the least edits: every cell."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j - 1] + (p != c), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("item,text", [("ab " * 100, "ab " * 300), ("ab " * 30 + "x" + "ab " * 30, "ab " * 200), ("abc " * 40, "abc abd " * 60 + "abc " * 25), ("ab " * 100, "zz " * 50 + "ab " * 40 + "zz " * 50)])
+def test_periodic_texts(item, text):
+    """What is found in a periodic text is what a plain alignment of all segments finds."""
+    bounds = decontaminate.Bounds()
+    index = decontaminate.Index.of([(1, item)], bounds)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found = decontaminate.find(index, raw, np.array([0, len(raw)]))
+    said = text.strip().encode()
+    want = {s: e for s, t in enumerate(index.texts) if (e := plain_bands(t, said, int(index.edits[s]))) <= index.edits[s]}
+    least = {}
+    for _, s, a, z, e in found:
+        least[s] = min(e, least.get(s, 99))
+        assert 0 <= a < z <= len(raw)
+    assert least == want
+    segments = len(range(0, max(1, len(item.strip()) - 80 + 1), 20)) + (0 if (len(item.strip()) - 80) % 20 == 0 else 1)
+    assert sum(index.copies) == segments and len(set(index.texts)) == len(index.texts)
+
+
+def test_a_megabyte_that_repeats():
+    """Work is linear in a periodic text, with an item of the same period and with one that is an edit away in each segment."""
+    import time
+
+    raw = np.frombuffer(("ab " * 350_000).encode(), np.uint8)
+    for item in ("ab " * 100, "ab ab ab ab ab ab ab ab ab ab x " * 12):
+        index = decontaminate.Index.of([(1, item)], decontaminate.Bounds())
+        began = time.time()
+        found = decontaminate.find(index, raw, np.array([0, len(raw)]))
+        assert time.time() - began < 60
+        if item.startswith("ab " * 50):
+            assert min(a for _, _, a, _, _ in found) == 0 and max(z for _, _, _, z, _ in found) >= len(raw) - 3 and min(e for *_, e in found) == 0
