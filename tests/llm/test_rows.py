@@ -335,7 +335,7 @@ def test_near_family_is_linear(spark):
     groups = ngram_join.signature_groups(frame, 5, ngram_join.Bands(75, 100), 4)
     maybe = ngram_join.maybe_links(groups, sets, 75, 100)
     assert maybe.count() < 4 * len(docs)
-    links = ngram_join.exact_links(sets.selectExpr("0L AS cluster", "cls", "doc_id", "n_shingles"), frame, 5, 75, 100, scratch)
+    links = ngram_join.exact_links(sets.selectExpr("0L AS cluster", "cls", "doc_id", "digest", "n_shingles"), frame, 5, 75, 100, scratch)
     assert links.count() < len(docs)
     kept = ngram_join.keep_one(frame).collect()
     assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in got.items() if c == i)
