@@ -27,7 +27,7 @@ SHORT, SPELT = 4, 4
 #: Labelled rows to learn from, and features kept of them.
 TRAINING_ROWS, FEATURES = 20_000, 4096
 #: Restored pieces that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 KINDS = 64
 _AGAIN = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
