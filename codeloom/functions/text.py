@@ -85,10 +85,9 @@ def fingerprint(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts as people do: digit runs by value, however long, letters without case and accents; null as empty."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    parts = F.regexp_extract_all(plain, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), _by_length(F.regexp_replace(p, "^0+(?=[0-9])", ""))).otherwise(p)), "")
+    """Sorts as people do: digit runs by value, however long, letters of any script without case and accents; null as empty. A collated text, so compare it in Spark."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    return F.collate(F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), _by_length(F.regexp_replace(p, "^0+(?=[0-9])", ""))).otherwise(p)), ""), "UNICODE_CI_AI")
 
 
 def _by_length(digits: Column) -> Column:

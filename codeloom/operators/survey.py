@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 ITEMS = tuple(f"item{i}" for i in range(1, 11))
 RUBRIC = ("contentQuality", "presentationQuality", "usefulness")
 
@@ -45,7 +47,8 @@ def scored(answers: DataFrame) -> DataFrame:
     rows = answers.withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").startswith("OBJECT"))
     field = lambda f: F.try_variant_get("v", f"$.{f}", "string")
     rows = rows.select(field("participantId").alias("participant"), field("condition").alias("condition"), wholes(F.col("v"), "$.sus", ITEMS).alias("items"), wholes(F.col("v"), "$.rubric", RUBRIC).alias("marks"))
-    return rows.select("participant", "condition", sus_score(F.col("items")).alias("sus"), rubric_mean(F.col("marks")).alias("rubric"))
+    # parsed once: filters and scores below would each take the expressions of all thirteen fields into themselves
+    return cut(rows).select("participant", "condition", sus_score(F.col("items")).alias("sus"), rubric_mean(F.col("marks")).alias("rubric"))
 
 
 def condition_stats(rows: DataFrame) -> DataFrame:

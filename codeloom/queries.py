@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import highlight
 from .functions import text as fn
+from .functions.order import numbered
 from .operators import document, extract, graph, patterns, reconcile, registry, resolve, survey, views
 from .plans import star
 from .runtime import cut, shared_folder
@@ -195,6 +197,17 @@ def natural_sort_topn(spark, sf_dir):
     return ranked.select(F.posexplode("rows").alias("at", "r")).select(F.col("r.node_seq").alias("p_partkey"), "r.p_name", (F.col("at") + 1).cast("long").alias("place"))
 
 
+@query(r"""SELECT s_suppkey, row_number() OVER (ORDER BY strip_accents(lower(regexp_extract(name, '^[^0-9]*'))), coalesce(try_cast(regexp_extract(name, '[0-9]+') AS BIGINT), -1), s_suppkey % 1000, s_suppkey) - 1 AS place
+ FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN translate(n_name, 'SEIOCNZ', 'ŠÉïöçÑž') ELSE n_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
+def natural_sort_accents(spark, sf_dir):
+    """The place of each supplier by its nation's name, half of them written with accents and in other letters' cases, and a number behind it."""
+    nation, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.translate("n_name", "SEIOCNZ", "ŠÉïöçÑž")).otherwise(F.lower("n_name"))
+    key = fn.natural_key(F.concat(name, F.lit(" "), (F.col("s_suppkey") % 1000).cast("string")))
+    named = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", key.alias("key"))
+    return numbered(named, [F.col("key"), F.col("s_suppkey")], "place").select("s_suppkey", "place")
+
+
 @query()
 def graph_fingerprint(spark, sf_dir):
     return graph.fingerprint(*_graph(spark, sf_dir))
@@ -373,6 +386,36 @@ def numbered_source(spark, sf_dir):
     return fn.numbered_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
 
 
+_NOTE = r"""WITH s AS (SELECT doc_id, replace(replace(coalesce(text, ''), '"', ''''), '\', '/') AS t FROM documents),
+n AS (SELECT doc_id, regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS a FROM s) """
+
+
+def _notes(spark, sf_dir):
+    """A Python file per document: its whole text in a long string over as many lines, code before it, and a comment and code behind it."""
+    text = F.translate(F.coalesce("text", F.lit("")), '"\\', "'/")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit('note = """'), text, F.lit('"""  # of '), F.col("doc_id").cast("string"), F.lit("\nif note: kept = 1\n")).alias("text"))
+
+
+@query(_NOTE + "SELECT doc_id, len(a)::BIGINT + 1 AS n_lines, list_sum(list_transform(a, lambda x: length(x)))::BIGINT + 6 AS string_chars, 5 + length(doc_id::VARCHAR)::BIGINT AS comment_chars, 1::BIGINT AS keywords, 1::BIGINT AS numbers, 3::BIGINT AS names FROM n")
+def highlight_notes(spark, sf_dir):
+    """What is coloured in a file per document, by kind of token."""
+    of = lambda k: F.col("kind") == k
+    chars = lambda k: F.coalesce(F.sum(F.when(of(k), F.length("text"))), F.lit(0))
+    spans = highlight.token_spans(_notes(spark, sf_dir), "doc_id", "text")
+    return spans.groupBy("doc_id").agg(F.max("line_number").cast("long").alias("n_lines"), chars("string").alias("string_chars"), chars("comment").alias("comment_chars"), F.count_if(of("keyword")).alias("keywords"), F.count_if(of("number")).alias("numbers"), F.count_if(of("name")).alias("names"))
+
+
+_ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#039;')"
+
+
+@query(_NOTE + f"""SELECT doc_id, i::INT AS line_number, '<span id="line-' || i || '">' || CASE WHEN i = len(a) + 1 THEN '<span class="k">if</span> note: kept = <span class="m">1</span>' ELSE
+ CASE WHEN i = 1 THEN 'note = ' ELSE '' END || CASE WHEN 1 < i AND i < len(a) AND a[i] = '' THEN '' ELSE '<span class="s">' || CASE WHEN i = 1 THEN '&quot;&quot;&quot;' ELSE '' END || {_ESCAPED.format("a[i]")} ||
+ CASE WHEN i = len(a) THEN '&quot;&quot;&quot;' ELSE '' END || '</span>' END || CASE WHEN i = len(a) THEN '  <span class="c"># of ' || doc_id || '</span>' ELSE '' END END || '</span>' AS html FROM n, range(1, len(a) + 2) r(i)""")
+def highlighted_source(spark, sf_dir):
+    """The coloured lines of a file per document."""
+    return highlight.coloured_lines(_notes(spark, sf_dir), "doc_id", "text")
+
+
 @query("SELECT conv_id, turn, url_encode(coalesce(text, '')) AS url FROM conversations")
 def url_encoded(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", fn.url_encode(F.coalesce("text", F.lit(""))).alias("url"))

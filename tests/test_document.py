@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
@@ -87,8 +88,10 @@ def test_fingerprint_order(spark):
 def test_text_functions(spark):
     rows = spark.createDataFrame([("a 1&é~*+",), ("x" + "1" * 25 + "0",), ("x" + "1" * 25 + "2",), ("X7",), ("x007",), ("",)], "t string")
     assert rows.select(text.url_encode(F.col("t"))).first()[0] == "a%201%26%C3%A9~%2A%2B"
-    keys = [r[0] for r in rows.select(text.natural_key(F.col("t"))).collect()]
-    assert keys[3] == keys[4] < keys[1] < keys[2]
+    ranks = [r[0] for r in rows.select(F.monotonically_increasing_id().alias("i"), F.dense_rank().over(Window.orderBy(text.natural_key(F.col("t")))).alias("r")).orderBy("i").select("r").collect()]
+    assert ranks[3] == ranks[4] < ranks[1] < ranks[2] and ranks[5] == 1
+    names = spark.createDataFrame([("Šárka 10",), ("sarka 9",), ("ŒUVRE",), ("oeuvre",), ("ωμέγα",), ("Ωμεγα",), ("ωμεγβ",), (None,)], "t string").withColumn("r", F.dense_rank().over(Window.orderBy(text.natural_key(F.col("t")))))
+    assert {r.t: r.r for r in names.collect()} == {None: 1, "ŒUVRE": 2, "oeuvre": 2, "sarka 9": 3, "Šárka 10": 4, "ωμέγα": 5, "Ωμεγα": 5, "ωμεγβ": 6}
     lines = text.numbered_lines(spark.createDataFrame([(1, "a<b\n\nc\n"), (2, None)], "k int, t string"), "t").collect()
     assert [(r.k, r.line_number, r.html) for r in lines if r.k == 1] == [(1, 1, '<span id="line-1">a&lt;b</span>'), (1, 2, '<span id="line-2"></span>'), (1, 3, '<span id="line-3">c</span>')]
     assert [r.i for r in text.tail(spark.range(500).withColumnRenamed("id", "i"), "i").collect()] == list(range(499, 399, -1))
