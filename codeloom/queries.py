@@ -554,6 +554,45 @@ def scan_tree(spark, sf_dir):
     return scan.scan(spark, folder)[0].select("file_seq", "rel_file_path", "module_path", "size")
 
 
+@query("SELECT 'm' || c_custkey AS id, 'né ' || c_custkey AS docstring FROM customer")
+def decoded_docstrings(spark, sf_dir):
+    """Files as bytes, of odd keys in Latin-1, which is no UTF-8."""
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit('"""né '), k, F.lit('"""\n'))
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("file_seq"), F.concat(F.lit("m"), k, F.lit(".py")).alias("rel_file_path"), F.concat(F.lit("m"), k).alias("module_path"), F.when(F.col("c_custkey") % 2 == 1, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("content"))
+    return extract.nodes(extract.stage_a(files)).select("id", "docstring")
+
+
+@query("""SELECT 'm' || c_custkey AS source, 'm' || c_custkey || '.' || t AS target, 'defines' AS type FROM customer, (VALUES ('A'), ('f')) v(t)
+ UNION ALL SELECT 'm' || c_custkey || '.A', 'm' || c_custkey || '.A.go', 'defines' FROM customer UNION ALL SELECT 'm' || c_custkey || '.f', 'm' || c_custkey || '.A', 'constructs' FROM customer""")
+def module_level_calls(spark, sf_dir):
+    """A file per customer, all with the same short names: what stands at a module's own level constructs and calls nothing."""
+    k = F.col("c_custkey").cast("string")
+    code = "class A:\n    def go(self):\n        return 1\n\n\ndef f():\n    return A()\n\n\nx = A()\nx.go()\nf()\n"
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("file_seq"), F.concat(F.lit("m"), k, F.lit(".py")).alias("rel_file_path"), F.concat(F.lit("m"), k).alias("module_path"), F.lit(code).alias("content"))
+    return resolve.resolve(cut(extract.stage_a(files)))[1].select("source", "target", "type")
+
+
+@query(rendered("SELECT id, kind FROM nd"))
+def cached_nodes(spark, sf_dir):
+    """Parsed files kept in a cache, put there twice, and read back."""
+    folder = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    entries = _stage_a(spark, sf_dir).select(F.col("file_seq").cast("double").alias("mtime"), F.lit(1).cast("long").alias("size"), "*")
+    cache.save(entries.where("file_seq % 2 = 0"), folder)
+    cache.save(entries, folder)
+    return extract.nodes(cache.load(spark, folder)).select("id", "kind")
+
+
+@query(f""", m AS (SELECT n.*, coalesce(i.c, 0)::BIGINT AS fi, coalesce(o.c, 0)::BIGINT AS fo FROM nodes n
+ LEFT JOIN (SELECT target, count(*) AS c FROM edges GROUP BY 1) i ON n.id = i.target LEFT JOIN (SELECT source, count(*) AS c FROM edges GROUP BY 1) o ON n.id = o.source)
+SELECT 0 AS part, min(node_seq) AS seq, count(*) || ' ' || kind AS line FROM nodes GROUP BY kind
+ UNION ALL SELECT 1, node_seq, '- ' || id || ' (' || kind || ') name=' || name || ' module=' || module || ' file=' || module || '.py fan_in=' || fi || ' fan_out=' || fo || ' instability=' || ({_ROUND}) || ' ' FROM m
+ UNION ALL SELECT 2, edge_seq, source || ' -> ' || target || ' [' || type || ']' FROM edges UNION ALL SELECT 4, min(edge_seq), type || ': ' || count(*) FROM edges GROUP BY type""", True)
+def prompt_lines(spark, sf_dir):
+    """The lines of a request for a clustering of the whole graph."""
+    return reconcile.prompt(*_graph(spark, sf_dir))
+
+
 # --- incremental analysis and registry -------------------------------------------------------------------------------------------
 def _listings(spark, sf_dir):
     """Two listings of a tree: a file per supplier; every seventh is gone, and every fifth is newer, in the second."""
