@@ -20,9 +20,9 @@ from .labelled import fold, training_sample
 LOOKALIKES = {"4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "€": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
 #: Characters that may stand between the letters of one word.
 FILLERS = frozenset(".-_*~'·,:;/\\^`\"=")
-#: Costs in nats: a look-alike, an unmeant symbol, a digit dropped, a filler, a repeat dropped from a run of three or more or of two, a word end between spaced letters, a space dropped between short tokens.
+#: Costs in nats: a look-alike, an unmeant symbol, a digit dropped, a filler, a repeat dropped from a run of three or more or of two, a word end between spaced letters, a space dropped between tokens.
 LOOKALIKE, SYMBOL, DIGIT, FILLER, LONG_RUN, PAIR, WORD_END, SPACE = 0.7, 2.0, 6.0, 0.1, 0.3, 6.0, 2.0, 2.0
-#: Characters of a token that may be part of a word, and tokens of one character in a row that are taken for spaced letters.
+#: Characters of tokens that are joined with each other (a longer one only with a token of one character), and tokens of one character in a row that are taken for spaced letters.
 SHORT, SPELT = 4, 4
 #: Labelled rows to learn from, and features kept of them.
 TRAINING_ROWS, FEATURES = 20_000, 4096
@@ -31,6 +31,7 @@ REMEMBERED = 100_000
 KINDS = 64
 _AGAIN = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
+_LIKE = frozenset(LOOKALIKES)
 _TAIL = re.compile(r"([^\w\s])\1{2,}")
 
 
@@ -100,7 +101,8 @@ class Channel:
         self.cost, self.flat = cost, cost.ravel().tolist()
         self.known: dict[str, str] = {}
         self.words: dict[str, tuple[str, ...]] = {}
-        self.ends: dict[tuple[str, str], bool] = {}
+        self.edges: dict[str, tuple[str | None, str | None, int]] = {}
+        self.ends: dict[str, bool] = {}
         self.pairs: dict[str, bool] = {}
 
     def _single(self, word: str) -> str:
@@ -187,61 +189,122 @@ class Channel:
         return "".join(reversed(letters)).strip()
 
     def apart(self, left: str, right: str) -> bool:
-        """Whether two tokens in a row are two words, whatever stands around them.
-
-        So it is where each has two letters at least, and the two on either side of the space are sure: then they decide it alone, and the
-        lattice can be cut there.
-        """
-        said = self.ends.get((left, right))
-        if said is None:
-            if len(self.ends) > REMEMBERED:
-                self.ends.clear()
-            said, a, b = False, _sure(left), _sure(right)
-            if len(a) > 1 and len(b) > 1 and left[-1] != right[0] and a[-1] != a[-2] and b[0] != b[1]:
-                cost = lambda *k: self.flat[(k[0] * KINDS + k[1]) * KINDS + k[2]]
-                (w, x), (y, z) = map(kind_of, a[-2:]), map(kind_of, b[:2])
-                said = cost(w, x, 0) + cost(x, 0, y) + cost(0, y, z) < SPACE + cost(w, x, y) + cost(x, y, z)
-            self.ends[left, right] = said
-        return said
+        """Whether two ends of tokens, of two sure letters each, belong to two words. These letters alone decide it, whatever stands around them."""
+        cost = lambda *k: self.flat[(k[0] * KINDS + k[1]) * KINDS + k[2]]
+        (w, x), (y, z) = map(kind_of, left), map(kind_of, right)
+        return cost(w, x, 0) + cost(x, 0, y) + cost(0, y, z) < SPACE + cost(w, x, y) + cost(x, y, z)
+
+    def _readings(self, piece: str) -> tuple[str, ...]:
+        """The words of a token that stands alone: without signs around it, with a look-alike before it, and, of a token with a run of signs inside it, also each part."""
+        if piece.isalpha():
+            return (self.restore(piece),)
+        plain = piece.strip(_AROUND)
+        if plain.isalpha() and _BEFORE.isdisjoint(piece):
+            return (self.restore(plain),)
+        if piece.isdigit():
+            return ()
+        out: dict[str, None] = {}
+        parts = _TAIL.sub(" ", piece).split() if _TAIL.search(piece) else []
+        for said in (piece, *parts):
+            plain = said.strip(_AROUND)
+            begins = said[: len(said) - len(said.lstrip(_AROUND))]
+            for x in (plain, begins[-1] + plain) if plain and begins[-1:] in _BEFORE else (plain,):
+                if (len(x) > 1 or x.isalpha()) and not x.isdigit():
+                    out.update(dict.fromkeys(self.restore(x).split()))
+        return tuple(out)
 
     def pieces(self, text: str) -> set[str]:
-        """The distinct restored words of a text."""
-        split = _TAIL.sub(" ", text.lower()).split() if _TAIL.search(text) else text.lower().split()
+        """The distinct restored words of a text: of each token by itself, and of the lattice over runs of short tokens, and of longer ones beside single letters.
+
+        A run's lattice is cut where what is meant is sure: between two tokens with two sure letters each at the space, and in a token with such letters. What lies between
+        is decoded, and remembered, by its ends alone; what is joined is put together again. Numbers of two digits or more stand alone.
+        """
+        split = text.lower().split()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        words, distinct = self.words, set(split)
-        for piece in [p for p in distinct if p not in words]:
-            plain = piece if piece.isalpha() else piece.strip(".,;:?\"'()[]{}«»¿¡…-–—")
-            words[piece] = tuple(self.restore(plain).split()) if (len(plain) > 1 or plain.isalpha()) and not plain.isdigit() else ()
+            self.edges.clear()
+        words, edges, ends = self.words, self.edges, self.ends
+        distinct = set(split)
+        for piece in distinct:
+            if piece not in words:
+                words[piece] = self._readings(piece)
+                edges[piece] = _edge(piece)
         out = set(chained.from_iterable(map(words.__getitem__, distinct)))
-        # letters and parts of words that stand apart
-        run: list[str] = []
+        said, part, before, tail, last, size = "", [], "", None, "", 0  # what is joined so far; the tokens that are not decided yet; the token before, its end, last sign and length
         for token in split:
-            if len(token) > SHORT or token.isdigit() and len(token) > 1:
-                if run:
-                    self._join(run, out)
-                    run = []
-            elif not run:
-                run.append(token)
+            head, tail_here, n = edges[token]
+            if n > SHORT and size != 1 or size > SHORT and n > 1:
+                if said or len(part) > 1:
+                    self._end(said, part, out)
+                said, part, before, tail, last, size = "", [token], token, tail_here, token[-1], n
+                continue
+            how = None
+            if head is _NUMBER or not before:
+                how = True
+            elif tail and head and last != token[0]:
+                how = ends.get(tail + head)
+                if how is None:
+                    how = ends[tail + head] = self.apart(tail, head)
+            if how is None:
+                part.append(token)
+            else:
+                if not how:
+                    said += self._decoded(part)
+                else:
+                    self._end(said, part, out)
+                    said = ""
+                part = [token]
+            if head is _NUMBER:
+                part, before, tail, last, size = [], "", None, "", 0
             else:
-                # a letter that may be a repeat of the token before leaves a token's end open
-                if self.apart(run[-1], token) and not (len(run) > 1 and run[-2][-1] == run[-1][0]):
-                    self._join(run, out)
-                    run = []
-                run.append(token)
-        self._join(run, out)
+                # of two letters, the first may be a repeat of the one before, which leaves the token's end open
+                open_end = before and last == token[0] and tail_here == head and len(_sure(token)) < 3
+                before, tail, last, size = token, None if open_end else tail_here, token[-1], n
+        self._end(said, part, out)
         return out
 
-    def _join(self, run: list[str], out: set[str]) -> None:
-        if len(run) > 1:
-            out.update(self.restore(" ".join(run)).split())
+    def _end(self, said: str, part: list[str], out: set[str]) -> None:
+        if said or len(part) > 1:
+            out.update((said + self._decoded(part)).split())
+
+    def _decoded(self, part: list[str]) -> str:
+        """The restored text of tokens in a row, of the first and the last of which only the ends by the space are in doubt."""
+        if len(part) == 1:
+            return self.restore(part[0])
+        first, last, left, right = part[0], part[-1], "", ""
+        if self.edges[first][1] and len(first) > 2:
+            at = [i for i, c in enumerate(first) if c.isalpha()][-2]
+            left, first = self.restore(first)[:-2], first[at:]
+        if len(last) > 3:
+            # one letter more where the first may be a repeat
+            sure, kept = _sure(last), 3 if part[-2][-1] == last[0] else 2
+            if len(sure) > kept and sure[0] != sure[1] and sure[kept - 2] != sure[kept - 1]:
+                at = [i for i, c in enumerate(last) if c.isalpha()][kept - 1]
+                right, last = self.restore(last)[kept:], last[: at + 1]
+        return left + self.restore(" ".join((first, *part[1:-1], last))) + right
+
+
+_NUMBER = "0"
+#: Signs around a word, and those of them that may also stand for a letter.
+_AROUND = ".,;:?\"'()[]{}«»¿¡…-–—"
+_BEFORE = frozenset(c for c in _AROUND if c in LOOKALIKES)
+
+
+def _edge(token: str) -> tuple[str | None, str | None, int]:
+    """The two letters that a token begins and ends with, where they are sure, and its size without hyphens around it; a number of two digits or more stands alone."""
+    if token.isdigit() and len(token) > 1:
+        return _NUMBER, None, len(token)
+    sure, size = _sure(token), len(token.strip("-–—"))
+    if len(sure) < 2:
+        return None, None, size
+    return (sure[:2] if sure[0] != sure[1] else None), (sure[-2:] if sure[-1] != sure[-2] else None), size
 
 
 def _sure(token: str) -> str:
     """The letters of a token in which nothing but one of a doubled letter is in doubt, else nothing."""
     if token.isalpha():
         return "" if _THRICE.search(token) else token
-    return "" if _AGAIN.search(token) or any(c in LOOKALIKES for c in token) else "".join(c for c in token if c.isalpha())
+    return "" if _THRICE.search(token.rstrip(".")) or not _LIKE.isdisjoint(token) else "".join(filter(str.isalpha, token))
 
 
 def features(word: str) -> list[int]:

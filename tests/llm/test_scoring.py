@@ -86,6 +86,14 @@ def test_spaced_words(spark):
     assert channel.restore("s-t-u-p-i-d" + "-" * 60) == "stupid"
 
 
+def test_no_sign_is_lost_before_the_lattice(spark):
+    words = ["idiot", "clown", "loser", "scum", "stupid", "plain", "letter", "stone", "garden", "trust", "are", "you", "the", "person", "there"] * 50
+    channel = toxicity.Channel(toxicity.trigram_counts(spark.createDataFrame([(" ".join(words),)], "text string")))
+    for said, meant in (("lo$$$er", "loser"), ("$$$cum", "scum"), ("(lown", "clown"), ("((lown)", "clown"), ("stupi d", "stupid"), ("s tupid", "stupid"), ("stup-- -id", "stupid"), ("st---up---id", "stupid"), ("!d!ot", "idiot")):
+        assert meant in channel.pieces(f"you {said} person"), said
+    assert {"you", "there"} <= channel.pieces("you...there (there)") and "there" in channel.pieces("(there")
+
+
 def test_quality(labelled, hard, empty):
     docs, labels = labelled
     rows = quality_mil.quality(docs, labels).collect()
@@ -139,7 +147,7 @@ def test_lattice_against_all_paths(channel):
 
 def test_lattice_is_cut_where_it_may(channel):
     """Runs of short tokens that are decoded in parts give what they give in one piece."""
-    rng, short = np.random.default_rng(33), ["ab", "ba", "a", "la", "al", "os,", "so", "no.", "1s", "tee", "$a", "é", "eta", "in"]
+    rng, short = np.random.default_rng(33), ["ab", "ba", "a", "la", "al", "os,", "so", "no.", "1s", "tee", "$a", "é", "eta", "in", "-al-", "b--"]
     for _ in range(400):
         run = list(rng.choice(short, int(rng.integers(2, 7))))
         whole = set(channel.restore(" ".join(run)).split()) | {x for t in run for x in channel.pieces(t)}
