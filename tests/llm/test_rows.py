@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.llm import bwt_dedup, exact_dedup, licenses, mixing, ngram_join, queries, token_store
-from codeloom.llm.common import Scratch
+from codeloom.llm.common import Scratch, table
 from codeloom.llm.components import components
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -354,7 +354,8 @@ def test_licence_lines(spark):
 
 def test_licence_lines_of_fixtures(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", F.explode(F.split("text", "[\r\n]+")).alias("text"))
-    naming = docs.where(F.length("text") < 200).where(F.col("text").rlike(r"(?i)\blicen[sc]e|\bCC[ -]BY|\bCC0\b|SPDX")).withColumn("doc_id", F.monotonically_increasing_id()).localCheckpoint()
+    naming = docs.where(F.length("text") < 200).where(F.col("text").rlike(r"(?i)\blicen[sc]e|\bCC[ -]BY|\bCC0\b|SPDX")).withColumn("doc_id", F.monotonically_increasing_id())
+    naming = table(naming, "licence-lines")
     scanned = licenses.license_scan(naming, licenses.known_digests(spark)).cache()
     assert scanned.count() == 262 and scanned.where("n_lines = 0").isEmpty()
     assert scanned.where("text_license = 'CC-BY-NC-4.0'").count() == 63
