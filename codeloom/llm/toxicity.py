@@ -33,6 +33,10 @@ _AGAIN = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
 _LIKE = frozenset(LOOKALIKES)
 _TAIL = re.compile(r"([^\w\s])\1{2,}")
+#: From the first to the last character that is no letter.
+_SIGNS = re.compile(r"[\W\d_](?:.*[\W\d_])?", re.S)
+#: Size of a long token whose ends have not been asked for.
+LONG = 1 << 62
 
 
 def kind(cp: np.ndarray) -> np.ndarray:
@@ -135,6 +139,24 @@ class Channel:
             self.known[piece] = self._single(piece) if piece.isalpha() and not _THRICE.search(piece) else self._viterbi(piece)
         return self.known[piece]
 
+    def _restored(self, token: str) -> str:
+        """The restored token: of the letters before its first sign and after its last, the lattice needs the two by the sign alone, where these are sure."""
+        signs = _SIGNS.search(token)
+        if not signs:
+            return self.restore(token)
+        left, right, start, end = "", "", signs.start(), signs.end()
+        if start > 2 and token[start - 3] != token[start - 2] != token[start - 1]:
+            head = token[:start]
+            if head.isalpha() and not _THRICE.search(head):
+                left = self.restore(head)[:-2]
+                token, end = token[start - 2 :], end - start + 2
+        if len(token) > end + 2 and token[end] != token[end + 1]:
+            tail = token[end:]
+            if tail.isalpha() and not _THRICE.search(tail):
+                right = self.restore(tail)[2:]
+                token = token[: end + 2]
+        return left + self.restore(token) + right
+
     def _viterbi(self, said: str) -> str:
         # columns: what may be meant, as (kind or None, letter, cost), and the prices of going on and of ending a word before it
         tokens = said.split(" ")
@@ -210,7 +232,7 @@ class Channel:
             begins = said[: len(said) - len(said.lstrip(_AROUND))]
             for x in (plain, begins[-1] + plain) if plain and begins[-1:] in _BEFORE else (plain,):
                 if (len(x) > 1 or x.isalpha()) and not x.isdigit():
-                    out.update(dict.fromkeys(self.restore(x).split()))
+                    out.update(dict.fromkeys(self._restored(x).split()))
         return tuple(out)
 
     def pieces(self, text: str) -> set[str]:
@@ -227,13 +249,34 @@ class Channel:
         distinct = set(split)
         for piece in distinct:
             if piece not in words:
-                words[piece] = self._readings(piece)
-                edges[piece] = _edge(piece)
+                if piece.isalpha() and not _AGAIN.search(piece):
+                    words[piece] = (piece,)
+                    if len(piece) <= SHORT:
+                        edges[piece] = _edge(piece)
+                else:
+                    words[piece] = self._readings(piece)
+                    edge = _edge(piece)
+                    if edge[0] is _NUMBER or edge[2] <= SHORT:
+                        edges[piece] = edge
         out = set(chained.from_iterable(map(words.__getitem__, distinct)))
         said, part, before, tail, last, size = "", [], "", None, "", 0  # what is joined so far; the tokens that are not decided yet; the token before, its end, last sign and length
         for token in split:
-            head, tail_here, n = edges[token]
-            if n > SHORT and size != 1 or size > SHORT and n > 1:
+            edge = edges.get(token)
+            if edge is None:  # a long token, of which most stand beside others that are not joined with it
+                if size != 1:
+                    if said or len(part) > 1:
+                        self._end(said, part, out)
+                        said = ""
+                    part, before, size = (), token, LONG
+                    continue
+                edge = _edge(token)
+            head, tail_here, n = edge
+            if size == LONG:
+                if n > 1:
+                    part, before, tail, last, size = [token], token, tail_here, token[-1], n
+                    continue
+                part, tail, last = [before], _edge(before)[1], before[-1]
+            elif n > SHORT and size != 1 or size > SHORT and n > 1:
                 if said or len(part) > 1:
                     self._end(said, part, out)
                 said, part, before, tail, last, size = "", [token], token, tail_here, token[-1], n
@@ -272,7 +315,7 @@ class Channel:
         if len(part) == 1:
             return self.restore(part[0])
         first, last, left, right = part[0], part[-1], "", ""
-        if self.edges[first][1] and len(first) > 2:
+        if len(first) > 2 and (self.edges.get(first) or _edge(first))[1]:
             at = [i for i, c in enumerate(first) if c.isalpha()][-2]
             left, first = self.restore(first)[:-2], first[at:]
         if len(last) > 3:
