@@ -133,11 +133,14 @@ class Channel:
         """The piece (in lower case) in plain letters; "" if nothing is left. Spaces in it may be word ends or not."""
         if piece.isalpha() and not _AGAIN.search(piece):
             return piece  # a lattice of one path
-        if piece not in self.known:
+        if piece.isalpha() and not _THRICE.search(piece):
+            return self._single(piece)
+        said = self.known.get(piece)
+        if said is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known[piece] = self._single(piece) if piece.isalpha() and not _THRICE.search(piece) else self._viterbi(piece)
-        return self.known[piece]
+            said = self.known[piece] = self._viterbi(piece)
+        return said
 
     def _restored(self, token: str) -> str:
         """The restored token: of the letters before its first sign and after its last, the lattice needs the two by the sign alone, where these are sure."""
@@ -249,19 +252,13 @@ class Channel:
         distinct = set(split)
         for piece in distinct:
             if piece not in words:
-                if piece.isalpha() and not _AGAIN.search(piece):
-                    words[piece] = (piece,)
-                    if len(piece) <= SHORT:
-                        edges[piece] = _edge(piece)
-                else:
-                    words[piece] = self._readings(piece)
-                    edge = _edge(piece)
-                    if edge[0] is _NUMBER or edge[2] <= SHORT:
-                        edges[piece] = edge
+                plain = piece.strip(_AROUND)
+                words[piece] = (plain,) if plain.isalpha() and not _AGAIN.search(plain) and (plain == piece or _BEFORE.isdisjoint(piece)) else self._readings(piece)
+                if len(piece.strip(_DASHES)) <= SHORT:
+                    edges[piece] = _edge(piece)
         out = set(chained.from_iterable(map(words.__getitem__, distinct)))
         said, part, before, tail, last, size = "", [], "", None, "", 0  # what is joined so far; the tokens that are not decided yet; the token before, its end, last sign and length
-        for token in split:
-            edge = edges.get(token)
+        for token, edge in zip(split, map(edges.get, split)):
             if edge is None:  # a long token, of which most stand beside others that are not joined with it
                 if size != 1:
                     if said or len(part) > 1:
@@ -293,7 +290,7 @@ class Channel:
             else:
                 if not how:
                     said += self._decoded(part)
-                else:
+                elif said or len(part) > 1:
                     self._end(said, part, out)
                     said = ""
                 part = [token]
@@ -330,6 +327,7 @@ class Channel:
 _NUMBER = "0"
 #: Signs around a word, and those of them that may also stand for a letter.
 _AROUND = ".,;:?\"'()[]{}«»¿¡…-–—"
+_DASHES = "-–—"
 _BEFORE = frozenset(c for c in _AROUND if c in LOOKALIKES)
 
 
@@ -337,7 +335,7 @@ def _edge(token: str) -> tuple[str | None, str | None, int]:
     """The two letters that a token begins and ends with, where they are sure, and its size without hyphens around it; a number of two digits or more stands alone."""
     if token.isdigit() and len(token) > 1:
         return _NUMBER, None, len(token)
-    sure, size = _sure(token), len(token.strip("-–—"))
+    sure, size = _sure(token), len(token.strip(_DASHES))
     if len(sure) < 2:
         return None, None, size
     return (sure[:2] if sure[0] != sure[1] else None), (sure[-2:] if sure[-1] != sure[-2] else None), size
@@ -352,7 +350,12 @@ def _sure(token: str) -> str:
 
 def features(word: str) -> list[int]:
     """The word and its beginnings, as hashes."""
-    return [zlib.crc32(word.encode()), *((n << 32) | zlib.crc32(word[:n].encode()) for n in (3, 5, 7) if len(word) > n)]
+    out = [zlib.crc32(word.encode())]
+    for n in (3, 5, 7):
+        if len(word) <= n:
+            break
+        out.append(n << 32 | zlib.crc32(word[:n].encode()))
+    return out
 
 
 class Model:
@@ -361,18 +364,24 @@ class Model:
     def __init__(self, channel: Channel, weights: dict[int, float], bias: float):
         self.channel, self.weights, self.bias = channel, weights, bias
         self.seen: dict[str, tuple] = {}
+        self.idle: set[str] = set()
 
     def score(self, text: str | None) -> float:
         found: dict[int, float] = {}
         if text:
-            if len(self.seen) > REMEMBERED:
+            if len(self.seen) + len(self.idle) > REMEMBERED:
                 self.seen.clear()
-            for word in self.channel.pieces(text):
+                self.idle.clear()
+            weighs = self.weights.keys()
+            for word in self.channel.pieces(text) - self.idle:  # words without weight are left out all at once
                 has = self.seen.get(word)
                 if has is None:
-                    has = self.seen[word] = tuple((f, self.weights[f]) for f in features(word) if f in self.weights)
-                if has:
-                    found.update(has)
+                    own = features(word)
+                    if weighs.isdisjoint(own):
+                        self.idle.add(word)
+                        continue
+                    has = self.seen[word] = tuple((f, self.weights[f]) for f in own if f in weighs)
+                found.update(has)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(sorted(found.values()))))))
 
 
