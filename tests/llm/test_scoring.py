@@ -166,6 +166,17 @@ def test_long_disguise(channel):
         assert "idiot" in own.pieces(" ".join("stone" * n + "idiot" + "river"))
 
 
+def test_signs_decoded_apart_give_the_whole_lattice():
+    rng = np.random.default_rng(11)
+    counts = np.zeros((toxicity.KINDS,) * 3)
+    codes = toxicity.kind(np.frombuffer((" " + " ".join([*prose(rng, 2000), *["idiot", "stupid", "loser", "letter"] * 50]) + " ").encode("utf-32-le"), np.uint32))
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    own = toxicity.Channel(counts)
+    for _ in range(20_000):
+        token = "".join(rng.choice(list("stupidloser$0(4-.!²é1"), rng.integers(1, 16)))
+        assert own._restored(token) == own._viterbi(token), token
+
+
 def test_training_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i % 5, f"t{i}") for i in range(2000)] + [(None, "n"), (6, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(None, 1), (3, 7), (1, 0)], "doc_id long, toxic int")
