@@ -186,3 +186,53 @@ def test_node_pairs_are_left_with_all_their_anchors():
     for a in range(512, 1024, 8):
         s = v @ v[a]
         assert {x for i, x in got if i == a} == set(sorted((x for x in range(1024) if x != a), key=lambda x: (-s[x], x))[:5])
+
+
+def test_labels_that_no_anchor_wants_are_left():
+    """Positives are looked for among rows of the anchor's label alone, negatives among the others; rows of any label may share a block."""
+    rng = np.random.default_rng(3)
+    v, label = np.floor(rng.normal(size=(4000, 16)) * 40), rng.integers(0, 4, 4000)
+    extra = np.tile(np.array([[-1500, 900], [-2000, 400]], np.int64), (400, 1, 1))
+    block = lambda rows, extra=None: {"n": len(rows), "width": 16, "uid": rows.tobytes(), "vec_id": rows.tobytes(), "label": label[rows].tobytes(), "v": v[rows].astype(np.int16).tobytes(), "extra": extra}
+    anchors, rows, s = np.arange(0, 4000, 10), np.arange(4000), (v @ v.T).astype(int)
+    for same in (True, False):
+        found, scored = hard_negatives.Search([block(anchors, None if same else extra.tobytes())], 5, same), []
+        leaves = found._leaves
+        found._leaves = lambda a0, a1, x, *rest: (scored.append(x.size), leaves(a0, a1, x, *rest))  # noqa: B023
+        found.meet(block(rows))
+        alike = sum((label == label[a]).sum() for a in anchors)
+        assert sum(scored) == (alike if same else 400 * 4000 - alike) and found.tree.v.dtype == np.float32
+        got = {}
+        for r in found.results().to_pylist():
+            got.setdefault((r["anchor_id"], r["slot"]), []).append((-r["score"], r["vec_id"]))
+        for a in anchors.tolist():
+            for k, (low, high) in enumerate([(-(10**9), 10**9)] if same else extra[0].tolist()):
+                fit = [(-s[a, x], x) for x in range(4000) if x != a and (label[x] == label[a]) == same and low <= s[a, x] <= high]
+                assert got.get((a, k), []) == sorted(fit)[:5]
+
+
+def test_scores_are_exact_in_each_kind_of_number():
+    rng = np.random.default_rng(4)
+    for most in (1 << 8, 1 << 12, 1 << 20, 1 << 28):
+        a, c = rng.integers(-most, most, (20, 48)), rng.integers(-most, most, (30, 48))
+        norm = lambda x: float(np.sqrt((x.astype(float) ** 2).sum(1)).max())
+        got = hard_negatives.scores(a.astype(float), c.astype(float), norm(a) * norm(c))
+        assert [[int(x) for x in row] for row in got] == [[sum(int(p) * int(q) for p, q in zip(x, y)) for y in c] for x in a]
+
+
+def test_hard_negatives_cells_follow_the_work(spark, monkeypatch):
+    """Cells do not follow the number of shuffle partitions, each gives an anchor one row, and large components score as exactly as small ones."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * (1 if i % 3 else 3e5)], i % 2) for i in range(900)]
+    table, cells, met = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), [], []
+    search, merged = hard_negatives.search, hard_negatives.merged
+    monkeypatch.setattr(hard_negatives, "BLOCK", 100)
+    monkeypatch.setattr(hard_negatives, "search", lambda a, c, keep, same, chunks, parts: (cells.append(chunks * parts), search(a, c, keep, same, chunks, parts))[1])
+    monkeypatch.setattr(hard_negatives, "merged", lambda m, keep: (met.append(m.count()), merged(m, keep))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert sorted((tuple(r) for r in hard_negatives.hard_negatives(table).collect()), key=str) == plain_negatives(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert cells == [9, 9] and all(n <= 9 * 9 for n in met)
