@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, plain_names, slices, utf8
+from .common import LOWER, mix64, plain_names, slices, tidy, utf8
 
 #: Bytes of a q-gram.
 Q = 12
@@ -292,7 +292,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds(
                     keys = list(rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in keys])), pa.array([index.ids[i] for _, i in keys], pa.int64()), *(pa.array([rows[k][c] for k in keys], pa.int64()) for c in range(3)), pa.array([sum(index.copies[s] if s >= 0 else 1 for s in rows[k][3]) for k in keys], pa.int64())], ["doc_id", "item_id", "start", "end", "edits", "n_segments"])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long, n_segments long")
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy("decontaminate", run), "doc_id long, item_id long, start long, end long, edits long, n_segments long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -311,5 +311,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds
                 gone = {r for r, _ in search(sent.value, batch.column(batch.schema.get_field_index("text")))}
                 yield batch.take(pa.array([r for r in range(len(batch)) if r not in gone], pa.int64())) if gone else batch
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy("decontaminate", run), docs.schema)
     return docs.toDF(*names)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, keys64, mix64, partitions, slices, table, utf8, word_hashes, words
+from .common import LOWER, Scratch, keys64, mix64, partitions, slices, table, tidy, utf8, word_hashes, words
 from .components import components
 
 #: First-level partitions per edit of the bound; three second-level cells each, of which signatures take two.
@@ -178,7 +178,7 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
                 keys = set_keys(value, counts)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(counts, pa.int64()), _fixed(keys), pa.array(short_ids(keys)), pa.array(sketches(value, counts), pa.binary())], ["doc_id", "digest", "n_shingles", "cls", "id", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, n_shingles long, cls binary, id long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text").mapInArrow(tidy("ngram_join", run), "doc_id long, digest binary, n_shingles long, cls binary, id long, sketch binary")
 
 
 def text_digest() -> Column:
@@ -266,8 +266,8 @@ def signature_groups(docs: DataFrame, n: int, bands: Bands, buckets: int) -> Dat
                 here = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(gid[group[here]].view(np.int64)), pa.array(held[group[here]].astype(np.int64)), pa.array(ids[who[pick[here]]])], ["gid", "m", "id"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, ids binary, runs binary, sigs binary")
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "gid long, m long, id long").distinct()
+    dealt = docs.select("text").mapInArrow(tidy("ngram_join", deal), "bucket int, ids binary, runs binary, sigs binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy("ngram_join", meet), "gid long, m long, id long").distinct()
 
 
 def in_blocks(rows: DataFrame, group: str, key: str, blocks: Column) -> DataFrame:
@@ -395,7 +395,7 @@ def maybe_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(tidy("ngram_join", run), "a long, b long").distinct()
 
 
 def exact_links(clusters: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -442,7 +442,7 @@ def exact_links(clusters: DataFrame, docs: DataFrame, n: int, num: int, den: int
             least = min(part.tolist(), key=lambda k: names[k].tobytes())
             yield pa.RecordBatch.from_arrays([_fixed(np.repeat(names[least][None], len(part), 0)), _fixed(names[part])], ["a", "b"])
 
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a binary, b binary").where("a != b")
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy("ngram_join", run), "a binary, b binary").where("a != b")
 
 
 def _some(doc_id: str) -> Column:

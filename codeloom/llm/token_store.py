@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir, utf8
+from .common import held, mix64, shared_dir, tidy, utf8
 
 #: Bytes of ids after which a block of the file ends, and documents that it holds at most.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 1 << 14
@@ -93,7 +93,6 @@ _SIMPLE = re.compile(r"[!-&(-@\[-~ß-öø-ÿ]+")
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Spaces of Python's split() that the pattern may not take for such.
 _ODD = "\x1c\x1d\x1e\x1f\x85\xa0"
-_ENCODERS: dict = {}
 
 
 class Remembered:
@@ -131,9 +130,10 @@ class Encoder:
     @classmethod
     def of(cls, config: str) -> Encoder:
         key = zlib.crc32(config.encode())
-        if key not in _ENCODERS:
-            _ENCODERS[key] = cls(config)
-        return _ENCODERS[key]
+        encoders = held("token_store")
+        if key not in encoders:
+            encoders[key] = cls(config)
+        return encoders[key]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -264,9 +264,9 @@ def write_tokens(docs: DataFrame, config: str, path: str, end_id: int = 1, shard
         if keys:
             yield done()
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), _tie().alias("tie")).mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), _tie().alias("tie")).mapInArrow(tidy("token_store", encode), "shard int, doc_id long, tie long, ids binary")
     dealt = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie", "ids")
-    dealt.mapInArrow(pack, FILE_SCHEMA).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
+    dealt.mapInArrow(tidy("token_store", pack), FILE_SCHEMA).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
     _write_index(spark, path, shards)
 
 
@@ -337,8 +337,8 @@ def _write_index(spark: SparkSession, path: str, buckets: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, _INDEX)], [c for c, _ in _INDEX])
 
     blocks = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/blocks").select("shard", "block", "keys")
-    keys = blocks.mapInArrow(keyed, "bucket int, key long, shard int, block int").repartitionById(buckets, F.col("bucket"))
-    keys.mapInArrow(pack, INDEX_SCHEMA).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/index")
+    keys = blocks.mapInArrow(tidy("token_store", keyed), "bucket int, key long, shard int, block int").repartitionById(buckets, F.col("bucket"))
+    keys.mapInArrow(tidy("token_store", pack), INDEX_SCHEMA).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/index")
     spark.range(0, 1, 1, 1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/size")
 
 
@@ -377,7 +377,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ], ["shard", "block", "doc_id", "nth", "offset", "n_tokens", "ids"])
 
     files = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/blocks").select("shard", "block", "keys", "hash", "prints", "places", "width", "payload")
-    return files.mapInArrow(run, "shard int, block int, doc_id long, nth long, offset long, n_tokens long, ids binary")
+    return files.mapInArrow(tidy("token_store", run), "shard int, block int, doc_id long, nth long, offset long, n_tokens long, ids binary")
 
 
 def token_ids(spark: SparkSession, path: str, doc_id: int | None, nth: int = 0) -> np.ndarray | None:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_names, table
+from .common import held, plain_names, table, tidy
 from .labelled import fold, training_sample
 
 #: Letters that a symbol or digit may stand for.
@@ -71,14 +71,11 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["code", "n"])
 
     out = np.zeros(KINDS**3)
-    for row in docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(tidy("toxicity", run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[row.code] = row.n
     return out
 
 
-_CHANNELS: dict[int, Channel] = {}
-
-
 class Channel:
     """Restores pieces of text: the cheapest path through a lattice of what each character may stand for."""
 
@@ -93,12 +90,13 @@ class Channel:
     def of_costs(cls, cost: np.ndarray) -> Channel:
         """A channel of costs worked out before; a worker keeps the last one, and what it remembers, from task to task."""
         key = zlib.crc32(cost.tobytes())
-        if key not in _CHANNELS or not np.array_equal(_CHANNELS[key].cost, cost):
+        channels = held("toxicity")
+        if key not in channels or not np.array_equal(channels[key].cost, cost):
             own = cls.__new__(cls)
             own._hold(cost)
-            _CHANNELS.clear()
-            _CHANNELS[key] = own
-        return _CHANNELS[key]
+            channels.clear()
+            channels[key] = own
+        return channels[key]
 
     def _hold(self, cost: np.ndarray) -> None:
         # single numbers are read faster from a list; a state is KINDS * kind before + last kind, a place KINDS * state + next kind
@@ -420,7 +418,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
                 yield pa.RecordBatch.from_arrays([marks, pa.array(has, pa.list_(pa.int64()))], ["label", "has"])
 
     sample = training_sample(docs, labels, label, folds, held_out, most).withColumn("label", F.col("label").cast("int"))
-    rows = table(sample.mapInArrow(run, "label int, has array<bigint>"), "toxicity-sample")
+    rows = table(sample.mapInArrow(tidy("toxicity", run), "label int, has array<bigint>"), "toxicity-sample")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
         return Model(channel, {}, 0.0)
@@ -448,7 +446,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = np.array([own.score(x) for i in range(0, len(batch), 64) for x in batch.column(1).slice(i, 64).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy("toxicity", run), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -480,4 +478,4 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
             yield batch.take(pa.array(good, pa.int64()))
 
     rows = plain_names(docs)
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidy("toxicity", run), rows.schema).toDF(*docs.columns)

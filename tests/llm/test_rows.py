@@ -359,3 +359,23 @@ def test_licence_lines_of_fixtures(spark):
     scanned = licenses.license_scan(naming, licenses.known_digests(spark)).cache()
     assert scanned.count() == 262 and scanned.where("n_lines = 0").isEmpty()
     assert scanned.where("text_license = 'CC-BY-NC-4.0'").count() == 63
+
+
+def test_a_worker_keeps_what_one_operator_remembers():
+    """A task of another operator lets go of a channel; one of the same operator finds it again. Each batch goes through."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from codeloom.llm import common, toxicity
+
+    cost = np.ones(toxicity.KINDS**3)
+    channel = weakref.ref(toxicity.Channel.of_costs(cost))
+    batches = [pa.record_batch({"x": [1, 2]}), pa.record_batch({"x": [3]})]
+    through = lambda given: (b.slice(0, 1) for b in given)
+    assert [b.to_pylist() for b in common.tidy("toxicity", through)(iter(batches))] == [[{"x": 1}], [{"x": 3}]]
+    assert toxicity.Channel.of_costs(cost) is channel()
+    list(common.tidy("ngram_join", through)(iter(batches)))
+    gc.collect()
+    assert channel() is None
