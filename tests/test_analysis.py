@@ -1,7 +1,9 @@
 """Extraction, resolution, patterns, caches and scans on source files of our own."""
 
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,34 @@ def test_stream_keeps_the_cache_up_to_date(spark, tmp_path):
         kept = cache.load(spark, store)
         names = sorted(r.id for r in extract.nodes(kept).where("kind = 'function'").collect())
         assert names == (["p.a.g", "p.b.h"] if len(batch) == 3 else ["p.a.g", "p.b.hh"]) and kept.count() == 2
+
+
+class Held:
+    """A table of one batch that is mapped here, not in a worker."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run(iter([self.batch]))
+
+    def mapInPandas(self, run, _):
+        return run(iter([self.batch.to_pandas()]))
+
+
+def test_a_batch_of_files_is_parsed_by_portions(spark):
+    code = "".join(f"def f{k}():\n    v = A{k}()\n    v.go()\n    g()\n\n\n" for k in range(100))
+    files = [(i, f"m{i}.py", f"m{i}", None if i % 50 == 0 else code) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files)], ["file_seq", "rel_file_path", "module_path", "content"])
+    tracemalloc.start()
+    try:
+        got = [(n, len(x)) for part in extract.stage_a(Held(batch)) for n, x in zip(part["file_seq"].to_pylist() if isinstance(part, pa.RecordBatch) else part["file_seq"], part["nodes"])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [(i, 1 if i % 50 == 0 else 101) for i in range(300)]
+    assert peak < 24 << 20, peak
+    assert list(extract.portions([5, None, 1 << 20, 1 << 17, 1 << 17, 1])) == [(0, 2), (2, 1), (3, 2), (5, 1)] and list(extract.portions([])) == []
