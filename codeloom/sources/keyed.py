@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of a new table. Its manifest keeps their number.
 BUCKETS = 64
+#: Bytes of a row group. A reader decodes thousands of rows of one at once, and a row may be all that a file tells.
+ROW_GROUP = 8 << 20
 
 
 class KeyedTable:
@@ -92,7 +94,7 @@ class KeyedTable:
         if rows is not None:
             out = out.unionByName(rows.select(*held.columns))
         name = f"data-{uuid.uuid4().hex}"
-        out.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        out.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{self.folder}/{name}")
         folders = {b: p for b, p in last["folders"].items() if int(b) not in touched}
         for b in touched:
             path, files = self._at(f"{name}/bucket={b}")

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -145,3 +146,12 @@ def test_settings_in_a_new_folder(tmp_path):
     assert settings.save(f"{tmp_path}/a/b/c.json", {"x": 1})["x"] == 1
     records = settings.load_registry(f"{tmp_path}/d/models.json", f"{tmp_path}/a/b/c.json")
     assert settings.load_registry(f"{tmp_path}/d/models.json", f"{tmp_path}/none.json") == records
+
+
+def test_large_rows_lie_in_small_row_groups(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", "k string, v array<string>", "k", buckets=2)
+    rows = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"), F.transform(F.sequence(F.lit(1), F.lit(160)), lambda i: F.sha2(F.concat(F.col("id").cast("string"), F.lit("."), i.cast("string")), 256)).alias("v"))
+    table.update(rows)
+    groups = [m.row_group(i) for p in (tmp_path / "t").glob("data-*/bucket=*/*.parquet") for m in [pq.ParquetFile(p).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 3000 and max(g.total_byte_size for g in groups) < 10 << 20
+    assert table.load().selectExpr("count(DISTINCT k)", "sum(size(v))").first()[:] == (3000, 3000 * 160)
