@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +117,15 @@ def row_digest(*columns: str) -> Column:
     return F.struct(*[F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)").alias(f"d{i}") for i in range(5)])
 
 
+_SUMS = [f"s{i}" for i in range(5)]
+#: What a row of each kind counts with.
+_DIGESTED = {"node": ("id", "name", "kind", "module", "file_path"), "edge": ("source", "target", "type"), "pattern": ("pattern", "symbol_id", "evidence")}
+
+
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"d.d{i}").alias(c) for i, c in enumerate(_SUMS)])
+
+
 def file_digests(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """file_path, t (node, edge, pattern), n, s0 to s4: sums of the digests of each file's rows, equal rows of it counted.
 
@@ -123,15 +134,24 @@ def file_digests(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None
     """
     of = nodes.groupBy(F.col("id").alias("of")).agg(F.min_by("file_path", "node_seq").alias("file_path"))
     placed = lambda rows, symbol: rows.join(of, F.col(symbol) == F.col("of"), "left")
-    rows = nodes.select("file_path", F.lit("node").alias("t"), row_digest("id", "name", "kind", "module", "file_path").alias("d"))
-    rows = rows.unionByName(placed(edges, "source").select("file_path", F.lit("edge").alias("t"), row_digest("source", "target", "type").alias("d")))
-    if patterns is not None:
-        rows = rows.unionByName(placed(patterns, "symbol_id").select("file_path", F.lit("pattern").alias("t"), row_digest("pattern", "symbol_id", "evidence").alias("d")))
-    return rows.groupBy("file_path", "t").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"d.d{i}").alias(f"s{i}") for i in range(5)])
+    held = {"node": nodes, "edge": placed(edges, "source")} | ({} if patterns is None else {"pattern": placed(patterns, "symbol_id")})
+    return _summed(reduce(DataFrame.unionByName, [rows.select("file_path", F.lit(t).alias("t"), row_digest(*_DIGESTED[t]).alias("d")) for t, rows in held.items()]), "file_path", "t")
+
+
+def digest_totals(nodes: DataFrame | None = None, edges: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
+    """t, n, s0 to s4: the sums of file_digests() over all files, of the tables that are given (one at least). No row needs its file for that."""
+    held = {"node": nodes, "edge": edges, "pattern": patterns}
+    return _summed(reduce(DataFrame.unionByName, [rows.select(F.lit(t).alias("t"), row_digest(*_DIGESTED[t]).alias("d")) for t, rows in held.items() if rows is not None]), "t")
+
+
+def replaced(digests: DataFrame, gone: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """t, n, s0 to s4 of a graph with these sums, without the rows of gone, which are among its own, and with those of new (sums, too)."""
+    parts = [digests.select("t", "n", *_SUMS), gone.select("t", *[(-F.col(c)).alias(c) for c in ("n", *_SUMS)])] + ([] if new is None else [new.select("t", "n", *_SUMS)])
+    return reduce(DataFrame.unionByName, parts).groupBy("t").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)]).where("n <> 0")
 
 
 def digests_fingerprint(digests: DataFrame, root: str = "", key: str = "") -> DataFrame:
-    """One row: fingerprint of the graph whose files have these digests, of its project's root and of a key (the model that is asked)."""
+    """One row: fingerprint of the graph whose files have these digests (or with these totals), of its project's root and of a key (the model that is asked)."""
     sums = digests.groupBy("t").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)])
     said = sums.select(F.concat_ws("|", "t", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(5)]).alias("said"))
     head = F.to_json(F.struct(F.lit(root).alias("root"), F.lit(key).alias("key")))
@@ -143,7 +163,7 @@ def fingerprint(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None =
 
     Each row's digest is cut into five numbers, and their sums over all rows (equal rows counted) are hashed.
     """
-    return digests_fingerprint(file_digests(nodes, edges, patterns), root, key)
+    return digests_fingerprint(digest_totals(nodes, edges, patterns), root, key)
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -219,9 +219,14 @@ def fingerprint_invariant(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     found = nodes.where("kind = 'class'").select(F.lit("Observer").alias("pattern"), F.col("id").alias("symbol_id"), F.lit("loops").alias("evidence"))
     digests = cut(graph.file_digests(nodes, edges, found))
-    same = graph.digests_fingerprint(digests).unionByName(graph.fingerprint(nodes.repartition(7, "name"), edges.repartition(5, "target"), found.repartition(3)))
-    moved = nodes.withColumn("file_path", F.when(F.col("id") == "R1", "other.py").otherwise(F.col("file_path")))
-    others = graph.fingerprint(nodes, edges.where("type <> 'inherits'"), found).unionByName(graph.fingerprint(moved, edges, found)).unionByName(graph.fingerprint(nodes, edges, found.withColumn("evidence", F.lit("else"))))
+    same = graph.digests_fingerprint(digests).unionByName(graph.fingerprint(nodes.repartition("name"), edges.repartition("target"), found.repartition(3)))
+    # sums add up, so another graph needs those of what differs alone
+    first = nodes.where("id = 'R1'")
+    totals = graph.digest_totals
+    bare = graph.replaced(digests, totals(edges=edges.where("type = 'inherits'")))
+    moved = graph.replaced(digests, totals(first), totals(first.withColumn("file_path", F.lit("other.py"))))
+    said = graph.replaced(digests, totals(patterns=found), totals(patterns=found.withColumn("evidence", F.lit("else"))))
+    others = graph.digests_fingerprint(bare).unionByName(graph.digests_fingerprint(moved)).unionByName(graph.digests_fingerprint(said))
     others = others.unionByName(graph.digests_fingerprint(digests, root="/other")).unionByName(graph.digests_fingerprint(digests, key="model")).select(F.col("fingerprint").alias("other"))
     one = same.agg(F.count_distinct("fingerprint").alias("fingerprints"), F.max(F.length("fingerprint")).alias("width"), F.max("fingerprint").alias("fingerprint"))
     told = one.crossJoin(others).where("fingerprint <> other")  # one row by five

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import two_decimals
+from codeloom.model import EDGES, NODES
 from codeloom.operators import graph
 
 
@@ -73,3 +74,26 @@ def test_fingerprint_ignores_order(zoo):
 def test_dedupe_keeps_first(spark):
     edges = spark.createDataFrame([(3, "a", "b", "calls"), (1, "a", "b", "calls"), (2, "a", "b", "defines"), (4, "", "b", "calls")], "edge_seq long, source string, target string, type string")
     assert sorted(map(tuple, graph.dedupe_edges(edges).collect())) == [(1, "a", "b", "calls"), (2, "a", "b", "defines")]
+
+
+def test_sums_of_what_differs_give_the_fingerprint(spark):
+    nodes = spark.createDataFrame([(i, f"m{i % 3}.s{i}", f"s{i}", "class", f"m{i % 3}", f"m{i % 3}.py", 1, 2, None, None) for i in (*range(30), 4)], NODES)
+    edges = spark.createDataFrame([(i, f"m{i % 3}.s{i % 30}", f"m{i * 7 % 3}.s{i * 7 % 30}", ("calls", "inherits")[i % 2]) for i in range(60)] + [(60, "none", "m0.s0", "calls")], EDGES)
+    found = spark.createDataFrame([("Observer", "m1.s1", "loops"), ("Observer", "m1.s1", "loops"), ("Factory", "gone", "tells")], "pattern string, symbol_id string, evidence string")
+    moved = lambda rows: rows.withColumn("file_path", F.when(F.col("id") == "m1.s4", "other.py").otherwise(F.col("file_path")))
+    of = lambda sums: graph.digests_fingerprint(sums).first()[0]
+    digests, totals = graph.file_digests(nodes, edges, found), graph.digest_totals
+    one = nodes.where("id = 'm1.s4'")
+    changed = [(edges.where("type <> 'inherits'"), nodes, found, totals(edges=edges.where("type = 'inherits'")), None), (edges, moved(nodes), found, totals(one), totals(moved(one))), (edges, nodes, found.limit(0), totals(patterns=found), None)]
+    seen = {of(digests), graph.fingerprint(nodes, edges, found).first()[0]}
+    assert len(seen) == 1
+    for e, n, p, gone, new in changed:
+        got = of(graph.replaced(digests, gone, new))
+        assert got == of(graph.file_digests(n, e, p)) == graph.fingerprint(n, e, p).first()[0]
+        seen.add(got)
+    assert len(seen) == 4
+
+
+def test_a_fingerprint_of_the_whole_graph_joins_nothing(spark):
+    nodes, edges = spark.createDataFrame([], NODES), spark.createDataFrame([(1, "a", "b", "calls")], EDGES)
+    assert "Join" not in graph.fingerprint(nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
