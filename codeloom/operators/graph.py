@@ -112,9 +112,15 @@ def impact_by_depth(found: DataFrame) -> DataFrame:
 
 
 def row_digest(*columns: str) -> Column:
-    """Two 64-bit numbers of a row's digest."""
+    """Five numbers of 48 bits of a row's digest."""
     digest = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])), 256)
-    return F.struct(*[F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)").alias(f"d{i}") for i in range(5)])
+    return F.struct(*[F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("long").alias(f"d{i}") for i in range(5)])
+
+
+def _sum48(number: Column) -> Column:
+    """The sum of numbers of 48 bits, as a decimal: their halves are summed as longs, which have room for 2^39 rows and cost less than decimals."""
+    high, low = F.sum(F.shiftright(number, 24)), F.sum(number.bitwiseAND(0xFFFFFF))
+    return (high.cast("decimal(38,0)") * F.lit(1 << 24) + low.cast("decimal(38,0)")).cast("decimal(38,0)")
 
 
 _SUMS = [f"s{i}" for i in range(5)]
@@ -123,7 +129,7 @@ _DIGESTED = {"node": ("id", "name", "kind", "module", "file_path"), "edge": ("so
 
 
 def _summed(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"d.d{i}").alias(c) for i, c in enumerate(_SUMS)])
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[_sum48(F.col(f"d.d{i}")).alias(c) for i, c in enumerate(_SUMS)])
 
 
 def file_digests(nodes: DataFrame, edges: DataFrame, patterns: DataFrame | None = None) -> DataFrame:

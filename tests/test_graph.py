@@ -1,5 +1,7 @@
 """Metrics, lookups and impact on a small graph of our own."""
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -97,3 +99,11 @@ def test_sums_of_what_differs_give_the_fingerprint(spark):
 def test_a_fingerprint_of_the_whole_graph_joins_nothing(spark):
     nodes, edges = spark.createDataFrame([], NODES), spark.createDataFrame([(1, "a", "b", "calls")], EDGES)
     assert "Join" not in graph.fingerprint(nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_of_digests_are_those_of_python(spark):
+    ends = [(f"a{i}\"é", f"b{i}\\", "calls") for i in range(50)] * 2
+    digests = [hashlib.sha256(json.dumps({"source": s, "target": t, "type": k}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for s, t, k in ends]
+    got = graph.digest_totals(edges=spark.createDataFrame([(0, *x) for x in ends], EDGES))
+    assert got.first()[:] == ("edge", 100, *(sum(int(d[12 * i : 12 * i + 12], 16) for d in digests) for i in range(5)))
+    assert [got.schema[f"s{i}"].dataType.simpleString() for i in range(5)] == ["decimal(38,0)"] * 5
